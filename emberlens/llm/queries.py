@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, secrets, sharding
+from . import language_model, packing, quality, secrets, sharding
 from .common import read
 
 
@@ -17,6 +17,11 @@ def _tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_log_bilinear_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    return language_model.score(read(spark, sf_dir, "documents"), held_out)
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), size=2048, end=0)
 
@@ -35,6 +40,6 @@ def op10_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_best_fit_packing, op6_secret_scans, op9_stratified_sharding, op10_compression_bands)
+    f.__name__: f for f in (op1_log_bilinear_lm, op2_best_fit_packing, op6_secret_scans, op9_stratified_sharding, op10_compression_bands)
 }
 ORACLES: dict[str, str] = {}
