@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_model, packing, quality, secrets, sharding
+from . import language_model, packing, quality, secrets, sharding, topk
 from .common import read
 
 
@@ -26,6 +26,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), size=2048, end=0)
 
 
+def op5_norm_sorted_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(read(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0, k=10)
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(read(spark, sf_dir, "documents"))
 
@@ -40,6 +44,6 @@ def op10_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_log_bilinear_lm, op2_best_fit_packing, op6_secret_scans, op9_stratified_sharding, op10_compression_bands)
+    f.__name__: f for f in (op1_log_bilinear_lm, op2_best_fit_packing, op5_norm_sorted_topk, op6_secret_scans, op9_stratified_sharding, op10_compression_bands)
 }
 ORACLES: dict[str, str] = {}
