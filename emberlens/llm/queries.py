@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_model, packing, quality, secrets, sharding, topk
+from . import language_model, packing, pieces, quality, secrets, sharding, topk, toxicity
 from .common import read
 
 
@@ -34,6 +34,19 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(read(spark, sf_dir, "documents"))
 
 
+def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read(spark, sf_dir, "labels").select("doc_id", (F.lit(1) - F.col("quality")).alias("low_quality"), "toxic")
+    return toxicity.classify(read(spark, sf_dir, "documents"), labels, ["low_quality", "toxic"])
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _tokenizer("piece_bpe_32k.model")
+    ids = pieces.joined(pieces.encode(read(spark, sf_dir, "documents"), path))
+    kept = ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), "n_chunks", "text_crc32", "ids")
+    text = pieces.decode(kept, path, ["doc_id", "n_ids", "ids_crc32", "n_chunks", "text_crc32"])
+    return text.select("doc_id", "n_ids", "ids_crc32", "n_chunks", (F.crc32(F.col("text").cast("binary")) == F.col("text_crc32")).alias("round_trip"))
+
+
 def op9_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.interleave(read(spark, sf_dir, "documents"), shards=40)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("stratum").alias("source"), "fraction")
@@ -44,6 +57,6 @@ def op10_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_log_bilinear_lm, op2_best_fit_packing, op5_norm_sorted_topk, op6_secret_scans, op9_stratified_sharding, op10_compression_bands)
+    f.__name__: f for f in (op1_log_bilinear_lm, op2_best_fit_packing, op5_norm_sorted_topk, op6_secret_scans, op7_toxicity_chain, op8_sentencepiece, op9_stratified_sharding, op10_compression_bands)
 }
 ORACLES: dict[str, str] = {}
