@@ -169,6 +169,6 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end: int = 0) -> DataFram
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = by_task.select("task", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    at = held.join(base, ["task", "length"]).select(*names, (F.col("before") + F.col("number")).alias("rank"))
+    at = held.join(base.hint("merge"), ["task", "length"]).select(*names, (F.col("before") + F.col("number")).alias("rank"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return at.mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
