@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_model, lines, packing, pieces, quality, secrets, sharding, topk, toxicity
+from . import jaccard, language_model, lines, packing, pieces, quality, secrets, sharding, topk, toxicity
 from .common import read
 
 
@@ -26,6 +26,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), size=2048, end=0)
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read(spark, sf_dir, "documents"), n=5, percent=75)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup(read(spark, sf_dir, "documents"), min_words=50)
     return out.select("doc_id", "n_lines", "n_deleted", "text")
@@ -62,6 +66,6 @@ def op10_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_log_bilinear_lm, op2_best_fit_packing, op4_line_dedup, op5_norm_sorted_topk, op6_secret_scans, op7_toxicity_chain, op8_sentencepiece, op9_stratified_sharding, op10_compression_bands)
+    f.__name__: f for f in (op1_log_bilinear_lm, op2_best_fit_packing, op3_jaccard_join, op4_line_dedup, op5_norm_sorted_topk, op6_secret_scans, op7_toxicity_chain, op8_sentencepiece, op9_stratified_sharding, op10_compression_bands)
 }
 ORACLES: dict[str, str] = {}
