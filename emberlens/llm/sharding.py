@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize, ranked
 
+#: Sources up to this many are sent to all tasks (a few MB at most); more are joined by a sort, whose hot keys Spark splits.
+MAX_BROADCAST = 1 << 15
+
 
 def interleave(docs: DataFrame, shards: int, seed: int = 17, source: str = "source") -> DataFrame:
     """doc_id, size, text_crc32, stratum, fraction, shard, slot for each row; the law is ``rows``."""
@@ -27,7 +30,8 @@ def interleave(docs: DataFrame, shards: int, seed: int = 17, source: str = "sour
     )
     within = ranked(materialize(narrow, "shard-rows"), ["stratum", "draw", "doc_id", "text_crc32"], "shard-strata")
     strata = within.groupBy("stratum").agg(F.min("rank").alias("_first"), F.count("*").alias("_rows"))
-    placed = within.join(strata, "stratum").withColumn("fraction", (F.col("rank") - F.col("_first") + 0.5) / F.col("_rows")).drop("rank", "_first", "_rows")
+    few = strata.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    placed = within.join(F.broadcast(strata) if few else strata.hint("merge"), "stratum").withColumn("fraction", (F.col("rank") - F.col("_first") + 0.5) / F.col("_rows")).drop("rank", "_first", "_rows")
     total = within.agg(F.count("*").alias("n")).first().n
     order = ranked(placed, ["fraction", "draw", "doc_id", "text_crc32"], "shard-order")
     shard = f"(((rank + 1) * {shards} - 1) DIV {max(total, 1)})"
