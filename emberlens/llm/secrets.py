@@ -210,3 +210,17 @@ def scan_documents(docs: DataFrame, redact: bool = False, max_layer_chars: int =
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_spans long, n_refused long, clean_text string")
     return out if redact else out.drop("clean_text")
+
+
+def redact_documents(docs: DataFrame, mark: str = "[SECRET]", max_layer_chars: int = 1 << 24) -> DataFrame:
+    """``docs`` with every secret in ``text``, whatever layers hide it, replaced by ``mark``; a null text stays null."""
+    tune(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t if t is None else redacted(t, find(t, max_layer_chars)[1], mark) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    rows = docs.withColumn("text", F.col("text").cast("string"))
+    return rows.mapInArrow(run, rows.schema)
