@@ -6,14 +6,13 @@ from ..functions import text
 from ..operators import logs as op
 from .registry import query
 
-KEY = F.get_json_object("props", "$.k")
 SQL_TEMPLATE = "trim(" + "regexp_replace(" * len(text.TEMPLATE_STEPS) + "substring(MESSAGE, 1, 400)" + "".join(f", '{p}', '{n}', 'g')" for p, n in text.TEMPLATE_STEPS) + ")"
 SQL_HOLDERS = """p AS (SELECT event_type AS cache, json_extract_string(props, '$.k') AS k, count(*) AS lookups, count(*) FILTER (value < 5) AS hits, count(DISTINCT CASE WHEN NOT value < 5 THEN user_id END) AS missing FROM events GROUP BY ALL),
  h AS (SELECT cache, least(missing, 20) AS missed_by, count(*) AS keys, sum(lookups) AS lookups, sum(hits) AS hits, sum(missing) AS missing_holders FROM p GROUP BY ALL)"""
 
 
 def _holders(t):
-    looked = t.events.select(F.col("event_type").alias("cache"), KEY.alias("k"), "user_id", "value")
+    looked = t.events.select(F.col("event_type").alias("cache"), F.get_json_object("props", "$.k").alias("k"), "user_id", "value")
     return op.cache_holders(looked, "cache", "k", "user_id", F.col("value") < 5)
 
 

@@ -5,8 +5,6 @@ from pyspark.sql import functions as F
 from ..operators import network as op
 from .registry import query
 
-SECOND = F.unix_timestamp(F.col("ts").cast("timestamp"))
-
 
 @query("SELECT user_id, event_type, count(*) AS calls, max(value) AS largest, round(sum(value), 4) AS setup, CASE WHEN count(*) < 3 THEN 'omitted' WHEN max(value) <= 50 AND sum(value) > 0 THEN 'detected' ELSE 'clean' END AS status FROM events GROUP BY ALL")
 def net01_chatty(t):
@@ -32,7 +30,7 @@ def net03_cache(t):
 SELECT user_id, event_type, count(*) AS attempts, count(*) FILTER (gap < 86400) AS rapid, min(gap) AS least_gap, CASE WHEN count(*) < 3 THEN 'omitted' WHEN count(*) FILTER (gap < 86400) >= 2 THEN 'detected' ELSE 'clean' END AS status FROM g GROUP BY ALL""")
 def net05_retry(t):
     """NET-05 on events: events of a user and type as attempts, less than a day apart."""
-    return op.retries(t.events, ["user_id", "event_type"], ["ts", "event_id"], SECOND, 86400, 3)
+    return op.retries(t.events, ["user_id", "event_type"], ["ts", "event_id"], F.unix_timestamp(F.col("ts").cast("timestamp")), 86400, 3)
 
 
 @query("""WITH c AS (SELECT user_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) <> event_type AS changed FROM events)
