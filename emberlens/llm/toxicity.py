@@ -4,7 +4,8 @@ Features are the presence of hashed words and of word beginnings, so that famili
 keeps those that separate its own classes best. Models after the first are trained with out-of-fold probabilities of
 the earlier ones, as at prediction time earlier models have not seen the document either. Training takes at most
 ``max_train`` labelled documents, chosen by a hash of their ids (the bound is this parameter; scoring covers all
-documents). A document is rejected when its last probability exceeds ``threshold``.
+documents). A document is rejected when its last probability exceeds a threshold: the one with the best F1 score over the
+out-of-fold probabilities of the training documents, halfway to the next probability, unless ``threshold`` gives one.
 
 Defined results: a null or empty text has only the bias; null labels don't train; a category without both classes gets
 its base rate for all; copies and repeated rows score alike; without labels all probabilities are 0; an empty table
@@ -33,9 +34,10 @@ class Settings:
     folds: int = 5
     features: int = 1024  # for each category
     least: int = 5  # documents that a feature must be in
+    min_score: float = 25.0  # chi-squared of a feature against the class: chance hardly reaches it among millions of buckets
     steps: int = 150
     penalty: float = 1e-3
-    threshold: float = 0.5
+    threshold: float | None = None
 
 
 @dataclass
@@ -100,9 +102,10 @@ def _fit(y: np.ndarray, use: np.ndarray, row: np.ndarray, bucket: np.ndarray, be
     df, hits = np.bincount(where), np.bincount(where, y[row[own]])
     expected = df * positive / n
     value = np.where(df >= s.least, (hits - expected) ** 2 / (expected * (1 - positive / n)), 0)
-    top = np.sort(kinds[np.argsort(-value, kind="stable")[: s.features]])
-    at = np.minimum(np.searchsorted(top, bucket), len(top) - 1)
-    hit = (top[at] == bucket) & own
+    order = np.argsort(-value, kind="stable")[: s.features]
+    top = np.sort(kinds[order[value[order] >= s.min_score]])
+    at = np.minimum(np.searchsorted(top, bucket), max(len(top) - 1, 0))
+    hit = (top[at] == bucket) & own if len(top) else np.zeros(len(bucket), bool)
     x = np.zeros((len(y), len(top) + before.shape[1] + 1), np.float32)
     x[row[hit], at[hit]] = 1
     x[:, len(top) : -1], x[:, -1] = before, 1
@@ -121,27 +124,39 @@ def _fit(y: np.ndarray, use: np.ndarray, row: np.ndarray, bucket: np.ndarray, be
     return Link(top, w[: len(top)].astype(float), w[len(top) : -1].astype(float), float(w[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: list[str], s: Settings = Settings()) -> list[Link]:
-    """The chain's models, in the order of ``categories``."""
+def _best_threshold(y: np.ndarray, logits: np.ndarray) -> float:
+    """The probability between two neighbours that separates best by F1; 0.5 without both classes."""
+    if not 0 < y.sum() < len(y):
+        return 0.5
+    order = np.argsort(-logits, kind="stable")
+    hits, value = np.cumsum(y[order]), logits[order]
+    f1 = np.where(np.append(value[1:] < value[:-1], True), 2 * hits / (np.arange(1, len(y) + 1) + y.sum()), -1)
+    k = int(np.argmax(f1))
+    low = value[k + 1] if k + 1 < len(y) else value[k] - 1
+    return float(1 / (1 + np.exp(-(value[k] + low) / 2)))
+
+
+def train(docs: DataFrame, labels: DataFrame, categories: list[str], s: Settings = Settings()) -> tuple[list[Link], float]:
+    """The chain's models, in the order of ``categories``, and the threshold for the last probability."""
     y, row, bucket = _sample(docs, labels, categories, s)
     n = y.shape[1]
     fold, before, chain = np.arange(n) % s.folds, np.empty((n, 0)), []
     for k in range(len(categories)):
         chain.append(_fit(y[k], np.ones(n, bool), row, bucket, before, s))
-        if k + 1 < len(categories):
+        if k + 1 < len(categories) or s.threshold is None:
             unseen = np.zeros(n)
             for f in range(s.folds):
                 link = _fit(y[k], fold != f, row, bucket, before, s)
                 unseen[fold == f] = link.logits(n, row, bucket, before)[fold == f]
             before = np.column_stack([before, np.clip(unseen, -8, 8)])
-    return chain
+    return chain, _best_threshold(y[-1], before[:, -1]) if s.threshold is None else s.threshold
 
 
 def classify(docs: DataFrame, labels: DataFrame, categories: list[str], s: Settings = Settings()) -> DataFrame:
     """doc_id, a probability for each category, and ``rejected``."""
     tune(docs.sparkSession)
-    chain = train(docs, labels, categories, s)
-    return probabilities(docs, chain, categories, ["doc_id"]).withColumn("rejected", F.col(f"p_{categories[-1]}") > s.threshold)
+    chain, threshold = train(docs, labels, categories, s)
+    return probabilities(docs, chain, categories, ["doc_id"]).withColumn("rejected", F.col(f"p_{categories[-1]}") > threshold)
 
 
 def probabilities(docs: DataFrame, chain: list[Link], categories: list[str], keep: list[str]) -> DataFrame:
