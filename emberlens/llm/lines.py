@@ -13,7 +13,7 @@ doc_id and line, stays, and the lines of later ones are deleted. Shorter runs, s
 
 Defined results: a null or empty text has no lines and stays; lines without words count for nothing and stay; ties of
 doc_id go to the row read first; copies keep their first row's lines; an empty table gives an empty result; other
-columns pass through unchanged, whatever their names but ``_uid`` and ``_gone``.
+columns pass through unchanged, except that n_lines and n_deleted are replaced and ``_uid`` and ``_gone`` are reserved.
 """
 
 from __future__ import annotations
@@ -97,7 +97,7 @@ def dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
     Lines are counted as they stand between line breaks, those without words included."""
     spark = docs.sparkSession
     tune(spark)
-    held = materialize(docs.withColumn("_uid", F.monotonically_increasing_id()), "lines-docs")
+    held = materialize(docs.drop("n_lines", "n_deleted").withColumn("_uid", F.monotonically_increasing_id()), "lines-docs")
     lines = materialize(line_rows(held, min_words), "lines-rows")
     repeated = lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     live = materialize(lines.join(repeated, "h").select("uid", "doc_id", "pos", "line", F.col("h").alias("rank"), "fwd", "bwd"), "lines-live")
@@ -118,5 +118,5 @@ def dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
     text = F.col("text").cast("string")
     parts_of = F.split(text, "\n", -1)
     kept = F.filter(parts_of, lambda x, i: ~F.array_contains("_gone", i))
-    columns = [F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    columns = [F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in held.columns if c != "_uid"]
     return joined.select(*columns, F.coalesce(F.size(parts_of), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_deleted"))

@@ -8,8 +8,9 @@ documents). A document is rejected when its last probability exceeds a threshold
 out-of-fold probabilities of the training documents, halfway to the next probability, unless ``threshold`` gives one.
 
 Defined results: a null or empty text has only the bias; null labels don't train; a category without both classes gets
-its base rate for all; copies and repeated rows score alike; without labels all probabilities are 0; an empty table
-gives an empty result; other columns are not read.
+its base rate for all, one in a million at least; copies and repeated rows score alike; without labels all
+probabilities are one in a million; an empty table
+gives an empty result; ``classify`` reads no other columns, ``probabilities`` passes on those in ``keep``.
 """
 
 from __future__ import annotations
