@@ -9,13 +9,14 @@ pivots, all regions would get all documents). So regions are cut in two steps.
    each such shingle. Regions of uncommon shingles are small; their pairs are counted over all regions, and a pair whose
    shared boundary can't be completed to the needed overlap is dropped before any set is read.
 2. Regions of common shingles hold documents that consist of common shingles for the most part: large groups of near
-   copies. There a document is the pivot, and its distance to every member is measured. Members within r link to it
-   and leave. The others form the next region, joined by the members of the ball in the window that the triangle
-   inequality leaves (d >= nearest outsider - r); it takes a new pivot, and so on. After ``rounds`` pivots, members whose
-   distances to the last pivot differ by r at most are compared directly, so the result is exact in any case.
-
-Common shingles are those in over ``common`` boundaries, at most 2**18 of them, most frequent first; the choice affects
-the order of shingles and not the result. Equal sets are one class from the start, classes are compared instead of
+   copies. There documents are pivots. Each member gets a home region, whose pivot takes the members within r, which
+   link to it and form its Voronoi cell; the others choose a new pivot, and so on for ``rounds`` rounds, after which
+   those left are pivots themselves. Then the distances between pivots that share a region are measured. Members x
+   and y of two cells can link only in the window d(x, pivot) + d(y, pivot) >= d(pivots) - r, and only members there
+   that are still in different components are compared, so the result is exact.
+
+Common shingles are those of over ``common`` different sets, at most 2**20 of them, most frequent first; the choice
+affects the order of shingles and not the result. Equal sets are one class from the start, classes are compared instead of
 documents, and links become components by min-label hooking with pointer jumps. Sets are hashed to 64 bits a shingle.
 
 Defined results: null, empty and blank texts have the empty set and link with nothing; with fewer than n words the whole
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize, mix, runs_of, slices, span_hashes, text_buffers, tune, word_spans
 
-MOST_COMMON = 1 << 18
+MOST_COMMON = 1 << 20
 FLUSH = 1 << 20
 
 
@@ -88,15 +89,21 @@ def classes(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, n_shingles long, class long")
 
 
+def _fresh(name: np.ndarray, size: np.ndarray, seen: set) -> np.ndarray:
+    """Which sets are neither empty nor in ``seen``, to which they are added."""
+    return np.array([s > 0 and c not in seen and not seen.add(c) for s, c in zip(size.tolist(), name.tolist(), strict=True)], bool)
+
+
 def _boundaries(column: pa.Array, n: int, percent: int, common: np.ndarray, seen: set) -> Iterator[tuple[np.ndarray, ...]]:
     """Boundary shingles of sets not in ``seen``, with the class, size, last boundary place and common count of each."""
     for _, _, grams, at in shingle_sets(column, n):
         name, size = _class_of(grams, at), np.diff(at)
-        fresh = np.array([s > 0 and c not in seen and not seen.add(c) for s, c in zip(size.tolist(), name.tolist(), strict=True)], bool)
+        fresh = _fresh(name, size, seen)
         owner = np.repeat(np.arange(len(size)), size)
         if len(common):
-            j = np.minimum(np.searchsorted(common, grams), len(common) - 1)
-            late = common[j] == grams
+            own = short(grams, common.dtype.itemsize == 8)
+            j = np.minimum(np.searchsorted(common, own), len(common) - 1)
+            late = common[j] == own
             order = np.lexsort([grams, late, owner])
             grams, late = grams[order], late[order]
         else:
@@ -134,30 +141,41 @@ def _gathered(batches: Iterator[pa.RecordBatch], types: list[str]) -> Iterator[l
         yield [np.frombuffer(b"".join(r[i] for r in rows), t) for i, t in enumerate(types)]
 
 
-def common_shingles(docs: DataFrame, n: int, percent: int, common: int, buckets: int) -> np.ndarray:
-    """The shingles in most boundaries, ascending."""
+def short(grams: np.ndarray, wide: bool) -> np.ndarray:
+    """What stands for a shingle in the table of common ones: 32 bits tell them apart well enough for an order."""
+    return grams if wide else (grams >> np.uint64(32)).astype(np.uint32)
+
+
+def common_shingles(docs: DataFrame, n: int, common: int, buckets: int, wide: bool) -> np.ndarray:
+    """The shingles of more than ``common`` different sets, the most frequent of them, ascending."""
+    kind = "u8" if wide else "u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size, seen = [], 0, set()
         for batch in batches:
-            for key, *_ in _boundaries(batch.column(0), n, percent, np.empty(0, np.uint64), seen):
-                parts.append((key,))
-                size += len(key)
+            for _, _, grams, at in shingle_sets(batch.column(0), n):
+                fresh = _fresh(_class_of(grams, at), np.diff(at), seen)
+                own = grams[np.repeat(fresh, np.diff(at))]
+                parts.append((own, short(own, wide)))
+                size += len(own)
                 if size > FLUSH:
-                    yield _by_bucket(parts, buckets)
+                    yield _by_bucket(parts, buckets).select(["bucket", "c1"])
                     parts, size = [], 0
         if size:
-            yield _by_bucket(parts, buckets)
+            yield _by_bucket(parts, buckets).select(["bucket", "c1"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (key,) in _gathered(batches, ["u8"]):
-            kinds, times = np.unique(key, return_counts=True)
+        for (key,) in _gathered(batches, [kind]):
+            key = np.sort(key)
+            head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            times = np.diff(np.concatenate([head, [len(key)]]))
             often = times > common
-            yield pa.RecordBatch.from_arrays([pa.array(kinds[often].view(np.int64)), pa.array(times[often])], names=["key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[head[often]].astype(np.uint64).view(np.int64)), pa.array(times[often])], names=["key", "n"])
 
-    sent = docs.select(F.col("text").cast("string")).mapInArrow(run, "bucket long, c0 binary")
+    sent = docs.select(F.col("text").cast("string")).mapInArrow(run, "bucket long, c1 binary")
     counts = sent.repartition(buckets, "bucket").mapInArrow(count, "key long, n long")
-    return np.sort(counts.orderBy(F.desc("n"), "key").limit(MOST_COMMON).select("key").toArrow().column(0).to_numpy().view(np.uint64))
+    top = counts.orderBy(F.desc("n"), "key").limit(MOST_COMMON).select("key").toArrow().column(0).to_numpy().view(np.uint64)
+    return np.sort(top).astype(kind)
 
 
 def regions(docs: DataFrame, n: int, percent: int, common: np.ndarray, buckets: int) -> DataFrame:
@@ -187,8 +205,9 @@ def regions(docs: DataFrame, n: int, percent: int, common: np.ndarray, buckets:
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             sizes = np.diff(np.concatenate([starts, [len(key)]]))
             starts, sizes = starts[sizes > 1], sizes[sizes > 1]
-            j = np.minimum(np.searchsorted(often, key[starts]), max(len(often) - 1, 0))
-            late = often[j] == key[starts] if len(often) else np.zeros(len(starts), bool)
+            heads = short(key[starts], often.dtype.itemsize == 8)
+            j = np.minimum(np.searchsorted(often, heads), max(len(often) - 1, 0))
+            late = often[j] == heads if len(often) else np.zeros(len(starts), bool)
             pairs: list[np.ndarray] = []
             for width in np.unique(sizes[~late]):
                 first = starts[~late & (sizes == width)]
@@ -261,37 +280,55 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select(*pairs.columns, shared.alias("inter"), (F.size("s_x") + F.size("s_y") - shared).alias("either"))
 
 
-def _pivoted(members: DataFrame, sets: DataFrame, percent: int, rounds: int) -> DataFrame:
-    """Links x, y of all regions; members: r, x."""
-    radius = 1 - percent / 100
-    level, links = materialize(members.withColumn("out", F.lit(True)), "jaccard-region0"), None
+def _cells(members: DataFrame, sets: DataFrame, percent: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """x, h, delta: a pivot within r of each member and its distance; and the links x, y to pivots.
+
+    A member's home is the least of its regions. Each round the least member of a home without a pivot becomes one and
+    takes the members within r; members that are left after ``rounds`` are their own pivots."""
+    left = materialize(members.groupBy("x").agg(F.min("r").alias("home")), "jaccard-home")
+    cells = links = None
+
+    def add(more: DataFrame) -> None:
+        nonlocal cells
+        cells = more if cells is None else cells.unionByName(more)
+
     for turn in range(rounds):
-        if level.isEmpty():
-            return links
-        pivots = level.where("out").groupBy("r").agg(F.min("x").alias("p"))
-        placed = materialize(level.join(pivots, "r").where("x != p").select("r", "p", "x", "out"), f"jaccard-pivots{turn}")
-        pairs = placed.select(F.least("p", "x").alias("x"), F.greatest("p", "x").alias("y")).distinct()
-        measured = materialize(_distances(pairs, sets), f"jaccard-measured{turn}")
-        found = measured.where(F.col("inter") * 100 >= F.col("either") * percent).select("x", "y")
+        pivots = left.groupBy("home").agg(F.min("x").alias("h"))
+        placed = left.join(pivots, "home")
+        add(placed.where("x = h").select("x", "h", F.lit(0.0).alias("delta")))
+        pairs = placed.where("x != h").select("home", F.col("h").alias("x"), F.col("x").alias("y"))
+        measured = materialize(_distances(pairs, sets), f"jaccard-star{turn}")
+        near = measured.where(F.col("inter") * 100 >= F.col("either") * percent)
+        add(near.select(F.col("y").alias("x"), F.col("x").alias("h"), (1 - F.col("inter") / F.col("either")).alias("delta")))
+        found = near.select("x", "y")
         links = found if links is None else links.unionByName(found)
-        far = measured.select(F.col("x").alias("_x"), F.col("y").alias("_y"), (1 - F.col("inter") / F.col("either")).alias("d"), (F.col("inter") * 100 < F.col("either") * percent).alias("apart"))
-        with_d = placed.join(far, (F.least("p", "x") == F.col("_x")) & (F.greatest("p", "x") == F.col("_y"))).select("r", "x", "d", "apart", (F.col("out") & F.col("apart")).alias("out"))
-        with_d = materialize(with_d, f"jaccard-placed{turn}")
-        outside = with_d.where("out").groupBy("r").agg(F.min("d").alias("nearest"), F.count("*").alias("n_out"))
-        # all others that may link with an outsider; one outsider alone needs a partner
-        rest = with_d.join(outside, "r").where(F.col("out") | (F.col("d") >= F.col("nearest") - radius - 1e-9))
-        size = rest.groupBy("r").agg(F.count("*").alias("size")).where("size > 1").drop("size")
-        level = materialize(rest.join(size, "r").select("r", "x", "d", "out"), f"jaccard-region{turn + 1}")
-    if level.isEmpty():
-        return links
-    # what is left is compared within the last pivot's window
-    cell = F.floor(F.col("d") / radius)
-    near = level.select("r", "x", "d", "out", F.explode(F.array(cell, cell + 1)).alias("cell"))
-    here = level.select("r", F.col("x").alias("y"), F.col("d").alias("d_y"), F.col("out").alias("out_y"), cell.alias("cell"))
-    window = (F.abs(F.col("d") - F.col("d_y")) <= radius + 1e-9) & (F.col("out") | F.col("out_y")) & (F.col("x") != F.col("y"))
-    pairs = near.join(here, ["r", "cell"]).where(window).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    found = _distances(materialize(pairs, "jaccard-last"), sets).where(F.col("inter") * 100 >= F.col("either") * percent).select("x", "y")
-    return links.unionByName(found)
+        left = measured.where(F.col("inter") * 100 < F.col("either") * percent).select(F.col("y").alias("x"), "home")
+        if left.isEmpty():
+            break
+    else:
+        add(left.select("x", F.col("x").alias("h"), F.lit(0.0).alias("delta")))
+    return materialize(cells, "jaccard-cells"), links
+
+
+def _between(members: DataFrame, cells: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All links between different cells of a region, given the ``links`` so far, except within a component."""
+    radius = 1 - percent / 100 + 1e-9
+    placed = materialize(members.join(cells, "x"), "jaccard-placed")
+    held = placed.select("r", "h").distinct()
+    pairs = held.select("r", F.col("h").alias("x")).join(held.select("r", F.col("h").alias("y")), "r").where("x < y").select("x", "y").distinct()
+    measured = materialize(_distances(pairs, sets), "jaccard-pivots").withColumn("d", 1 - F.col("inter") / F.col("either"))
+    found = measured.where(F.col("inter") * 100 >= F.col("either") * percent).select("x", "y")
+    # members of cells whose pivots stand further apart may link only in the window that the triangle inequality leaves
+    close = measured.where((F.col("inter") * 100 < F.col("either") * percent) & (F.col("d") <= 3 * radius)).select(F.col("x").alias("h_x"), F.col("y").alias("h_y"), "d")
+    if close.isEmpty():
+        return found
+    label = components(links.unionByName(found))
+    known = placed.where("delta > 0 OR x = h").join(label.select(F.col("node").alias("x"), "root"), "x", "left").select("r", "x", "h", "delta", F.coalesce("root", "x").alias("root"))
+    a, b = (known.select("r", *(F.col(c).alias(f"{c}_{side}") for c in ("h", "delta", "root")), F.col("x").alias(side)) for side in "xy")
+    edge = a.join(close, "h_x").where(F.col("delta_x") >= F.col("d") - 2 * radius)
+    near = edge.join(b, ["r", "h_y"]).where((F.col("root_x") != F.col("root_y")) & (F.col("delta_x") + F.col("delta_y") >= F.col("d") - radius))
+    last = materialize(near.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "jaccard-window")
+    return found.unionByName(_distances(last, sets).where(F.col("inter") * 100 >= F.col("either") * percent).select("x", "y"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -313,14 +350,14 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def join(docs: DataFrame, n: int = 5, percent: int = 75, common: int = 16, rounds: int = 4) -> DataFrame:
+def join(docs: DataFrame, n: int = 5, percent: int = 75, common: int = 8, rounds: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id, and class (equal for equal sets)."""
     tune(docs.sparkSession)
     named = materialize(classes(docs, n), "jaccard-classes")
-    keys = named.agg(F.sum(F.col("n_shingles") * (100 - percent) / 100 + 1).alias("k")).first().k or 0
+    total = named.agg(F.sum("n_shingles").alias("k")).first().k or 0
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(least, int(keys // 1_000_000) + 1)
-    often = common_shingles(docs, n, percent, common, buckets)
+    buckets = max(least, int(total * (100 - percent) // 100 // 1_000_000) + 1)
+    often = common_shingles(docs, n, common, buckets, wide=total > 1 << 34)
     found = materialize(regions(docs, n, percent, often, buckets), "jaccard-regions")
     pairs = found.where("y IS NOT NULL").groupBy("x", "y").agg(F.sum("shared").alias("shared"), F.max("least").alias("least")).where("shared >= least").select("x", "y")
     pairs = materialize(pairs, "jaccard-pairs")
@@ -329,8 +366,11 @@ def join(docs: DataFrame, n: int = 5, percent: int = 75, common: int = 16, round
     reps = named.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     sets = materialize(_sets(docs, wanted.join(reps, "class"), n), "jaccard-sets")
     links = _distances(pairs, sets).where(F.col("inter") * 100 >= F.col("either") * percent).select("x", "y")
-    more = _pivoted(members, sets, percent, rounds)
-    roots = components(links if more is None else links.unionByName(more))
+    if not members.isEmpty():
+        cells, stars = _cells(members, sets, percent, rounds)
+        links = materialize(links.unionByName(stars), "jaccard-links")
+        links = links.unionByName(_between(members, cells, links, sets, percent))
+    roots = components(links)
     full = reps.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
     ids = full.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = full.join(ids, "root").select("class", "component_id")
