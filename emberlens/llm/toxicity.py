@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], s: Settings
     """The chain's models, in the order of ``categories``, and the threshold for the last probability."""
     y, row, bucket = _sample(docs, labels, categories, s)
     n = y.shape[1]
-    fold, before, chain = np.arange(n) % s.folds, np.empty((n, 0)), []
+    fold, before, chain = np.random.default_rng(n).permutation(n) % s.folds, np.empty((n, 0)), []
     for k in range(len(categories)):
         chain.append(_fit(y[k], np.ones(n, bool), row, bucket, before, s))
         if k + 1 < len(categories) or s.threshold is None:
