@@ -221,7 +221,7 @@ def test_pieces_round_trip_and_chunks(spark, odd, nothing):
     for chunk in (40, 1 << 15):
         rows = pieces.encode(odd, model_path(), chunk_chars=chunk)
         got = rows.collect()
-        assert len(got) == len(ODD) + 1 and any(r.n_chunks > 1 for r in got)
+        assert len(got) == len(ODD) + 1 and any(r.n_chunks > 1 for r in got) == (chunk == 40)
         for r in got:
             text = dict(ODD)[r.doc_id] or ""
             assert np.frombuffer(bytes(r.ids), "<u4").tolist() == tool.encode(text)
@@ -247,7 +247,8 @@ def test_max_plus_scan_equals_the_library(spark, odd, tmp_path):
     docs = odd.where("doc_id IN (3, 4, 5, 7, 11)")
     for r in pieces.encode(docs, str(path), chunk_chars=50).collect():
         text, ids = dict(ODD)[r.doc_id], np.frombuffer(bytes(r.ids), "<u4").tolist()
-        assert tool.decode(ids) == text and math.isclose(total(ids), total(tool.encode(text)), rel_tol=1e-6)
+        best = total(tool.encode(text))  # the library adds in 32 bits
+        assert tool.decode(ids) == text and total(ids) >= best - 1e-5 * abs(best) and math.isclose(total(ids), best, rel_tol=1e-5)
 
 
 def test_max_plus_products_are_associative():
@@ -260,7 +261,7 @@ def test_max_plus_products_are_associative():
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
-    copy = prose(1, 200)
+    copy = prose(1, 200).replace("\n", " ")
     rows = [(0, copy, "en", "s", 0), (1, copy + " end", "en", "s", 0), (2, "password=abcdef123 " + prose(2, 60), "en", "s", 0), (3, None, "en", "s", 0), (4, prose(3, 90), "fr", None, 0), (5, prose(3, 90), "fr", None, 0)]
     rows += [(10 + i, prose(100 + i, 60) + (" vileness" if i % 4 == 0 else ""), "en", "s", 0) for i in range(80)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
