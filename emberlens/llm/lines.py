@@ -86,6 +86,7 @@ def repeated_parts(levels: list[DataFrame], parts: DataFrame) -> DataFrame:
         named = named.withColumn("here", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "uid", "pos")).select("first", "last", "m", "here", "uid", "pos")
         named = materialize(named, f"lines-parts{k}")
         origin = named.groupBy("first", "last", "m").agg(F.min("here").alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
+        origin = materialize(origin, f"lines-origin{k}")
         later = named.join(origin, ["first", "last", "m"]).where("here > origin").select("uid", "pos", "m")
         out = later if out is None else out.unionByName(later)
     return out
@@ -99,7 +100,8 @@ def dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
     tune(spark)
     held = materialize(docs.drop("n_lines", "n_deleted").withColumn("_uid", F.monotonically_increasing_id()), "lines-docs")
     lines = materialize(line_rows(held, min_words), "lines-rows")
-    repeated = lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    # written first, so that the join's sides are plain exchanges, whose hot lines Spark can split
+    repeated = materialize(lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "lines-repeated")
     live = materialize(lines.join(repeated, "h").select("uid", "doc_id", "pos", "line", F.col("h").alias("rank"), "fwd", "bwd"), "lines-live")
     parts = live.where("fwd > 0").select("uid", "doc_id", "pos", F.col("fwd").alias("m"))
     parts = parts.unionByName(live.where("bwd > 0").select("uid", "doc_id", (F.col("pos") - F.col("bwd") + 1).alias("pos"), F.col("bwd").alias("m"))).distinct()
