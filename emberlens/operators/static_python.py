@@ -20,6 +20,10 @@ SCHEMA = "file string, kind string, name string, line int, loop int, is_async bo
 BLOCKING = ("time.sleep", "requests.get", "requests.post", "requests.put", "requests.delete", "requests.request", "urllib.request.urlopen", "subprocess.run", "subprocess.check_output", "os.system")
 SETUP = ("re.compile", "sqlite3.connect", "boto3.client", "boto3.resource", "boto3.Session", "requests.Session", "psycopg2.connect")
 MUTABLE = (ast.List, ast.Dict, ast.Set, ast.ListComp, ast.DictComp, ast.SetComp)
+DATABASE = ("psycopg2", "sqlite3", "pymysql", "MySQLdb", "pyodbc", "cx_Oracle")
+HEAVY = ("pandas", "numpy", "scipy", "torch", "tensorflow", "sklearn", "matplotlib", "boto3", "cv2")
+LLM_CALLS = ("messages.create", "completions.create", "responses.create", "invoke_model", "converse")
+TOKEN_CAPS = ("max_tokens", "max_completion_tokens", "max_output_tokens", "inferenceConfig", "body")
 LOG_METHODS = ("debug", "info", "warning", "error", "exception", "critical", "log")
 
 
@@ -126,6 +130,15 @@ class _Facts(ast.NodeVisitor):
         name = self.dotted(node.func)
         method = node.func.attr if isinstance(node.func, ast.Attribute) else ""
         self.add("call", name, node, method)
+        if name.endswith(LLM_CALLS) or method in LLM_CALLS:
+            keywords = [k.arg or "**" for k in node.keywords]
+            tools = next((len(k.value.elts) for k in node.keywords if k.arg == "tools" and isinstance(k.value, ast.List)), 0)
+            self.add("llm_call", name, node, ",".join([*keywords, f"#{tools}"]))
+        if method in ("execute", "executemany") and node.args:
+            text = node.args[0]
+            first = text.values[0] if isinstance(text, ast.JoinedStr) and text.values else text
+            if isinstance(first, ast.Constant) and isinstance(first.value, str):
+                self.add("sql", method, node, first.value if first is text else first.value + " ?")
         if name == "open" and not self.closing:
             self.add("open", name, node)
         if method in ("pop", "insert") and node.args and isinstance(node.args[0], ast.Constant) and node.args[0].value == 0:
@@ -161,6 +174,13 @@ class _Facts(ast.NodeVisitor):
 
     def visit_Assert(self, node: ast.Assert) -> None:
         self.add("assert", "assert", node, "message" if node.msg else "")
+        if isinstance(node.test, ast.Compare):
+            sides = [node.test.left, *node.test.comparators]
+            if any(isinstance(x, ast.Call) and self.dotted(x.func) in ("str", "repr") for x in sides):
+                self.add("sensitive_assert", "assert", node)
+            if any(isinstance(x, ast.Constant) and type(x.value) in (int, float) and x.value not in (-1, 0, 1, 2, 10, 100) for x in sides):
+                self.add("magic_assert", "assert", node)
+        self.add("assertion", ast.dump(node.test)[:200], node)
         if isinstance(node.test, ast.Constant) or isinstance(node.test, ast.Compare) and len(node.test.comparators) == 1 and ast.dump(node.test.left) == ast.dump(node.test.comparators[0]):
             self.add("redundant_assert", "assert", node)
         self.generic_visit(node)
@@ -207,6 +227,13 @@ def single_fact_rules() -> list[tuple[str, Column, str]]:
         _rule("PY-07", (kind == "call") & name.isin(*BLOCKING) & F.col("is_async"), "high"), _rule("PY-08", kind == "open"), _rule("PY-09", kind == "mutable_default", "high"),
         _rule("OBS-02", kind == "eager_log"), _rule("OBS-03", (kind == "call") & F.col("detail").isin(*LOG_METHODS) & loop), _rule("TST-10", kind == "redundant_assert", "high"),
         _rule("TST-12", (kind == "call") & (name == "time.sleep") & test), _rule("TST-07", (kind == "function") & test & name.startswith("test") & (F.try_to_number("detail", F.lit("999999")) > 30)),
+        _rule("DB-09", (kind == "sql") & loop & F.col("detail").rlike("(?i)^[ \t\r\n]*(select|with)")), _rule("DB-13", (kind == "sql") & loop & (name == "execute") & F.col("detail").rlike("(?i)^[ \t\r\n]*(insert|update|delete)")),
+        _rule("DB-14", (kind == "sql") & F.col("detail").rlike("(?i)select[ \t\r\n]+([a-z_0-9]+[.])?[*]") & ~F.col("detail").rlike("(?i)exists[ \t\r\n]*[(][ \t\r\n]*select|insert[ \t\r\n]+into"), "high"),
+        _rule("DB-39", (kind == "sql") & F.col("detail").rlike("(?i)[ \t\r\n]offset[ \t\r\n]+([1-9][0-9]{2,}|[^0-9 \t\r\n])")),
+        _rule("DB-41", (kind == "call") & F.col("is_async") & F.split("name", "[.]")[0].isin(*DATABASE), "high"),
+        _rule("LLM-07", (kind == "llm_call") & ~F.arrays_overlap(F.split("detail", ","), F.array(*map(F.lit, (*TOKEN_CAPS, "**"))))),
+        _rule("LLM-15", (kind == "llm_call") & (F.regexp_extract("detail", "#([0-9]+)$", 1).cast("int") > 20), "high"),
+        _rule("LLM-11", (kind == "llm_call") & loop, "low"), _rule("TST-04", (kind == "magic_assert") & test, "low"), _rule("TST-08", (kind == "sensitive_assert") & test),
         _rule("TST-09", (kind == "assert") & test & loop),
     ]
 
@@ -220,12 +247,16 @@ def hits(table: DataFrame) -> DataFrame:
     reads = table.where("kind = 'read'").select("file", "name").distinct()
     unused = imports.where(~F.col("detail").startswith("__future__")).join(reads, ["file", "name"], "left_anti").where(~F.col("file").endswith("__init__.py"))
     unused = unused.select(F.lit("CODE-C1.1").alias("check_id"), *columns, F.lit("medium").alias("confidence"))
+    heavy = unused.join(table.where("kind = 'import'").select("file", "line", "detail"), ["file", "line"]).where(F.split("detail", "[.]")[0].isin(*HEAVY))
+    heavy = heavy.select(F.lit("PY-10").alias("check_id"), "file", "scope", "line", "anchor", "confidence").distinct()
+    twice = table.where("kind = 'assertion'").groupBy("file", "scope", "name").agg(F.count("*").alias("n"), F.min("line").alias("line")).where("n > 1")
+    twice = twice.select(F.lit("TST-05").alias("check_id"), "file", "scope", "line", F.concat_ws(":", "scope", F.lit("assertion"), F.sha2("name", 256)).alias("anchor"), F.lit("medium").alias("confidence"))
     tests = table.where((F.col("kind") == "function") & F.col("name").startswith("test")).select("file", F.concat_ws(".", F.nullif("scope", F.lit("")), "name").alias("scope"), "line", "name")
     asserted = table.where("kind = 'assert' OR (kind = 'call' AND (detail LIKE 'assert%' OR name LIKE '%raises'))").groupBy("file", "scope").agg(F.count_if((F.col("kind") == "assert") & (F.col("detail") == "")).alias("bare"))
     own = tests.join(asserted, ["file", "scope"], "left").select("file", "scope", "line", F.concat_ws(":", "scope", F.lit("test"), "name").alias("anchor"), "bare")
     unknown = own.where("bare IS NULL").select(F.lit("TST-06").alias("check_id"), "file", "scope", "line", "anchor", F.lit("medium").alias("confidence"))
     roulette = own.where("bare >= 2").select(F.lit("TST-01").alias("check_id"), "file", "scope", "line", "anchor", F.lit("low").alias("confidence"))
-    every = single.unionByName(unused).unionByName(unknown).unionByName(roulette)
+    every = single.unionByName(unused).unionByName(heavy).unionByName(twice).unionByName(unknown).unionByName(roulette)
     n = F.row_number().over(Window.partitionBy("check_id", "file", "anchor").orderBy("line"))
     return every.withColumn("identity", suffixed(F.col("anchor"), n))
 
@@ -233,3 +264,14 @@ def hits(table: DataFrame) -> DataFrame:
 def coverage(table: DataFrame) -> DataFrame:
     """Every file, evaluated or omitted with a reason."""
     return table.where("kind IN ('parsed', 'unparsed')").select("file", F.when(F.col("kind") == "parsed", "evaluated").otherwise("omitted").alias("status"), F.when(F.col("kind") == "unparsed", "does not parse").alias("reason"))
+
+
+def unused_left_joins(table: DataFrame) -> DataFrame:
+    """DB-29: LEFT JOIN aliases that a statement's other parts never name; statements with subqueries or * are not judged."""
+    sql = table.where("kind = 'sql'").select("file", "scope", "line", F.regexp_replace("detail", "[ \t\r\n]+", " ").alias("q"))
+    plain = sql.where(~F.col("q").rlike("(?i)[(] *select|^with |[*]| union "))
+    joins = plain.select("*", F.explode(F.regexp_extract_all("q", F.lit("(?i)(left (?:outer )?join [a-z_0-9.]+ (?:as )?[a-z_0-9]+ on .*?)(?= left | inner | join | where | group | order | limit |$)"), F.lit(1))).alias("clause"))
+    named = joins.withColumn("alias", F.lower(F.regexp_extract("clause", "(?i)join [a-z_0-9.]+ (?:as )?([a-z_0-9]+) on ", 1)))
+    rest = F.replace(F.lower("q"), F.lower("clause"), F.lit(" "))
+    left = named.where(~rest.contains(F.concat("alias", F.lit("."))))
+    return left.select(F.lit("DB-29").alias("check_id"), "file", "scope", "line", F.concat_ws(":", F.lit("left-join"), "alias").alias("identity"))
