@@ -13,7 +13,8 @@ pivots, all regions would get all documents). So regions are cut in two steps.
    link to it and form its Voronoi cell; the others choose a new pivot, and so on for ``rounds`` rounds, after which
    those left are pivots themselves. Then the distances between pivots that share a region are measured. Members x
    and y of two cells can link only in the window d(x, pivot) + d(y, pivot) >= d(pivots) - r, and only members there
-   that are still in different components are compared, so the result is exact.
+   (and in the same window of symmetric differences) that are still in different components are compared, so the
+   result is exact.
 
 Common shingles are those of over ``common`` different sets, at most 2**20 of them, most frequent first; the choice
 affects the order of shingles and not the result. Equal sets are one class from the start, classes are compared instead of
@@ -37,6 +38,8 @@ from .common import discard, materialize, mix, runs_of, slices, span_hashes, tex
 
 MOST_COMMON = 1 << 20
 FLUSH = 1 << 20
+#: Members of a cell that are compared with its guests at once.
+BLOCK = 256
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -281,11 +284,12 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _cells(members: DataFrame, sets: DataFrame, percent: int, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """x, h, delta: a pivot within r of each member and its distance; and the links x, y to pivots.
+    """x, h, delta, gap: a pivot within r of each member, its distance and the size of their symmetric difference; and the links x, y to pivots.
 
-    A member's home is the least of its regions. Each round the least member of a home without a pivot becomes one and
-    takes the members within r; members that are left after ``rounds`` are their own pivots."""
-    left = materialize(members.groupBy("x").agg(F.min("r").alias("home")), "jaccard-home")
+    A member's home is the least of its regions. Each round the member of a home that is in most regions, so the one with
+    the fewest shingles of its own, becomes a pivot and takes the members within r; what near copies are copies of has all
+    of them near. Members that are left after ``rounds`` are their own pivots."""
+    left = materialize(members.groupBy("x").agg(F.min("r").alias("home"), F.count("*").alias("n")), "jaccard-home")
     cells = links = None
 
     def add(more: DataFrame) -> None:
@@ -293,42 +297,86 @@ def _cells(members: DataFrame, sets: DataFrame, percent: int, rounds: int) -> tu
         cells = more if cells is None else cells.unionByName(more)
 
     for turn in range(rounds):
-        pivots = left.groupBy("home").agg(F.min("x").alias("h"))
+        pivots = left.groupBy("home").agg(F.min_by("x", F.struct(-F.col("n"), "x")).alias("h"))
         placed = left.join(pivots, "home")
-        add(placed.where("x = h").select("x", "h", F.lit(0.0).alias("delta")))
-        pairs = placed.where("x != h").select("home", F.col("h").alias("x"), F.col("x").alias("y"))
+        add(placed.where("x = h").select("x", "h", F.lit(0.0).alias("delta"), F.lit(0).cast("long").alias("gap")))
+        pairs = placed.where("x != h").select("home", "n", F.col("h").alias("x"), F.col("x").alias("y"))
         measured = materialize(_distances(pairs, sets), f"jaccard-star{turn}")
         near = measured.where(F.col("inter") * 100 >= F.col("either") * percent)
-        add(near.select(F.col("y").alias("x"), F.col("x").alias("h"), (1 - F.col("inter") / F.col("either")).alias("delta")))
+        add(near.select(F.col("y").alias("x"), F.col("x").alias("h"), (1 - F.col("inter") / F.col("either")).alias("delta"), (F.col("either") - F.col("inter")).alias("gap")))
         found = near.select("x", "y")
         links = found if links is None else links.unionByName(found)
-        left = measured.where(F.col("inter") * 100 < F.col("either") * percent).select(F.col("y").alias("x"), "home")
+        left = measured.where(F.col("inter") * 100 < F.col("either") * percent).select(F.col("y").alias("x"), "home", "n")
         if left.isEmpty():
             break
     else:
-        add(left.select("x", F.col("x").alias("h"), F.lit(0.0).alias("delta")))
+        add(left.select("x", F.col("x").alias("h"), F.lit(0.0).alias("delta"), F.lit(0).cast("long").alias("gap")))
     return materialize(cells, "jaccard-cells"), links
 
 
 def _between(members: DataFrame, cells: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """All links between different cells of a region, given the ``links`` so far, except within a component."""
     radius = 1 - percent / 100 + 1e-9
-    placed = materialize(members.join(cells, "x"), "jaccard-placed")
-    held = placed.select("r", "h").distinct()
+    sizes = sets.select(F.col("class").alias("x"), F.size("s").cast("long").alias("n"))
+    placed = materialize(members.join(cells.join(sizes, "x"), "x"), "jaccard-placed")
+    held = materialize(placed.select("r", "h").distinct(), "jaccard-held")
+    # regions that hold the same pivots pair them once
+    named = held.groupBy("r").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("h")).alias("name")).where("n > 1")
+    held = materialize(held.join(named.groupBy("n", "name").agg(F.min("r").alias("r")), "r").select("r", "h"), "jaccard-held")
     pairs = held.select("r", F.col("h").alias("x")).join(held.select("r", F.col("h").alias("y")), "r").where("x < y").select("x", "y").distinct()
     measured = materialize(_distances(pairs, sets), "jaccard-pivots").withColumn("d", 1 - F.col("inter") / F.col("either"))
     found = measured.where(F.col("inter") * 100 >= F.col("either") * percent).select("x", "y")
-    # members of cells whose pivots stand further apart may link only in the window that the triangle inequality leaves
-    close = measured.where((F.col("inter") * 100 < F.col("either") * percent) & (F.col("d") <= 3 * radius)).select(F.col("x").alias("h_x"), F.col("y").alias("h_y"), "d")
+    # Members of cells whose pivots stand further apart may link only in the window that the triangle inequality leaves.
+    # Its other form, on symmetric differences, is sharper for pairs: linked sets differ by no more than a share of both sizes.
+    close = measured.where((F.col("inter") * 100 < F.col("either") * percent) & (F.col("d") <= 3 * radius)).select(F.col("x").alias("h_x"), F.col("y").alias("h_y"), "d", (F.col("either") - F.col("inter")).alias("apart"))
     if close.isEmpty():
         return found
     label = components(links.unionByName(found))
-    known = placed.where("delta > 0 OR x = h").join(label.select(F.col("node").alias("x"), "root"), "x", "left").select("r", "x", "h", "delta", F.coalesce("root", "x").alias("root"))
-    a, b = (known.select("r", *(F.col(c).alias(f"{c}_{side}") for c in ("h", "delta", "root")), F.col("x").alias(side)) for side in "xy")
-    edge = a.join(close, "h_x").where(F.col("delta_x") >= F.col("d") - 2 * radius)
-    near = edge.join(b, ["r", "h_y"]).where((F.col("root_x") != F.col("root_y")) & (F.col("delta_x") + F.col("delta_y") >= F.col("d") - radius))
-    last = materialize(near.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "jaccard-window")
-    return found.unionByName(_distances(last, sets).where(F.col("inter") * 100 >= F.col("either") * percent).select("x", "y"))
+    sized = cells.join(sizes, "x").join(label.select(F.col("node").alias("x"), "root"), "x", "left").select("x", "h", "gap", "n", F.coalesce("root", "x").alias("root"))
+    sized = materialize(sized, "jaccard-sized")
+    cell = sized.groupBy("h").agg(F.count("*").alias("cell"), F.max("gap").alias("most_gap"), F.max("n").alias("most_n"))
+    side = lambda c: cell.select(F.col("h").alias(f"h_{c}"), F.col("cell").alias(f"cell_{c}"))
+    # two lone pivots have been measured; otherwise the larger cell stays, in blocks, and the other's members visit it
+    near = close.join(side("x"), "h_x").join(side("y"), "h_y").where("cell_x > 1 OR cell_y > 1")
+    larger = F.col("cell_x") >= F.col("cell_y")
+    near = near.select(F.when(larger, F.col("h_x")).otherwise(F.col("h_y")).alias("h"), F.when(larger, F.col("h_y")).otherwise(F.col("h_x")).alias("guest"), "apart")
+    blocks = F.ceil(F.col("cell") / BLOCK).cast("int")
+    hosts = near.select("h").distinct().join(cell, "h")
+    ours = sized.join(hosts.select("h", "cell"), "h").select("h", F.pmod(F.xxhash64("x"), blocks).cast("int").alias("block"), "x", "gap", "n", "root")
+    guests = near.join(hosts, "h").join(sized.select(F.col("h").alias("guest"), "x", "gap", "n", "root"), "guest")
+    guests = guests.where((F.col("apart") - F.col("gap") - F.col("most_gap")) * (100 + percent) <= (F.col("n") + F.col("most_n")) * (100 - percent))
+    guests = guests.select("h", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "x", "gap", "n", "root", "apart")
+    held_sets = sets.select(F.col("class").alias("x"), "s")
+    # new names on both sides, as both read the same tables
+    ours = ours.join(held_sets, "x").select(*(F.col(c).alias(f"own_{c}") for c in ("h", "block", "x", "gap", "n", "root", "s")))
+    guests = guests.join(held_sets, "x").select(*(F.col(c).alias(f"guest_{c}") for c in ("h", "block", "x", "gap", "n", "root", "s")), F.col("apart").alias("guest_apart"))
+    compared = ours.groupBy("own_h", "own_block").cogroup(guests.groupBy("guest_h", "guest_block"))
+    return found.unionByName(compared.applyInPandas(lambda a, b: _visits(a, b, percent), "x long, y long"))
+
+
+def _visits(ours, guests, percent: int):
+    """Links between a block of a cell and its guests that still are in different components."""
+    import pandas as pd
+
+    xs, ys = [], []
+    if len(ours) and len(guests):
+        names, gap, n, root = (ours[f"own_{c}"].to_numpy() for c in ("x", "gap", "n", "root"))
+        owner = np.repeat(np.arange(len(ours)), [len(s) for s in ours.own_s])
+        every = np.concatenate(list(ours.own_s))
+        order = np.argsort(every)
+        every, owner = every[order], owner[order]
+        for g in guests.itertuples():
+            open_ = (root != g.guest_root) & ((g.guest_apart - gap - g.guest_gap) * (100 + percent) <= (n + g.guest_n) * (100 - percent))
+            if not open_.any():
+                continue
+            lo, hi = np.searchsorted(every, g.guest_s), np.searchsorted(every, g.guest_s, "right")
+            size = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+            inter = np.bincount(owner[at], minlength=len(ours))
+            linked = open_ & (inter * 100 >= (n + g.guest_n - inter) * percent)
+            xs += np.minimum(names[linked], g.guest_x).tolist()
+            ys += np.maximum(names[linked], g.guest_x).tolist()
+    return pd.DataFrame({"x": np.array(xs, np.int64), "y": np.array(ys, np.int64)})
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -350,7 +398,7 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def join(docs: DataFrame, n: int = 5, percent: int = 75, common: int = 8, rounds: int = 4) -> DataFrame:
+def join(docs: DataFrame, n: int = 5, percent: int = 75, common: int = 8, rounds: int = 6) -> DataFrame:
     """doc_id, n_shingles, component_id, and class (equal for equal sets)."""
     tune(docs.sparkSession)
     named = materialize(classes(docs, n), "jaccard-classes")
