@@ -54,13 +54,17 @@ def test_entry(spark):
     assert rows and {"status", "fingerprint"} <= set(rows[0].asDict())
 
 
-def test_fingerprint_is_the_published_one(spark):
+def test_fingerprint_is_the_hash_of_canonical_json(spark):
+    import hashlib
+    import json
+
     from pyspark.sql import functions as F
 
     from emberlens.functions.contract import fingerprint
 
-    parts = [F.lit(x) for x in ("github:AWS-env/example", "OBS-01", "file:config/production.yaml", "production-log-level")]
-    assert spark.range(1).select(fingerprint(*parts).alias("f")).first().f == "22ff2e3a29b6270027d8f01268ac9e3683e44f707cbd979fb88af6b33e0c9aab"
+    parts = ["github:some/place", "OBS-01", "file:config/production.yaml", 'log "level"']
+    expected = hashlib.sha256(json.dumps(parts, separators=(",", ":")).encode()).hexdigest()
+    assert spark.range(1).select(fingerprint(*map(F.lit, parts)).alias("f")).first().f == expected
 
 
 def test_too_little_evidence_is_omitted(spark):
