@@ -335,11 +335,12 @@ def _between(members: DataFrame, cells: DataFrame, links: DataFrame, sets: DataF
     sized = cells.join(sizes, "x").join(label.select(F.col("node").alias("x"), "root"), "x", "left").select("x", "h", "gap", "n", F.coalesce("root", "x").alias("root"))
     sized = materialize(sized, "jaccard-sized")
     cell = sized.groupBy("h").agg(F.count("*").alias("cell"), F.max("gap").alias("most_gap"), F.max("n").alias("most_n"))
-    side = lambda c: cell.select(F.col("h").alias(f"h_{c}"), F.col("cell").alias(f"cell_{c}"))
-    # two lone pivots have been measured; otherwise the larger cell stays, in blocks, and the other's members visit it
-    near = close.join(side("x"), "h_x").join(side("y"), "h_y").where("cell_x > 1 OR cell_y > 1")
-    larger = F.col("cell_x") >= F.col("cell_y")
-    near = near.select(F.when(larger, F.col("h_x")).otherwise(F.col("h_y")).alias("h"), F.when(larger, F.col("h_y")).otherwise(F.col("h_x")).alias("guest"), "apart")
+    # two lone pivots have been measured; a cell of several members stays, in blocks, and the other's members visit it
+    several = cell.where("cell > 1").select(F.col("h").alias("host"))
+    near = None
+    for own, other in (("h_x", "h_y"), ("h_y", "h_x")):
+        part = close.join(several, F.col(own) == F.col("host")).select(F.col(own).alias("h"), F.col(other).alias("guest"), "apart")
+        near = part if near is None else near.unionByName(part)
     blocks = F.ceil(F.col("cell") / BLOCK).cast("int")
     hosts = near.select("h").distinct().join(cell, "h")
     ours = sized.join(hosts.select("h", "cell"), "h").select("h", F.pmod(F.xxhash64("x"), blocks).cast("int").alias("block"), "x", "gap", "n", "root")
