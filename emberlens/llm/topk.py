@@ -2,9 +2,10 @@
 
 Vectors become integers, so scores are exact. An SVD of the whole table (its Gram matrix is summed over all partitions)
 gives a rotation under which the first coordinates hold most of the length. Vectors are range-partitioned and sorted by
-descending norm. For a block of vectors and a block of queries: the product of norms bounds every score, and a block
-whose bound is under every query's k-th score ends the partition; else partial sums over the leading coordinates plus
-the Cauchy-Schwarz product of the residual norms leave few pairs, whose exact integer products are taken. Each query's
+descending norm; a task may read several such runs in any order, so blocks are cut where norms rise. For a block of
+vectors and a block of queries: the product of the largest norms bounds every score, and a block whose bound is under
+every query's k-th score is skipped; else partial sums over the leading coordinates plus the Cauchy-Schwarz product of
+the residual norms leave few pairs, whose exact integer products are taken. Each query's
 first k-th score comes from the longest vectors of all. Queries are taken in blocks of bounded size, each block sent
 to every partition; a partition returns at most k rows for a query, ranked again over all.
 
@@ -17,6 +18,7 @@ an empty table gives an empty result; other columns are not read. Components are
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,6 +80,14 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return scores[order], ids[order]
 
 
+def _blocks(norms: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most BLOCK rows, none across a rise of the norms."""
+    edges = [0, *(np.flatnonzero(np.diff(norms) > 0) + 1).tolist(), len(norms)]
+    for a, b in itertools.pairwise(edges):
+        for at in range(a, b, BLOCK):
+            yield at, min(at + BLOCK, b)
+
+
 class _Search:
     """One query block's state in one partition."""
 
@@ -90,19 +100,19 @@ class _Search:
         self.big = bool(len(q)) and np.abs(q).max() > EXACT
         self.top: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, np.int64))] * len(ids)
 
-    def block(self, ids: np.ndarray, v: np.ndarray, longest: float) -> bool:
-        """False when no later, shorter vector can matter."""
-        slack = 1 + 1e-9
-        live = np.flatnonzero(self.norm * longest * slack + 1 >= self.least)
-        if not len(live):
-            return False
+    def live(self, longest: float) -> np.ndarray:
+        """The queries for which a vector of at most this norm can matter."""
+        return np.flatnonzero(self.norm * longest * (1 + 1e-9) + 1 >= self.least)
+
+    def block(self, ids: np.ndarray, v: np.ndarray, live: np.ndarray) -> None:
+        """Take a block's best scores with the ``live`` queries."""
         turned = v @ self.rotation
         tail = np.sqrt((turned[:, self.lead :] ** 2).sum(1))
         bound = self.head[live] @ turned[:, : self.lead].T + np.outer(self.tail[live], tail)
         bound += 1 + 1e-9 * np.outer(self.norm[live], np.sqrt((v**2).sum(1)))
         hit_q, hit_v = np.nonzero(bound >= self.least[live][:, None])
         if not len(hit_q):
-            return True
+            return
         hit_q = live[hit_q]
         if self.big or np.abs(v).max() > EXACT:
             scores = np.array([sum(int(a) * int(b) for a, b in zip(self.q[i], v[j], strict=True)) for i, j in zip(hit_q, hit_v, strict=True)], object)
@@ -122,7 +132,6 @@ class _Search:
             self.top[i] = s, d
             if len(s) == self.k:
                 self.least[i] = max(self.least[i], float(s[-1]))
-        return True
 
 
 def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", column: str = "embedding", scale: int = 1024, block_queries: int = 2048) -> DataFrame:
@@ -159,11 +168,12 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", co
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             q_ids, q, rotation, lead, floor = sent.value
             state = _Search(q_ids, q, rotation, lead, k, floor)
-            going = bool(len(q))
             for batch in batches:
-                for at in range(0, len(batch) if going else 0, BLOCK):
-                    part = batch.slice(at, BLOCK)
-                    going = going and state.block(part.column(0).to_numpy(), _matrix(part.column(1), width), float(np.sqrt(part.column(2)[0].as_py())))
+                norms = np.sqrt(batch.column(2).to_numpy())
+                for a, b in _blocks(norms):
+                    if len(live := state.live(norms[a:b].max())):
+                        part = batch.slice(a, b - a)
+                        state.block(part.column(0).to_numpy(), _matrix(part.column(1), width), live)
             qs, vs, ss = ([], [], [])
             for i, (s, d) in enumerate(state.top):
                 qs += [q_ids[i]] * len(s)

@@ -183,6 +183,29 @@ def test_top_k(spark):
     assert topk.search(df.where("vec_id < 3"), lambda c: c % 100 == 0).count() == 2
 
 
+def test_top_k_of_mixed_norms_in_many_files(spark):
+    # the long vectors have fewer components, so their files are smaller and read after those of the short ones
+    rng = np.random.default_rng(4)
+    v = np.floor(1024 * rng.normal(size=(6000, 8)) * rng.lognormal(0, 2, size=(6000, 1)))
+    v[(v**2).sum(1) > np.median((v**2).sum(1)), 3:] = 0
+    df = spark.createDataFrame([(i, np.trim_zeros(x / 1024, "b").tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    own = {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.minPartitionNum": "1"}
+    before = {key: spark.conf.get(key, None) for key in own}
+    try:
+        for key, value in own.items():
+            spark.conf.set(key, value)
+        got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.search(df, lambda c: c % 100 == 0, k=10).collect()}
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    expected = set()
+    for q in range(0, 6000, 100):
+        scores = v @ v[q]
+        best = sorted((-s, i) for i, s in enumerate(scores.tolist()) if i != q)[:10]
+        expected |= {(q, n + 1, i, int(-s)) for n, (s, i) in enumerate(best)}
+    assert got == expected
+
+
 def test_toxicity_chain(spark, odd, nothing):
     rng = random.Random(6)
     docs, labels = [], []
