@@ -1,8 +1,8 @@
 """Secret scans through layers of encoding, by a worklist that runs to its fixpoint.
 
 A layer is a text whose every character knows the span of the original it came from. Each layer is scanned; then its
-percent and Unicode escapes are unwrapped into one new layer, and each base64 run that decodes to text, or to gzip, zlib,
-bzip2, xz or zstandard data that does, into another. New layers join the worklist unless the same text over the same span
+percent and Unicode escapes are unwrapped into one new layer, and each base64 run (of either alphabet, on one line or cut
+into lines of one width) that decodes to text, or to gzip, zlib, bzip2, xz or zstandard data that does, into another. New layers join the worklist unless the same text over the same span
 was seen before, which also ends data that decompress to themselves. Spans found in a layer are mapped to the original.
 
 Spans are code points, end exclusive. Defined results: a null text counts as empty and has no spans; copies and repeated
@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import bz2
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
@@ -37,7 +39,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 # Escapes and wrapped data.
 ESCAPE = re.compile(r"((?:%[0-9A-Fa-f]{2})+)|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|((?:\\x[0-9A-Fa-f]{2})+)|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
-WRAPPED = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+PARTS = tuple(re.compile(p) for p in (r"[A-Za-z0-9+/]{16,}={0,2}", r"[A-Za-z0-9_-]{16,}={0,2}", r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}"))
+# Runs of one of the alphabets on successive lines; indents and blanks at line ends are passed over.
+LINES, STANDARD_LINES, URL_LINES = (re.compile(rf"(?<![{c}])[{c}]++(?:[ \t]*+\r?\n[ \t]*+[{c}]++)++={{0,2}}") for c in ("A-Za-z0-9+/_-", "A-Za-z0-9+/", "A-Za-z0-9_-"))
+LINE = re.compile(r"[^ \t\r\n]+")
 KEYWORD = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 
 Span = tuple[int, int, int]  # start, kind, end
@@ -89,41 +95,84 @@ class _Layer:
             return None
         return _Layer("".join([*parts, self.text[last:]]), at + keep(last, len(self.text)))
 
+    def runs(self) -> Iterator[list[tuple[int, int]]]:
+        """Stretches that may be base64, as pieces to be joined; those with more pieces before the pieces alone."""
+        for m in LINES.finditer(self.text):
+            yield from _joined([x.span() for x in LINE.finditer(self.text, *m.span())])
+            if "-" in m[0] or "_" in m[0]:
+                for pattern in (STANDARD_LINES, URL_LINES):
+                    for part in pattern.finditer(self.text, *m.span()):
+                        yield from _joined([x.span() for x in LINE.finditer(self.text, *part.span())])
+        for m in WRAPPED.finditer(self.text):
+            yield [m.span()]
+            if "-" in m[0] or "_" in m[0]:
+                for part in dict.fromkeys(x.span() for pattern in PARTS for x in pattern.finditer(self.text, *m.span())):
+                    if part != m.span():
+                        yield [part]
+
     def wrapped(self, room: int) -> Iterator["_Layer | None"]:
         """A layer for each run that holds text; None for one that would not fit."""
-        for m in WRAPPED.finditer(self.text):
-            body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
+        done: dict[int, int] = {}  # where decoding would repeat a part of what is decoded: first character, end
+        for pieces in self.runs():
+            start, end = pieces[0][0], pieces[-1][1]
+            if done.get(start, -1) >= end:
+                continue
+            body = "".join(self.text[a:b] for a, b in pieces).rstrip("=").replace("-", "+").replace("_", "/")
             if len(body) % 4 == 1:
                 continue
             try:
                 raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
             except (binascii.Error, ValueError):
                 continue
-            opened = False
+            opened = refused = False
             try:
                 while (inner := _decompressed(raw, room)) is not None and inner != raw:
                     raw, opened = inner, True
             except MemoryError:
+                refused = True
+            if not refused:
+                try:
+                    text = raw.decode("utf-8")
+                except UnicodeDecodeError:
+                    continue
+                if not text or sum(c.isprintable() or c in "\t\r\n" for c in text) < 0.95 * len(text):
+                    continue
+            offsets = [0, *itertools.accumulate(b - a for a, b in pieces)]
+            done.update((a, end) for (a, _), n in zip(pieces, offsets, strict=False) if n % 4 == 0 and done.get(a, -1) < end)
+            if refused:
                 yield None
                 continue
-            try:
-                text = raw.decode("utf-8")
-            except UnicodeDecodeError:
-                continue
-            if not text or sum(c.isprintable() or c in "\t\r\n" for c in text) < 0.95 * len(text):
-                continue
             if opened:
-                yield _Layer(text, self.origin(*m.span()))
+                yield _Layer(text, self.origin(start, end))
                 continue
+
+            def place(n: int) -> int:
+                k = bisect.bisect_right(offsets, n, hi=len(pieces)) - 1
+                return pieces[k][0] + n - offsets[k]
+
             at, byte = [], 0
             for c in text:
                 n = len(c.encode())
-                first, last = m.start() + byte * 4 // 3, m.start() + -(-(byte + n) * 4 // 3)
-                at.append(self.origin(first, min(last, m.end())))
+                first, last = byte * 4 // 3, min(-(-(byte + n) * 4 // 3), offsets[-1])
+                at.append(self.origin(place(first), place(last - 1) + 1))
                 byte += n
             yield _Layer(text, at)
 
 
+def _joined(lines: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+    """Successive lines that encoders may have cut: lines of one width, with or without a shorter one before and after."""
+    widths = [b - a for a, b in lines]
+    at = 0
+    for width, group in itertools.groupby(widths):
+        end = at + len(list(group))
+        before = at - (at > 0 and widths[at - 1] < width)
+        after = end + (end < len(lines) and widths[end] < width)
+        for a, b in dict.fromkeys([(before, after), (at, after), (before, end), (at, end)]):
+            if b - a > 1 and sum(widths[a:b]) >= 16:
+                yield lines[a:b]
+        at = end
+
+
 def _decompressed(raw: bytes, room: int) -> bytes | None:
     """What compressed data hold, None if they are not compressed; MemoryError beyond ``room`` bytes."""
     try:

@@ -85,6 +85,31 @@ def test_wrapped_secrets_are_found_and_mapped(wrap):
     assert "correcthorse1" not in secrets.redacted(text, spans)
 
 
+@pytest.mark.parametrize("press", [lambda b: b, gzip.compress, zlib.compress, zstandard.compress])
+@pytest.mark.parametrize("before, after", [("see ", " and nothing else"), ("Title\n", "\nand nothing else"), ("-----BEGIN X-----\n", "\n-----END X-----\n"), ("a" * 90 + "\n", "")])
+def test_url_safe_and_wrapped_base64(press, before, after):
+    for n in range(40):
+        raw = press(f"{rich(n, 60)} ÿ~?~ÿ password=correcthorse{n} {rich(n + 100, 20)}".encode())
+        standard, safe = base64.b64encode(raw).decode(), base64.urlsafe_b64encode(raw).decode()
+        for body in (safe, safe.rstrip("="), *("\n".join(x[i : i + w] for i in range(0, len(x), w)) for x in (standard, safe, standard.rstrip("=")) for w in (64, 76))):
+            text = before + body + after
+            _, spans, refused = secrets.find(text)
+            whole = [(s, e) for s, k, e in spans if k == 0 and len(before) <= s < e <= len(text)]
+            assert whole and refused == 0
+            if press(b"x") == b"x":
+                start = raw.index(b"password")
+                width = next((len(x) for x in body.split("\n")), 0)
+                place = lambda i: len(before) + i + (i // width if "\n" in body else 0)  # noqa: E731, B023
+                end = start + len(f"password=correcthorse{n}")
+                assert (place(start * 4 // 3), place(-(-end * 4 // 3) - 1) + 1) in whole
+
+
+def test_standard_runs_beside_dashes():
+    inner = base64.b64encode(b"note password=correcthorse1 end of note").decode()
+    for text in (f"key-{inner}", f"a_b-{inner}_c", f"{'k' * 17}-{inner}"):
+        assert len(secrets.find(text)[1]) == 1
+
+
 def test_partial_escapes_map_to_the_exact_span():
     text = "a p%61ssword%3Dabcdef%67h z"
     _, spans, _ = secrets.find(text)
