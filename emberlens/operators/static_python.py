@@ -7,6 +7,7 @@ scope (qualified function name), detail. A file that does not parse gives one fa
 from __future__ import annotations
 
 import ast
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -180,7 +181,8 @@ class _Facts(ast.NodeVisitor):
                 self.add("sensitive_assert", "assert", node)
             if any(isinstance(x, ast.Constant) and type(x.value) in (int, float) and x.value not in (-1, 0, 1, 2, 10, 100) for x in sides):
                 self.add("magic_assert", "assert", node)
-        self.add("assertion", ast.dump(node.test)[:200], node)
+        test = ast.dump(node.test)
+        self.add("assertion", test if len(test) <= 200 else test[:200] + hashlib.sha256(test.encode("utf-8", "surrogatepass")).hexdigest(), node)
         if isinstance(node.test, ast.Constant) or isinstance(node.test, ast.Compare) and len(node.test.comparators) == 1 and ast.dump(node.test.left) == ast.dump(node.test.comparators[0]):
             self.add("redundant_assert", "assert", node)
         self.generic_visit(node)

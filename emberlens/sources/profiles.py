@@ -1,4 +1,4 @@
-"""Profiler files as weighted stacks or bytes by line, read from JSON text with Spark's own functions."""
+"""Profiler files as weighted stacks or bytes by line, read from JSON text with Spark's own functions; callers are climbed in Python."""
 
 from __future__ import annotations
 
@@ -27,21 +27,34 @@ def line_shares(stacks: DataFrame, profile: str, least: float = 0.01) -> DataFra
     return agg.join(total, profile).withColumn("share", F.col("weight") / F.col("total")).where(F.col("share") >= least)
 
 
-def cpuprofile(raw: DataFrame, profile: str, text: str, depth: int = 200) -> DataFrame:
+def _climbs(ids: list, children: list, samples: list) -> list[tuple[int, list[int]]]:
+    """Each sampled node with itself and all its callers, however deep; a node is taken once, so cycles end."""
+    parents: dict[int, list[int]] = {}
+    for node, below in zip(ids or [], children or [], strict=True):
+        for child in below or []:
+            parents.setdefault(child, []).append(node)
+    out = []
+    for sample in set(samples or []):
+        stack, todo = {sample}, [sample]
+        while todo:
+            fresh = [p for p in parents.get(todo.pop(), []) if p not in stack]
+            stack.update(fresh)
+            todo += fresh
+        out.append((sample, list(stack)))
+    return out
+
+
+def cpuprofile(raw: DataFrame, profile: str, text: str) -> DataFrame:
     """V8 CPU profiles: busy samples by function, self and inclusive (once a sample), idle samples left out.
 
     Parents come from the children lists; a sample's ancestors are found once for each node, by following parents."""
     doc = raw.select(profile, F.from_json(text, CPUPROFILE).alias("d")).where("d IS NOT NULL")
     nodes = doc.select(profile, F.explode("d.nodes").alias("n")).select(profile, F.col("n.id").alias("id"), F.col("n.callFrame.functionName").alias("function"), F.col("n.callFrame.url").alias("url"), F.col("n.callFrame.lineNumber").alias("line"), F.col("n.children").alias("children"))
-    parent = nodes.select(profile, F.col("id").alias("parent"), F.explode("children").alias("id"))
     hits = doc.select(profile, F.explode("d.samples").alias("id")).groupBy(profile, "id").agg(F.count("*").alias("n"))
     busy = hits.join(nodes.where("function NOT IN ('(idle)', '(program)')").select(profile, "id"), [profile, "id"]).select(profile, F.col("id").alias("sample"), "id", "n")
-    chain, level = busy, busy
-    for _ in range(depth):
-        level = level.join(parent, [profile, "id"]).select(profile, "sample", F.col("parent").alias("id"), "n")
-        if level.isEmpty():
-            break
-        chain = chain.unionByName(level)
+    climb = F.udf(_climbs, "array<struct<sample: bigint, stack: array<bigint>>>")
+    stacks = doc.select(profile, F.explode(climb("d.nodes.id", "d.nodes.children", "d.samples")).alias("c")).select(profile, "c.sample", F.explode("c.stack").alias("id"))
+    chain = busy.drop("id").join(stacks, [profile, "sample"])
     own = F.sum(F.when(F.col("id") == F.col("sample"), F.col("n")).otherwise(0)).alias("self")
     by = [profile, "function", "url", "line"]
     placed = chain.join(nodes.drop("children"), [profile, "id"]).groupBy(*by, "sample").agg(F.max("n").alias("n"), F.max(F.when(F.col("id") == F.col("sample"), F.col("n")).otherwise(0)).alias("own"))

@@ -33,3 +33,10 @@ def test_profiles(spark):
     mem = {"total_num_allocations": 5, "total_bytes_allocated": 100, "top_allocations_by_size": [{"location": "f:a.py:3", "size": 60}, {"location": "f:a.py:3", "size": 10}], "top_allocations_by_count": [{"location": "g:b.py:9", "count": 4}], "metadata": {"peak_memory": 7}}
     rows = {(r.file, r.line): (r.bytes, r.n, r.total_bytes, r.peak_bytes) for r in profiles.memray(spark.createDataFrame([("p", json.dumps(mem))], "profile string, text string"), "profile", "text").collect()}
     assert rows == {("a.py", 3): (70, 0, 100, 7), ("b.py", 9): (0, 4, 100, 7)}
+
+
+def test_deep_stacks_keep_their_outer_frames(spark):
+    node = lambda i, children: {"id": i, "callFrame": {"functionName": f"f{i}", "url": "u", "lineNumber": i}, "children": children}
+    v8 = {"nodes": [*(node(i, [i + 1]) for i in range(1, 400)), node(400, [])], "samples": [400, 400, 390]}
+    got = {r.function: (r.self, r.inclusive) for r in profiles.cpuprofile(spark.createDataFrame([("p", json.dumps(v8))], "profile string, text string"), "profile", "text").collect()}
+    assert len(got) == 400 and got["f1"] == (0, 3) and got["f390"] == (1, 3) and got["f391"] == (0, 2) and got["f400"] == (2, 2)

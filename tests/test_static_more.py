@@ -34,6 +34,12 @@ def test_database_and_model_rules(spark):
     assert [(r.line, r.identity) for r in py.unused_left_joins(table).collect()] == [(9, "left-join:bb")]
 
 
+def test_assertions_that_differ_late_are_no_duplicates(spark):
+    text = "def test_items():\n" + "".join(f"    assert response.json()['items'][0]['name']['of']['the']['item'] == '{x}'\n" for x in ("first", "second", "third", "second"))
+    table = py.facts(spark.createDataFrame([("tests/test_a.py", text)], "path string, text string"))
+    assert [r.line for r in py.hits(table).collect() if r.check_id == "TST-05"] == [3]
+
+
 def test_web_rules(spark):
     files = spark.createDataFrame(
         [("a.css", "a { transition: width 1s, opacity 2s } /* transition: height 1s */"), ("b.js", "el.addEventListener('x', f)\n// removeEventListener(\ntry { throw new Error() } catch (e) {}"), ("c.js", "const t = setInterval(f, 5); clearInterval(t)")],
