@@ -1,14 +1,15 @@
 """Secret scans through layers of encoding, by a worklist that runs to its fixpoint.
 
 A layer is a text whose every character knows the span of the original it came from. Each layer is scanned; then its
-percent and Unicode escapes are unwrapped into one new layer, and each base64 run (of either alphabet, on one line or cut
-into lines of one width) that decodes to text, or to gzip, zlib, bzip2, xz or zstandard data that does, into another. New layers join the worklist unless the same text over the same span
-was seen before, which also ends data that decompress to themselves. Spans found in a layer are mapped to the original.
+percent and Unicode escapes are unwrapped, a new layer for each stretch around some, and each base64 run (of either
+alphabet, on one line or cut into lines of one width) that decodes to text, or to gzip, zlib, bzip2, xz or zstandard data
+that does, into another. New layers join the worklist unless the same text over the same span was seen before, which
+also ends data that decompress to themselves. Spans found in a layer are mapped to the original.
 
 Spans are code points, end exclusive. Defined results: a null text counts as empty and has no spans; copies and repeated
 rows are scanned separately; an empty table gives an empty result; other columns are passed by. The only limit guards
-memory: all layers of a document together hold at most ``max_layer_chars`` characters beside its own, further data stay
-wrapped and count in ``n_refused``.
+memory: all decompressed data of a document together hold at most ``max_layer_chars`` characters, further ones stay
+compressed and count in ``n_refused``.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ import itertools
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,6 +41,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 # Escapes and wrapped data.
 ESCAPE = re.compile(r"((?:%[0-9A-Fa-f]{2})+)|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|((?:\\x[0-9A-Fa-f]{2})+)|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+# Characters of all patterns, escapes and breaks: what is found or unwrapped lies within such a stretch.
+STRETCH = re.compile(r"[A-Za-z0-9+/_.=\-\"':%\\&#;\x20\t\r\n]+")
 WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 PARTS = tuple(re.compile(p) for p in (r"[A-Za-z0-9+/]{16,}={0,2}", r"[A-Za-z0-9_-]{16,}={0,2}", r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}"))
 # Runs of one of the alphabets on successive lines; indents and blanks at line ends are passed over.
@@ -68,32 +72,48 @@ def _escape(m: re.Match) -> str | None:
 
 
 class _Layer:
-    """``at`` holds the original start and end of each character; None where they are the text's own, a pair for all."""
+    """``at`` holds the original starts and ends of the characters; None where they are the text's own, a pair for all.
+    ``cost`` is what it takes of the room for decompressed data."""
 
-    def __init__(self, text: str, at: list[tuple[int, int]] | tuple[int, int] | None = None) -> None:
-        self.text, self.at = text, at
+    def __init__(self, text: str, at: tuple[array, array] | tuple[int, int] | None = None, cost: int = 0) -> None:
+        self.text, self.at, self.cost = text, at, cost
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
         if self.at is None:
             return start, end
-        if isinstance(self.at, tuple):
+        if isinstance(self.at[0], int):
             return self.at
-        return self.at[start][0], self.at[end - 1][1]
+        return self.at[0][start], self.at[1][end - 1]
 
-    def unescaped(self) -> "_Layer | None":
+    def unescaped(self) -> Iterator["_Layer"]:
+        """A layer for each stretch with escapes; no pattern reaches over a stretch's ends."""
         if not ("%" in self.text or "\\" in self.text or "&#" in self.text) or not ESCAPE.search(self.text):
-            return None
-        parts, at, last = [], [], 0
-        keep = lambda a, b: [self.origin(i, i + 1) for i in range(a, b)]
-        for m in ESCAPE.finditer(self.text):
-            if (new := _escape(m)) is None:
-                continue
-            parts += [self.text[last : m.start()], new]
-            at += keep(last, m.start()) + [self.origin(*m.span())] * len(new)
-            last = m.end()
-        if not parts:
-            return None
-        return _Layer("".join([*parts, self.text[last:]]), at + keep(last, len(self.text)))
+            return
+        for stretch in STRETCH.finditer(self.text):
+            parts, starts, ends, last = [], array("i"), array("i"), stretch.start()
+            for m in ESCAPE.finditer(self.text, *stretch.span()):
+                if (new := _escape(m)) is None:
+                    continue
+                self._keep(starts, ends, last, m.start())
+                parts += [self.text[last : m.start()], new]
+                start, end = self.origin(*m.span())
+                starts.extend([start] * len(new))
+                ends.extend([end] * len(new))
+                last = m.end()
+            if parts:
+                self._keep(starts, ends, last, stretch.end())
+                yield _Layer("".join([*parts, self.text[last : stretch.end()]]), (starts, ends))
+
+    def _keep(self, starts: array, ends: array, a: int, b: int) -> None:
+        if self.at is None:
+            starts.extend(range(a, b))
+            ends.extend(range(a + 1, b + 1))
+        elif isinstance(self.at[0], int):
+            starts.extend([self.at[0]] * (b - a))
+            ends.extend([self.at[1]] * (b - a))
+        else:
+            starts.extend(self.at[0][a:b])
+            ends.extend(self.at[1][a:b])
 
     def runs(self) -> Iterator[list[tuple[int, int]]]:
         """Stretches that may be base64, as pieces to be joined; those with more pieces before the pieces alone."""
@@ -110,8 +130,8 @@ class _Layer:
                     if part != m.span():
                         yield [part]
 
-    def wrapped(self, room: int) -> Iterator["_Layer | None"]:
-        """A layer for each run that holds text; None for one that would not fit."""
+    def wrapped(self, room: Callable[[], int]) -> Iterator["_Layer | None"]:
+        """A layer for each run that holds text; None for one whose decompressed data would not fit."""
         done: dict[int, int] = {}  # where decoding would repeat a part of what is decoded: first character, end
         for pieces in self.runs():
             start, end = pieces[0][0], pieces[-1][1]
@@ -126,7 +146,7 @@ class _Layer:
                 continue
             opened = refused = False
             try:
-                while (inner := _decompressed(raw, room)) is not None and inner != raw:
+                while (inner := _decompressed(raw, room())) is not None and inner != raw:
                     raw, opened = inner, True
             except MemoryError:
                 refused = True
@@ -143,20 +163,22 @@ class _Layer:
                 yield None
                 continue
             if opened:
-                yield _Layer(text, self.origin(start, end))
+                yield _Layer(text, self.origin(start, end), len(text))
                 continue
 
             def place(n: int) -> int:
                 k = bisect.bisect_right(offsets, n, hi=len(pieces)) - 1
                 return pieces[k][0] + n - offsets[k]
 
-            at, byte = [], 0
+            starts, ends, byte = array("i"), array("i"), 0
             for c in text:
                 n = len(c.encode())
                 first, last = byte * 4 // 3, min(-(-(byte + n) * 4 // 3), offsets[-1])
-                at.append(self.origin(place(first), place(last - 1) + 1))
+                a, b = self.origin(place(first), place(last - 1) + 1)
+                starts.append(a)
+                ends.append(b)
                 byte += n
-            yield _Layer(text, at)
+            yield _Layer(text, (starts, ends))
 
 
 def _joined(lines: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
@@ -206,15 +228,14 @@ def find(text: str, max_layer_chars: int = 1 << 24) -> tuple[list[Span], list[Sp
     todo = [_Layer(text)]
     while todo:
         layer = todo.pop()
-        fresh = layer.unescaped()
-        for new in ([fresh] if fresh else []) + list(layer.wrapped(room)):
-            if new is None or len(new.text) > room:
+        for new in itertools.chain(layer.unescaped(), layer.wrapped(lambda: room)):
+            if new is None or new.cost > room:
                 refused += 1
                 continue
             if not new.text or (key := (hashlib.blake2b(new.text.encode("utf-8", "replace"), digest_size=16).digest(), new.origin(0, len(new.text)))) in seen:
                 continue
             seen.add(key)
-            room -= len(new.text)
+            room -= new.cost
             for start, kind, end in scan(new.text):
                 a, b = new.origin(start, end)
                 found.add((a, kind, b))

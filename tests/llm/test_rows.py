@@ -116,6 +116,14 @@ def test_partial_escapes_map_to_the_exact_span():
     assert [text[s:e] for s, _, e in spans] == ["p%61ssword%3Dabcdef%67h"]
 
 
+def test_escapes_and_base64_take_no_room_of_decompressed_data():
+    inner = base64.b64encode(b"note token=staplehorse2 end of note").decode()
+    text = ("words of text, " * 400) + "password%253Dcorrecthorse1, " + ("more words, " * 400) + inner
+    _, spans, refused = secrets.find(text, max_layer_chars=10)
+    assert refused == 0 and len(spans) == 2
+    assert text[spans[0][0] : spans[0][2]] == "password%253Dcorrecthorse1" and spans[1][0] >= text.index(inner)
+
+
 def test_bombs_stay_wrapped():
     bomb = base64.b64encode(zlib.compress(b"a" * 5_000_000)).decode()
     assert secrets.find(f"x {bomb}", max_layer_chars=1000) == ([], [], 1)
