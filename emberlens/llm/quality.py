@@ -1,8 +1,8 @@
 """Compression bands: zstandard ratios over whole documents and fixed chunks, with limits that depend on length.
 
 A ratio is compressed bytes over UTF-8 bytes. Short texts compress badly because a frame has fixed costs and no history,
-so each length has its own band: below it a text repeats itself, above it it is noise. Long documents are also cut into
-fixed chunks, so that a repetitive or random stretch inside good text shows; a document is rejected when more than
+so each length has its own band: below it a text repeats itself, above it it is noise. Documents of a chunk or more are
+also cut into fixed chunks, the last one moved back to end with the text, so that a repetitive or random stretch inside good text shows; a document is rejected when more than
 ``max_bad_chunks`` of its chunks leave the chunk band.
 
 Defined results: a null or empty text has no words, fails the base rule and has ratio 0; ties, copies and repeated rows
@@ -73,13 +73,13 @@ def duplicate_lines(text: bytes) -> int:
 
 
 def ratios(raw: bytes, bands: Bands, press: zstandard.ZstdCompressor) -> tuple[float, int, int]:
-    """The document's ratio, its full chunks and those out of band."""
+    """The document's ratio, its chunks, the last one ending with the text, and those out of band."""
     if not raw:
         return 0.0, 0, 0
     whole = len(press.compress(raw)) / len(raw)
     step, chunks, bad = bands.chunk_bytes, 0, 0
-    if len(raw) >= 2 * step:
-        for at in range(0, len(raw) - step + 1, step):
+    if len(raw) >= step:
+        for at in sorted({*range(0, len(raw) - step + 1, step), len(raw) - step}):
             r = len(press.compress(raw[at : at + step])) / step
             chunks += 1
             bad += not bands.chunk[0] <= r <= bands.chunk[1]
