@@ -30,8 +30,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Python workers give freed arrays back to the system instead of keeping them for the next task.
+WORKER_ENV = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": str(2 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def tune(spark: SparkSession) -> None:
     """Small Arrow batches keep Python workers' memory flat however long the rows are."""
+    for name, value in WORKER_ENV.items():
+        spark.sparkContext.environment.setdefault(name, value)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
@@ -57,6 +63,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as no column of ``df`` has it."""
+    held, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in held:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind ``materialize``d rows that nothing reads any more."""
     spark = df.sparkSession

@@ -1,28 +1,31 @@
-"""Exact n-gram Jaccard join and its components: documents link when their sets of 5-word shingles reach the similarity.
+"""Exact n-gram Jaccard join: documents link when their sets of 5-word shingles reach the similarity.
 
 Jaccard distance is a metric, with radius r = 1 - similarity. Texts that have nothing in common all stand at distance 1
 of each other, where a window of 2r holds everything and document pivots alone separate nothing (with random documents as
-pivots, all regions would get all documents). So regions are cut in two steps.
+pivots, all regions would get all documents). So regions are cut in steps, each of them exact.
 
 1. Shingles are the first pivots. Shingles are ordered, common ones last, by hash otherwise; a document's boundary is its
-   first n - ceil(similarity * n) + 1 shingles, and linked documents share one of these. A document goes to the region of
-   each such shingle. Regions of uncommon shingles are small; their pairs are counted over all regions, and a pair whose
-   shared boundary can't be completed to the needed overlap is dropped before any set is read.
-2. Regions of common shingles hold documents that consist of common shingles for the most part: large groups of near
-   copies. There documents are pivots. Each member gets a home region, whose pivot takes the members within r, which
-   link to it and form its Voronoi cell; the others choose a new pivot, and so on for ``rounds`` rounds, after which
-   those left are pivots themselves. Then the distances between pivots that share a region are measured. Members x
-   and y of two cells can link only in the window d(x, pivot) + d(y, pivot) >= d(pivots) - r, and only members there
-   (and in the same window of symmetric differences) that are still in different components are compared, so the
-   result is exact.
-
-Common shingles are those of over ``common`` different sets, at most 2**20 of them, most frequent first; the choice
-affects the order of shingles and not the result. Equal sets are one class from the start, classes are compared instead of
-documents, and links become components by min-label hooking with pointer jumps. Sets are hashed to 64 bits a shingle.
+   first n - ceil(similarity * n) + 1 shingles, and linked documents share one of these. Regions of at most ``common``
+   sets are compared right away: their pairs are counted over all regions, and a pair whose shared boundary can't be
+   completed to the needed overlap is dropped before any set is read.
+2. Larger regions hold documents that consist of common shingles for the most part: families of near copies. Regions that
+   share members are one family, so every member's set travels once. A family up to the size of a leaf is joined there,
+   by products of its incidence matrix.
+3. A larger family is cut by document pivots into Voronoi regions: a member's home is its nearest pivot, and it visits
+   region j as a guest where d(x, p_j) <= d(x, home) + 2r, the window that the triangle inequality leaves; of two homes the
+   earlier one is visited, so each pair meets once. Regions are cut again until they are leaves.
+4. Where pivots separate nothing (the members of a family often stand within 2r of each other), a region is joined in
+   tiles: blocks of a leaf's size meet pairwise. So no task holds more than two blocks, and no pair is ever a row.
+
+Leaves return one row for a member and leaf: its number of links there and one linked member that its part of the leaf
+shares; components follow by min-label hooking with pointer jumps. Equal sets are one class from the start; classes are
+compared instead of documents, and ``n_links`` counts documents. Sets are hashed to 64 bits a shingle. Common shingles
+are at most 2**20, most frequent first; the choice affects the order of shingles and not the result.
 
 Defined results: null, empty and blank texts have the empty set and link with nothing; with fewer than n words the whole
-sequence is the only shingle; rows that repeat a doc_id belong to one component; an empty table gives an empty result;
-other columns are not read.
+sequence is the only shingle; rows that repeat a doc_id are judged each by its own text; a row without doc_id is linked as
+others are, and its component is the smallest doc_id in it, null where there is none; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,8 +41,12 @@ from .common import discard, materialize, mix, runs_of, slices, span_hashes, tex
 
 MOST_COMMON = 1 << 20
 FLUSH = 1 << 20
-#: Members of a cell that are compared with its guests at once.
-BLOCK = 256
+#: A leaf's bounds: members, and shingles of all of them.
+LEAF_ROWS, LEAF_SHINGLES = 1024, 1 << 20
+#: Pivots of a region, about.
+PIVOTS = 12
+#: Guest marks of the two sides of a tile.
+SIDES = (1 << 60, 1 << 61)
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -104,9 +111,7 @@ def _boundaries(column: pa.Array, n: int, percent: int, common: np.ndarray, seen
         fresh = _fresh(name, size, seen)
         owner = np.repeat(np.arange(len(size)), size)
         if len(common):
-            own = short(grams, common.dtype.itemsize == 8)
-            j = np.minimum(np.searchsorted(common, own), len(common) - 1)
-            late = common[j] == own
+            late = _is_common(grams, common)
             order = np.lexsort([grams, late, owner])
             grams, late = grams[order], late[order]
         else:
@@ -123,9 +128,9 @@ def _boundaries(column: pa.Array, n: int, percent: int, common: np.ndarray, seen
 
 
 def _by_bucket(parts: list[tuple[np.ndarray, ...]], buckets: int) -> pa.RecordBatch:
-    """One row for each bucket of keys: the columns of its entries as bytes."""
-    columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-    bucket = (columns[0] >> np.uint64(32)).astype(np.int64) * buckets >> 32
+    """One row for each bucket of the first column, which isn't sent: the other columns of its entries as bytes."""
+    dealt, *columns = (np.concatenate(c) for c in zip(*parts, strict=True))
+    bucket = (dealt >> np.uint64(32)).astype(np.int64) * buckets >> 32
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
     columns = [c[order] for c in columns]
@@ -134,7 +139,7 @@ def _by_bucket(parts: list[tuple[np.ndarray, ...]], buckets: int) -> pa.RecordBa
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], types: list[str]) -> Iterator[list[np.ndarray]]:
-    """The entries of each bucket of this task, one bucket at a time."""
+    """The entries of each bucket of this task; a task has one bucket, or few small ones."""
     held: dict[int, list[list[bytes]]] = {}
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -150,39 +155,56 @@ def short(grams: np.ndarray, wide: bool) -> np.ndarray:
 
 
 def common_shingles(docs: DataFrame, n: int, common: int, buckets: int, wide: bool) -> np.ndarray:
-    """The shingles of more than ``common`` different sets, the most frequent of them, ascending."""
+    """The shingles of more than ``common`` different sets, the most frequent of them, ascending.
+
+    Equal shingles are counted before they are sent, so a shingle of every document is one entry of a flush."""
     kind = "u8" if wide else "u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size, seen = [], 0, set()
+
+        def out() -> pa.RecordBatch:
+            key, times = np.unique(np.concatenate(parts), return_counts=True)
+            return _by_bucket([(key if wide else key.astype(np.uint64) << np.uint64(32), key, times.astype(np.uint32))], buckets)
+
         for batch in batches:
             for _, _, grams, at in shingle_sets(batch.column(0), n):
                 fresh = _fresh(_class_of(grams, at), np.diff(at), seen)
-                own = grams[np.repeat(fresh, np.diff(at))]
-                parts.append((own, short(own, wide)))
+                own = short(grams[np.repeat(fresh, np.diff(at))], wide)
+                parts.append(own)
                 size += len(own)
                 if size > FLUSH:
-                    yield _by_bucket(parts, buckets).select(["bucket", "c1"])
+                    yield out()
                     parts, size = [], 0
         if size:
-            yield _by_bucket(parts, buckets).select(["bucket", "c1"])
+            yield out()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (key,) in _gathered(batches, [kind]):
-            key = np.sort(key)
+        for key, times in _gathered(batches, [kind, "u4"]):
+            order = np.argsort(key, kind="stable")
+            key, times = key[order], times[order]
             head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            times = np.diff(np.concatenate([head, [len(key)]]))
-            often = times > common
-            yield pa.RecordBatch.from_arrays([pa.array(key[head[often]].astype(np.uint64).view(np.int64)), pa.array(times[often])], names=["key", "n"])
+            total = np.add.reduceat(times.astype(np.int64), head)
+            often = total > common
+            yield pa.RecordBatch.from_arrays([pa.array(key[head[often]].astype(np.uint64).view(np.int64)), pa.array(total[often])], names=["key", "n"])
 
-    sent = docs.select(F.col("text").cast("string")).mapInArrow(run, "bucket long, c1 binary")
-    counts = sent.repartition(buckets, "bucket").mapInArrow(count, "key long, n long")
+    sent = docs.select(F.col("text").cast("string")).mapInArrow(run, "bucket long, c0 binary, c1 binary")
+    counts = sent.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(count, "key long, n long")
     top = counts.orderBy(F.desc("n"), "key").limit(MOST_COMMON).select("key").toArrow().column(0).to_numpy().view(np.uint64)
     return np.sort(top).astype(kind)
 
 
-def regions(docs: DataFrame, n: int, percent: int, common: np.ndarray, buckets: int) -> DataFrame:
-    """Rows of two kinds: pairs x < y of uncommon regions with the boundary shingles they share and, where y is null, members x of region ``r``."""
+def _is_common(keys: np.ndarray, common: np.ndarray) -> np.ndarray:
+    if not len(common) or not len(keys):
+        return np.zeros(len(keys), bool)
+    own = short(keys, common.dtype.itemsize == 8)
+    return common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own
+
+
+def regions(docs: DataFrame, n: int, percent: int, most: int, common: np.ndarray, buckets: int) -> DataFrame:
+    """Rows of two kinds: pairs x < y of small regions with the boundary shingles they share and, where y is null, members x of region ``r``.
+
+    Entries of common shingles are dealt by class, as they only become members, so no bucket is hot."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(common)
 
@@ -190,7 +212,7 @@ def regions(docs: DataFrame, n: int, percent: int, common: np.ndarray, buckets:
         parts, size, seen = [], 0, set()
         for batch in batches:
             for key, late, name, m, last, n_late in _boundaries(batch.column(0), n, percent, sent.value, seen):
-                parts.append((key, name, m | (n_late > 0).astype(np.uint32) << np.uint32(31), last))
+                parts.append((np.where(late, name, key), key, name, m | (n_late > 0).astype(np.uint32) << np.uint32(31), last))
                 size += len(key)
                 if size > FLUSH:
                     yield _by_bucket(parts, buckets)
@@ -199,21 +221,22 @@ def regions(docs: DataFrame, n: int, percent: int, common: np.ndarray, buckets:
             yield _by_bucket(parts, buckets)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = sent.value
         for key, name, m, last in _gathered(batches, ["u8", "u8", "u4", "u4"]):
             order = np.lexsort([name, key])
             key, name, m, last = key[order], name[order], m[order], last[order]
             new = np.concatenate([[True], (key[1:] != key[:-1]) | (name[1:] != name[:-1])])
             key, name, m, last = key[new], name[new], m[new], last[new]
+            late = _is_common(key, sent.value)
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             sizes = np.diff(np.concatenate([starts, [len(key)]]))
-            starts, sizes = starts[sizes > 1], sizes[sizes > 1]
-            heads = short(key[starts], often.dtype.itemsize == 8)
-            j = np.minimum(np.searchsorted(often, heads), max(len(often) - 1, 0))
-            late = often[j] == heads if len(often) else np.zeros(len(starts), bool)
+            large = late | np.repeat(sizes > most, sizes)
+            if large.any():
+                yield _rows(x=name[large], region=key[large])
+            small = (sizes > 1) & ~large[starts]
+            starts, sizes = starts[small], sizes[small]
             pairs: list[np.ndarray] = []
-            for width in np.unique(sizes[~late]):
-                first = starts[~late & (sizes == width)]
+            for width in np.unique(sizes):
+                first = starts[sizes == width]
                 i, k = np.triu_indices(int(width), 1)
                 for chunk in np.array_split(first, max(1, len(first) * len(i) // 2_000_000)):
                     x, y = (chunk[:, None] + i).ravel(), (chunk[:, None] + k).ravel()
@@ -236,19 +259,6 @@ def regions(docs: DataFrame, n: int, percent: int, common: np.ndarray, buckets:
                 least = np.where(x_ends & y_ends, np.minimum(*early), np.where(x_ends, early[0], early[1]))
                 least[((m[x] | m[y]) >> 31) > 0] = 0  # common shingles may be shared as well
                 yield _rows(x=name[x], y=name[y], shared=shared, least=least)
-            told: set[int] = set()
-            for start, size in zip(starts[late], sizes[late], strict=True):
-                own = slice(int(start), int(start + size))
-                n_own = (m[own] & 0x7FFFFFFF).astype(float)
-                band = np.floor(np.log(n_own) / np.log(100 / percent) + 1e-9).astype(int)
-                for level in np.unique(band):
-                    inside = (band == level) | (band == level - 1)
-                    if (band == level).sum() and inside.sum() > 1:
-                        members = name[own][inside]
-                        region = int(mix(np.array([mix(members).sum(dtype=np.uint64)]))[0])
-                        if region not in told:
-                            told.add(region)
-                            yield _rows(x=members, region=np.full(len(members), region, np.uint64))
 
     def _rows(x, y=None, shared=None, least=None, region=None) -> pa.RecordBatch:
         none = pa.nulls(len(x), pa.int64())
@@ -256,7 +266,7 @@ def regions(docs: DataFrame, n: int, percent: int, common: np.ndarray, buckets:
         return pa.RecordBatch.from_arrays([long(c) for c in (x, y, shared, least, region)], names=["x", "y", "shared", "least", "r"])
 
     parts = docs.select(F.col("text").cast("string")).mapInArrow(run, "bucket long, c0 binary, c1 binary, c2 binary, c3 binary")
-    return parts.repartition(buckets, "bucket").mapInArrow(join, "x long, y long, shared long, least long, r long")
+    return parts.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(join, "x long, y long, shared long, least long, r long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -283,101 +293,132 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select(*pairs.columns, shared.alias("inter"), (F.size("s_x") + F.size("s_y") - shared).alias("either"))
 
 
-def _cells(members: DataFrame, sets: DataFrame, percent: int, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """x, h, delta, gap: a pivot within r of each member, its distance and the size of their symmetric difference; and the links x, y to pivots.
-
-    A member's home is the least of its regions. Each round the member of a home that is in most regions, so the one with
-    the fewest shingles of its own, becomes a pivot and takes the members within r; what near copies are copies of has all
-    of them near. Members that are left after ``rounds`` are their own pivots."""
-    left = materialize(members.groupBy("x").agg(F.min("r").alias("home"), F.count("*").alias("n")), "jaccard-home")
-    cells = links = None
-
-    def add(more: DataFrame) -> None:
-        nonlocal cells
-        cells = more if cells is None else cells.unionByName(more)
-
-    for turn in range(rounds):
-        pivots = left.groupBy("home").agg(F.min_by("x", F.struct(-F.col("n"), "x")).alias("h"))
-        placed = left.join(pivots, "home")
-        add(placed.where("x = h").select("x", "h", F.lit(0.0).alias("delta"), F.lit(0).cast("long").alias("gap")))
-        pairs = placed.where("x != h").select("home", "n", F.col("h").alias("x"), F.col("x").alias("y"))
-        measured = materialize(_distances(pairs, sets), f"jaccard-star{turn}")
-        near = measured.where(F.col("inter") * 100 >= F.col("either") * percent)
-        add(near.select(F.col("y").alias("x"), F.col("x").alias("h"), (1 - F.col("inter") / F.col("either")).alias("delta"), (F.col("either") - F.col("inter")).alias("gap")))
-        found = near.select("x", "y")
-        links = found if links is None else links.unionByName(found)
-        left = measured.where(F.col("inter") * 100 < F.col("either") * percent).select(F.col("y").alias("x"), "home", "n")
-        if left.isEmpty():
-            break
-    else:
-        add(left.select("x", F.col("x").alias("h"), F.lit(0.0).alias("delta"), F.lit(0).cast("long").alias("gap")))
-    return materialize(cells, "jaccard-cells"), links
-
-
-def _between(members: DataFrame, cells: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All links between different cells of a region, given the ``links`` so far, except within a component."""
-    radius = 1 - percent / 100 + 1e-9
-    sizes = sets.select(F.col("class").alias("x"), F.size("s").cast("long").alias("n"))
-    placed = materialize(members.join(cells.join(sizes, "x"), "x"), "jaccard-placed")
-    held = materialize(placed.select("r", "h").distinct(), "jaccard-held")
-    # regions that hold the same pivots pair them once
-    named = held.groupBy("r").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("h")).alias("name")).where("n > 1")
-    held = materialize(held.join(named.groupBy("n", "name").agg(F.min("r").alias("r")), "r").select("r", "h"), "jaccard-held")
-    pairs = held.select("r", F.col("h").alias("x")).join(held.select("r", F.col("h").alias("y")), "r").where("x < y").select("x", "y").distinct()
-    measured = materialize(_distances(pairs, sets), "jaccard-pivots").withColumn("d", 1 - F.col("inter") / F.col("either"))
-    found = measured.where(F.col("inter") * 100 >= F.col("either") * percent).select("x", "y")
-    # Members of cells whose pivots stand further apart may link only in the window that the triangle inequality leaves.
-    # Its other form, on symmetric differences, is sharper for pairs: linked sets differ by no more than a share of both sizes.
-    close = measured.where((F.col("inter") * 100 < F.col("either") * percent) & (F.col("d") <= 3 * radius)).select(F.col("x").alias("h_x"), F.col("y").alias("h_y"), "d", (F.col("either") - F.col("inter")).alias("apart"))
-    if close.isEmpty():
-        return found
-    label = components(links.unionByName(found))
-    sized = cells.join(sizes, "x").join(label.select(F.col("node").alias("x"), "root"), "x", "left").select("x", "h", "gap", "n", F.coalesce("root", "x").alias("root"))
-    sized = materialize(sized, "jaccard-sized")
-    cell = sized.groupBy("h").agg(F.count("*").alias("cell"), F.max("gap").alias("most_gap"), F.max("n").alias("most_n"))
-    # two lone pivots have been measured; a cell of several members stays, in blocks, and the other's members visit it
-    several = cell.where("cell > 1").select(F.col("h").alias("host"))
-    near = None
-    for own, other in (("h_x", "h_y"), ("h_y", "h_x")):
-        part = close.join(several, F.col(own) == F.col("host")).select(F.col(own).alias("h"), F.col(other).alias("guest"), "apart")
-        near = part if near is None else near.unionByName(part)
-    blocks = F.ceil(F.col("cell") / BLOCK).cast("int")
-    hosts = near.select("h").distinct().join(cell, "h")
-    ours = sized.join(hosts.select("h", "cell"), "h").select("h", F.pmod(F.xxhash64("x"), blocks).cast("int").alias("block"), "x", "gap", "n", "root")
-    guests = near.join(hosts, "h").join(sized.select(F.col("h").alias("guest"), "x", "gap", "n", "root"), "guest")
-    guests = guests.where((F.col("apart") - F.col("gap") - F.col("most_gap")) * (100 + percent) <= (F.col("n") + F.col("most_n")) * (100 - percent))
-    guests = guests.select("h", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "x", "gap", "n", "root", "apart")
-    held_sets = sets.select(F.col("class").alias("x"), "s")
-    # new names on both sides, as both read the same tables
-    ours = ours.join(held_sets, "x").select(*(F.col(c).alias(f"own_{c}") for c in ("h", "block", "x", "gap", "n", "root", "s")))
-    guests = guests.join(held_sets, "x").select(*(F.col(c).alias(f"guest_{c}") for c in ("h", "block", "x", "gap", "n", "root", "s")), F.col("apart").alias("guest_apart"))
-    compared = ours.groupBy("own_h", "own_block").cogroup(guests.groupBy("guest_h", "guest_block"))
-    return found.unionByName(compared.applyInPandas(lambda a, b: _visits(a, b, percent), "x long, y long"))
-
-
-def _visits(ours, guests, percent: int):
-    """Links between a block of a cell and its guests that still are in different components."""
+def families(members: DataFrame) -> DataFrame:
+    """x and r, its family, for the members of regions (x, r) that have company: regions that share members are one family."""
+    held = members.groupBy("r").agg(F.min("x").alias("y"), F.count("*").alias("n")).where("n > 1").select("r", "y")
+    links = materialize(members.join(held, "r").where("x != y").select("x", "y").distinct(), "jaccard-near")
+    roots = components(links)
+    return materialize(roots.select(F.col("node").alias("x"), F.col("root").alias("r")), "jaccard-families")
+
+
+def _postings(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles in order, and whose they are."""
+    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    every = np.concatenate(lists) if lists else np.empty(0, np.int64)
+    order = np.argsort(every, kind="stable")
+    return every[order], owner[order]
+
+
+def links_within(lists: list[np.ndarray], guest: np.ndarray, copies: np.ndarray, percent: int, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Of sets: the number of documents that each links with, and its part's first set.
+
+    Sets that are guests of the same cut (their marks share a bit) meet elsewhere. Shingles of many sets are multiplied as
+    a dense matrix, the others through their postings."""
+    k, n = len(lists), np.array([len(x) for x in lists], np.int64)
+    every, owner = _postings(lists)
+    head = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.empty(0, int)
+    df = np.diff(np.concatenate([head, [len(every)]]))
+    column = np.repeat(np.arange(len(head)), df)
+    dense = df > max(16, k // 8)
+    matrix = np.zeros((k, int(dense.sum())), np.float32)
+    place = np.cumsum(dense) - 1
+    inside = dense[column]
+    matrix[owner[inside], place[column[inside]]] = 1
+    rare = np.flatnonzero(~inside & (df[column] > 1))
+    rare = rare[np.argsort(owner[rare], kind="stable")]
+    cuts = np.searchsorted(owner[rare], np.arange(k + 1))
+    links, part = np.zeros(k, np.int64), np.arange(k)
+    for a in range(0, k, rows):
+        b = min(a + rows, k)
+        inter = (matrix[a:b] @ matrix.T).astype(np.int64)
+        own = rare[cuts[a] : cuts[b]]
+        size = df[column[own]]
+        until = np.cumsum(size)
+        at = 0
+        while at < len(own):
+            stop = max(at + 1, int(np.searchsorted(until, (until[at - 1] if at else 0) + 2_000_000, "right")))
+            some, times = own[at:stop], size[at:stop]
+            begin = head[column[some]] - (np.cumsum(times) - times)
+            who = owner[np.repeat(begin, times) + np.arange(times.sum())]
+            inter += np.bincount(np.repeat(owner[some] - a, times) * k + who, minlength=(b - a) * k).reshape(b - a, k)
+            at = stop
+        near = (inter * 100 >= (n[a:b, None] + n[None] - inter) * percent) & ((guest[a:b, None] & guest[None]) == 0)
+        near[np.arange(b - a), np.arange(a, b)] = False
+        links[a:b] = near @ copies
+        for i in range(a, b):
+            others = part[near[i - a]]
+            if (others != part[i]).any():
+                found = np.unique(np.append(others, part[i]))
+                part[np.isin(part, found)] = found[0]
+    return links, part
+
+
+def _leaf(pdf, percent: int):
+    """x, y, links: the members of a leaf, another of the same part and the documents they link with here."""
     import pandas as pd
 
-    xs, ys = [], []
-    if len(ours) and len(guests):
-        names, gap, n, root = (ours[f"own_{c}"].to_numpy() for c in ("x", "gap", "n", "root"))
-        owner = np.repeat(np.arange(len(ours)), [len(s) for s in ours.own_s])
-        every = np.concatenate(list(ours.own_s))
-        order = np.argsort(every)
-        every, owner = every[order], owner[order]
-        for g in guests.itertuples():
-            open_ = (root != g.guest_root) & ((g.guest_apart - gap - g.guest_gap) * (100 + percent) <= (n + g.guest_n) * (100 - percent))
-            if not open_.any():
-                continue
-            lo, hi = np.searchsorted(every, g.guest_s), np.searchsorted(every, g.guest_s, "right")
-            size = hi - lo
-            at = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            inter = np.bincount(owner[at], minlength=len(ours))
-            linked = open_ & (inter * 100 >= (n + g.guest_n - inter) * percent)
-            xs += np.minimum(names[linked], g.guest_x).tolist()
-            ys += np.maximum(names[linked], g.guest_x).tolist()
-    return pd.DataFrame({"x": np.array(xs, np.int64), "y": np.array(ys, np.int64)})
+    x = pdf.x.to_numpy()
+    links, part = links_within(list(pdf.s), pdf.guest.to_numpy(), pdf.copies.to_numpy(), percent)
+    return pd.DataFrame({"x": x, "y": x[part], "links": links})
+
+
+def _homes(members, pivots, level: int, radius: float):
+    """x, r, guest: the Voronoi regions of a block of members, those it visits included."""
+    import pandas as pd
+
+    if not len(members) or not len(pivots):  # without a pivot the region stays whole, and is joined in tiles
+        return members[["x", "r", "guest"]].astype(np.int64) if len(members) else pd.DataFrame({c: np.empty(0, np.int64) for c in ("x", "r", "guest")})
+    pivots = pivots.sort_values("pivot_x")
+    every, owner = _postings(list(members.s))
+    n = np.array([len(s) for s in members.s])
+    far = np.empty((len(members), len(pivots)))
+    for j, s in enumerate(pivots.pivot_s):
+        lo, hi = np.searchsorted(every, s), np.searchsorted(every, s, "right")
+        size = hi - lo
+        inter = np.bincount(owner[np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())], minlength=len(members))
+        far[:, j] = 1 - inter / (n + len(s) - inter)
+    home = far.argmin(1)
+    least = far[np.arange(len(members)), home]
+    row, visited = np.nonzero((far <= least[:, None] + 2 * radius + 1e-9) & (np.arange(len(pivots)) < home[:, None]))
+    names = mix(pivots.pivot_x.to_numpy().view(np.uint64) ^ mix(np.full(len(pivots), members.r.iloc[0], np.int64).view(np.uint64) + np.uint64(level + 1))).view(np.int64)
+    x, guest = members.x.to_numpy(), members.guest.to_numpy()
+    return pd.DataFrame({"x": np.concatenate([x, x[row]]), "r": names[np.concatenate([home, visited])], "guest": np.concatenate([guest, guest[row] | (1 << level)])})
+
+
+def _cut(level: int, radius: float):
+    return lambda key, members, pivots: _homes(members, pivots, level, radius).assign(above=key[0])
+
+
+def leaves(work: DataFrame, sets: DataFrame, percent: int, rows: int, shingles: int) -> DataFrame:
+    """x, r, guest: the regions of ``work`` (x, r, guest, n) cut until each is a leaf or a tile of two blocks."""
+    done = None
+    for level in range(40):
+        sized = materialize(work.groupBy("r").agg(F.count("*").alias("held"), F.sum("n").alias("total")), "jaccard-sizes")
+        blocks = F.greatest(F.ceil(2 * F.col("held") / rows), F.ceil(2 * F.col("total") / shingles)).cast("int")
+        large = sized.where((F.col("held") > rows) | (F.col("total") > shingles)).withColumn("blocks", blocks)
+        part = work.join(large.select("r"), "r", "left_anti").select("x", "r", "guest")
+        done = part if done is None else done.unionByName(part)
+        if large.isEmpty():
+            return done
+        rest = materialize(work.join(large, "r"), "jaccard-large")
+        drawn = F.pmod(F.xxhash64("x", F.lit(level)), F.greatest(F.lit(1), F.floor(F.col("held") / PIVOTS))) == 0
+        pivots = rest.where(drawn | (F.col("x") == F.col("r"))).select("x", "r", "blocks").distinct()
+        pivots = pivots.join(sets.select(F.col("class").alias("x"), "s"), "x").select(F.col("r").alias("pivot_r"), F.col("x").alias("pivot_x"), F.col("s").alias("pivot_s"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("pivot_block"))
+        held = rest.join(sets.select(F.col("class").alias("x"), "s"), "x").select("x", "r", "guest", "s", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int").alias("block"))
+        placed = held.groupBy("r", "block").cogroup(pivots.groupBy("pivot_r", "pivot_block")).applyInPandas(_cut(level, 1 - percent / 100), "x long, r long, guest long, above long")
+        placed = materialize(placed, "jaccard-homes")
+        # where guests outweigh members, or one region keeps most of them, pivots separate nothing
+        cells = placed.groupBy("above", "r").agg(F.count("*").alias("n"))
+        gain = cells.groupBy("above").agg(F.sum("n").alias("all"), F.max("n").alias("most")).join(sized.withColumnRenamed("r", "above"), "above")
+        dense = materialize(gain.where((F.col("all") > 2 * F.col("held")) | (F.col("most") > 0.7 * F.col("held"))).select("above"), "jaccard-dense")
+        tiled = rest.join(dense.withColumnRenamed("above", "r"), "r", "left_semi")
+        own = F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int")
+        tiled = tiled.select("x", "r", "guest", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), SIDES[0]).otherwise(SIDES[1])
+        tile = F.xxhash64("r", F.least("own", "other"), F.greatest("own", "other"))
+        done = done.unionByName(tiled.select("x", tile.alias("r"), F.col("guest").bitwiseOR(side).alias("guest")))
+        work = placed.join(dense, "above", "left_anti").join(work.select("x", "n").distinct(), "x").select("x", "r", "guest", "n")
+    raise ValueError("regions have been cut 40 times")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -399,29 +440,42 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def join(docs: DataFrame, n: int = 5, percent: int = 75, common: int = 8, rounds: int = 6) -> DataFrame:
-    """doc_id, n_shingles, component_id, and class (equal for equal sets)."""
-    tune(docs.sparkSession)
+def join(docs: DataFrame, n: int = 5, percent: int = 75, common: int = 8, leaf_rows: int = LEAF_ROWS, leaf_shingles: int = LEAF_SHINGLES) -> DataFrame:
+    """doc_id, n_shingles, component_id, class (equal for equal sets) and n_links, the number of other documents that link with it."""
+    spark = docs.sparkSession
+    tune(spark)
     named = materialize(classes(docs, n), "jaccard-classes")
     total = named.agg(F.sum("n_shingles").alias("k")).first().k or 0
-    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(least, int(total * (100 - percent) // 100 // 1_000_000) + 1)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * (100 - percent) // 100 // 1_000_000) + 1)
     often = common_shingles(docs, n, common, buckets, wide=total > 1 << 34)
-    found = materialize(regions(docs, n, percent, often, buckets), "jaccard-regions")
+    found = materialize(regions(docs, n, percent, common, often, buckets), "jaccard-regions")
     pairs = found.where("y IS NOT NULL").groupBy("x", "y").agg(F.sum("shared").alias("shared"), F.max("least").alias("least")).where("shared >= least").select("x", "y")
-    pairs = materialize(pairs, "jaccard-pairs")
-    members = materialize(found.where("y IS NULL").select("r", "x").distinct(), "jaccard-members")
-    wanted = pairs.select(F.col("x").alias("class")).union(pairs.select("y")).union(members.select("x")).distinct()
-    reps = named.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    sets = materialize(_sets(docs, wanted.join(reps, "class"), n), "jaccard-sets")
-    links = _distances(pairs, sets).where(F.col("inter") * 100 >= F.col("either") * percent).select("x", "y")
-    if not members.isEmpty():
-        cells, stars = _cells(members, sets, percent, rounds)
-        links = materialize(links.unionByName(stars), "jaccard-links")
-        links = links.unionByName(_between(members, cells, links, sets, percent))
-    roots = components(links)
-    full = reps.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
+    family = families(found.where("y IS NULL").select("r", "x"))
+    # members of one family meet there
+    pairs = pairs.join(family.select("x", F.col("r").alias("r_x")), "x", "left").join(family.select(F.col("x").alias("y"), F.col("r").alias("r_y")), "y", "left")
+    pairs = materialize(pairs.where("NOT coalesce(r_x = r_y, false)").select("x", "y"), "jaccard-pairs")
+    discard(found)
+    wanted = pairs.select(F.col("x").alias("class")).union(pairs.select("y")).union(family.select("x")).distinct()
+    reps = materialize(named.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min("n_shingles").alias("n")), "jaccard-reps")
+    sets = materialize(_sets(docs, wanted.join(reps.select("class", "doc_id"), "class"), n), "jaccard-sets")
+    linked = _distances(pairs, sets).where(F.col("inter") * 100 >= F.col("either") * percent).select("x", "y")
+    size = reps.select(F.col("class").alias("x"), "copies", "n")
+    linked = materialize(linked, "jaccard-links")
+    both = linked.unionByName(linked.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    counted = both.join(size.select(F.col("x").alias("y"), F.col("copies").alias("links")), "y").select("x", "y", "links")
+    if not family.isEmpty():
+        work = family.join(size, "x").select("x", "r", F.lit(0).cast("long").alias("guest"), "n")
+        leaf = leaves(work, sets, percent, leaf_rows, leaf_shingles)
+        full = leaf.join(sets.select(F.col("class").alias("x"), "s"), "x").join(size.select("x", "copies"), "x")
+        within = full.groupBy("r").applyInPandas(lambda pdf: _leaf(pdf, percent), "x long, y long, links long")
+        counted = counted.unionByName(within)
+    counted = materialize(counted, "jaccard-counted")
+    discard(sets)
+    roots = components(counted.where("x != y").select("x", "y"))
+    links = counted.groupBy(F.col("x").alias("class")).agg(F.sum("links").alias("links"))
+    full = reps.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("class", "doc_id", "copies", F.coalesce("root", "class").alias("root"))
     ids = full.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_class = full.join(ids, "root").select("class", "component_id")
+    of_class = full.join(ids, "root").join(links, "class", "left").select("class", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
     out = named.join(of_class, "class", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class")
+    some = F.col("n_shingles") > 0
+    return out.select("doc_id", "n_shingles", F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class", F.when(some, F.col("links")).otherwise(0).cast("long").alias("n_links"))

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from odd_rows import ODD, prose
+from odd_rows import ODD, prose, rich
 from pyspark.sql import functions as F
 
 from emberlens.llm import jaccard, language_model, lines, pieces, topk, toxicity
@@ -106,18 +106,75 @@ def near_copies():
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize(("common", "rounds"), [(16, 4), (1, 3), (1, 1)])
-def test_jaccard_components(spark, common, rounds):
+def links_by_force(docs, percent=75):
+    sets = {}
+    for i, t in docs:
+        w = words(t)
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    near = lambda a, b: bool(a & b) and 100 * len(a & b) >= percent * len(a | b)
+    return {i: sum(near(a, b) for j, b in sets.items() if j != i) for i, a in sets.items()}
+
+
+def joined(spark, docs, **how):
+    return jaccard.join(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), **how).collect()
+
+
+@pytest.mark.parametrize(("common", "leaf_rows", "leaf_shingles"), [(16, 1024, 1 << 20), (2, 1024, 1 << 20), (1, 24, 1 << 20), (1, 6, 1 << 20), (2, 1024, 900)])
+def test_jaccard_components_and_links(spark, common, leaf_rows, leaf_shingles):
     docs = near_copies()
-    rows = jaccard.join(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), common=common, rounds=rounds).collect()
+    rows = joined(spark, docs, common=common, leaf_rows=leaf_rows, leaf_shingles=leaf_shingles)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == components_by_force(docs)
+    assert {r.doc_id: r.n_links for r in rows} == links_by_force(docs)
+
+
+@pytest.mark.parametrize("leaf_rows", [1024, 40])
+def test_jaccard_large_family(spark, leaf_rows):
+    # copies, near copies and texts that fall short of the similarity, around three bases that share a passage
+    rng, docs = random.Random(12), []
+    passage = prose(77, 60).split()
+    for base in range(3):
+        own = passage + rich(base, 60).split()
+        for _ in range(90):
+            text = list(own)
+            for _ in range(rng.choice((0, 1, 2, 4, 8))):
+                text[rng.randrange(len(text))] = rng.choice("abcdef")
+            docs.append(" ".join(text))
+    docs = list(enumerate(docs))
+    rows = joined(spark, docs, leaf_rows=leaf_rows)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == components_by_force(docs)
+    assert {r.doc_id: r.n_links for r in rows} == links_by_force(docs)
+
+
+def test_voronoi_regions_separate_what_merely_shares_a_passage(spark):
+    # chains of texts hang together by common shingles, while their ends have nothing in common
+    rng, stock = random.Random(3), [rich(500 + k, 40) for k in range(40)]
+    docs = list(enumerate(f"{stock[k]} {stock[(k + 1) % 40]} x{rng.randrange(3)}" for k in range(40) for _ in range(12)))
+    rows = joined(spark, docs, common=1, leaf_rows=60)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == components_by_force(docs)
+    assert {r.doc_id: r.n_links for r in rows} == links_by_force(docs)
+
+
+def test_leaf_links_equal_brute_force():
+    rng = np.random.default_rng(8)
+    lists = [np.unique(np.concatenate([rng.integers(0, 40, 30), rng.integers(100, 100 + 30 * (k % 3 + 1), 6)])) for k in range(150)]
+    guest, copies = rng.integers(0, 4, 150), rng.integers(1, 5, 150)
+    links, part = jaccard.links_within(lists, guest, copies, 30, rows=64)
+    near = np.array([[i != j and not guest[i] & guest[j] and 100 * len(a := np.intersect1d(x, y)) >= 30 * (len(x) + len(y) - len(a)) for j, y in enumerate(lists)] for i, x in enumerate(lists)])
+    assert links.tolist() == (near @ copies).tolist() and near.any()
+    root = np.arange(150)
+    for _ in range(150):
+        root = np.array([min([root[i], *root[near[i]]]) for i in range(150)])
+    assert part.tolist() == root.tolist()
 
 
-def test_jaccard_odd_rows(odd, nothing):
+def test_jaccard_odd_rows(spark, odd, nothing):
     rows = jaccard.join(odd).collect()
     assert len(rows) == len(ODD) + 1
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == components_by_force(ODD)
+    assert next(r.n_links for r in rows if r.doc_id == 11) == 1
     assert jaccard.join(nothing).count() == 0
+    nulls = spark.createDataFrame([(None, prose(5, 80)), (None, prose(9, 40)), (4, prose(5, 80)), (4, prose(10, 40))], "doc_id long, text string")
+    assert Counter((r.doc_id, r.component_id, r.n_links) for r in jaccard.join(nulls).collect()) == Counter([(None, 4, 1), (None, None, 0), (4, 4, 1), (4, 4, 0)])
 
 
 def lines_by_force(docs, least):
