@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, tune
 
-#: The pattern by which byte-level BPE of this family cuts text.
+# Fixed value: the pattern by which the ``ByteLevel`` pre-tokenizer cuts text; files name it by ``use_regex`` only.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _encoders: dict[str, "Encoder"] = {}
 
@@ -39,29 +39,36 @@ def _byte_of() -> dict[str, int]:
 
 
 class Encoder:
-    """Ids of a byte-level BPE ``tokenizers`` file. The file's own vocabulary, whose ids are in merge order, is run by
-    ``tiktoken``, which gives the same ids without building offsets; what that refuses goes to ``tokenizers``."""
+    """Ids of a ``tokenizers`` file, as that library gives them with ``add_special_tokens=False``: the strings of the file's
+    added tokens are those tokens in a text too.
+
+    A plain byte-level BPE, whose ids are in merge order, is run by ``tiktoken``, which gives the same ids without building
+    offsets; other files, texts with added tokens and what ``tiktoken`` refuses go to ``tokenizers``."""
 
     def __init__(self, path: str) -> None:
-        self.path, self.slow = path, None
+        self.path, self.slow, self.fast = path, None, None
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
-        special = {t["id"] for t in model.get("added_tokens", [])}
-        as_byte = _byte_of()
-        ranks = {bytes(as_byte[c] for c in piece): i for piece, i in model["model"]["vocab"].items() if i not in special}
-        import tiktoken
+        self.added = [t["content"] for t in model.get("added_tokens", [])]
+        cut, bpe = model.get("pre_tokenizer") or {}, model["model"]
+        plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not model.get("normalizer") and not model.get("truncation")
+        if plain and bpe["type"] == "BPE" and not any(bpe.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+            import tiktoken
 
-        self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            special, as_byte = {t["id"] for t in model.get("added_tokens", [])}, _byte_of()
+            ranks = {bytes(as_byte[c] for c in piece): i for piece, i in bpe["vocab"].items() if i not in special}
+            self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def reference(self, text: str) -> np.ndarray:
         if self.slow is None:
             from tokenizers import Tokenizer
 
             self.slow = Tokenizer.from_file(self.path)
-            self.slow.encode_special_tokens = True
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def __call__(self, text: str) -> np.ndarray:
+        if self.fast is None or any(t in text for t in self.added):
+            return self.reference(text)
         try:
             return self.fast.encode_to_numpy(text, disallowed_special=())
         except Exception:  # the regex engine gives up on some endless runs

@@ -149,7 +149,6 @@ def brute_ids(text):
     from tokenizers import Tokenizer
 
     tool = Tokenizer.from_file(BPE)
-    tool.encode_special_tokens = True
     return [*tool.encode(text, add_special_tokens=False).ids, 0]
 
 
@@ -159,8 +158,18 @@ def test_ids_equal_the_tokenizers_library(text):
     assert packing.encoder(BPE)(text).tolist() == brute_ids(text)[:-1]
 
 
-def test_special_tokens_are_text():
-    assert packing.encoder(BPE)("a<|endoftext|>b").tolist() == brute_ids("a<|endoftext|>b")[:-1]
+def test_added_tokens_are_as_the_library_has_them():
+    for text in ("a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|> <|endoftext|>", "<|endoftext"):
+        assert packing.encoder(BPE)(text).tolist() == brute_ids(text)[:-1]
+    assert 50256 in packing.encoder(BPE)("a<|endoftext|>b")
+
+
+def test_other_tokenizer_files_go_to_the_library():
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    assert packing.encoder(path).fast is None
+    assert packing.encoder(path)("Some words, HERE").tolist() == Tokenizer.from_file(path).encode("Some words, HERE", add_special_tokens=False).ids
 
 
 @settings(max_examples=80, deadline=None)
@@ -180,8 +189,48 @@ def test_plan_places_every_item_without_gaps(counts):
             assert offset == at
             at += length
         assert at <= 40
+    # bins are never fewer than the room that items take, nor than the items of which no two fit together
     total = sum(k * v for k, v in counts.items())
-    assert bins <= max(-(-total // 40) * 1.5 + 1, 0)
+    least = max(-(-total // 40), sum(v for k, v in counts.items() if k > 20))
+    assert least <= bins <= 11 / 9 * fewest_at_most(counts, 40) + 1
+
+
+def fewest_at_most(counts, size):
+    """An upper bound of the fewest bins: plain best-fit decreasing, item by item."""
+    room = []
+    for k in sorted(Counter(counts).elements(), reverse=True):
+        fit = [i for i, r in enumerate(room) if r >= k]
+        if fit:
+            room[min(fit, key=lambda i: room[i])] -= k
+        else:
+            room.append(size - k)
+    return len(room)
+
+
+def fewest(items, size):
+    """The fewest bins, by trying every bin for each item."""
+    best = [len(items)]
+
+    def place(i, room):
+        if len(room) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(room)
+            return
+        for r in {x: j for j, x in enumerate(room) if x >= items[i]}.values():
+            place(i + 1, [x - items[i] * (j == r) for j, x in enumerate(room)])
+        place(i + 1, [*room, size - items[i]])
+
+    place(0, [])
+    return best[0]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 12), max_size=8))
+def test_plan_is_near_the_fewest_bins(items):
+    _, bins = packing.plan(Counter(items), 12)
+    best = fewest(sorted(items, reverse=True), 12)
+    assert best <= bins <= 11 / 9 * best + 6 / 9
 
 
 def test_packed_rows(spark, odd, nothing):
