@@ -11,7 +11,7 @@ to every partition; a partition returns at most k rows for a query, ranked again
 
 Defined results: vectors that are null or hold null or non-finite components take no part, neither as queries nor as
 candidates; shorter vectors count as padded with zeros and an empty vector as zeros; equal scores go to smaller ids;
-rows that repeat an id are separate candidates except for queries of that id; fewer candidates than k give fewer rows;
+rows that repeat an id are separate queries, each with its own result, and separate candidates except for queries of that id; fewer candidates than k give fewer rows;
 an empty table gives an empty result; other columns are not read. Components are scaled and floored as doubles; beyond
 2**20 the products leave float64's exact range and are taken with Python integers, clipped to 64 bits.
 """
@@ -165,7 +165,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", co
             floor = np.partition(products, -k, axis=1)[:, -k]
         sent = spark.sparkContext.broadcast((q_ids, q, rotation, lead, floor))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, number=number) -> Iterator[pa.RecordBatch]:
             q_ids, q, rotation, lead, floor = sent.value
             state = _Search(q_ids, q, rotation, lead, k, floor)
             for batch in batches:
@@ -174,15 +174,16 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", co
                     if len(live := state.live(norms[a:b].max())):
                         part = batch.slice(a, b - a)
                         state.block(part.column(0).to_numpy(), _matrix(part.column(1), width), live)
-            qs, vs, ss = ([], [], [])
+            rows, qs, vs, ss = ([], [], [], [])
             for i, (s, d) in enumerate(state.top):
+                rows += [number << 32 | i] * len(s)
                 qs += [q_ids[i]] * len(s)
                 vs += d.tolist()
                 ss += [int(x) for x in s]
-            yield pa.RecordBatch.from_arrays([pa.array(qs, pa.int64()), pa.array(vs, pa.int64()), pa.array(ss, pa.int64())], names=["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (rows, qs, vs, ss)], names=["query_row", "query_id", "vec_id", "score"])
 
-        found = ordered.mapInArrow(run, "query_id long, vec_id long, score long")
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        found = ordered.mapInArrow(run, "query_row long, query_id long, vec_id long, score long")
+        rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
         best = found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
         if blocks > 1:
             best = materialize(best, "topk-block")
