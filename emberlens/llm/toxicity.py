@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import mix, slices, span_hashes, text_buffers, tune, word_spans
+from .common import mix, slices, span_hashes, text_buffers, tune, unused, word_spans
 
 BUCKETS = 1 << 22
 PREFIX_BYTES = 5
@@ -157,11 +158,11 @@ def classify(docs: DataFrame, labels: DataFrame, categories: list[str], s: Setti
     """doc_id, a probability for each category, and ``rejected``."""
     tune(docs.sparkSession)
     chain, threshold = train(docs, labels, categories, s)
-    return probabilities(docs, chain, categories, ["doc_id"]).withColumn("rejected", F.col(f"p_{categories[-1]}") > threshold)
+    return probabilities(docs, chain, ["doc_id"], [f"p_{c}" for c in categories]).withColumn("rejected", F.col(f"p_{categories[-1]}") > threshold)
 
 
-def probabilities(docs: DataFrame, chain: list[Link], categories: list[str], keep: list[str]) -> DataFrame:
-    """``keep`` columns and p_<category> for each row; ``text`` must be a column."""
+def probabilities(docs: DataFrame, chain: list[Link], keep: list[str], names: list[str]) -> DataFrame:
+    """``keep`` columns and the probability of each link of the chain under ``names``, which ``keep`` lacks; ``text`` must be a column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,8 +170,7 @@ def probabilities(docs: DataFrame, chain: list[Link], categories: list[str], kee
                 before = np.empty((b - a, 0))
                 for link in chain:
                     before = np.column_stack([before, np.clip(link.logits(b - a, row, bucket, before), -8, 8)])
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[1:]), *(pa.array(1 / (1 + np.exp(-x))) for x in before.T)], names=names)
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[1:]), *(pa.array(1 / (1 + np.exp(-x))) for x in before.T)], names=[*keep, *names])
 
-    names = [*keep, *(f"p_{c}" for c in categories)]
-    fields = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"p_{c} double" for c in categories])
-    return docs.select(F.col("text").cast("string").alias("_text"), *keep).mapInArrow(run, fields)
+    schema = StructType([*(StructField(c, docs.schema[c].dataType) for c in keep), *(StructField(c, DoubleType()) for c in names)])
+    return docs.select(F.col("text").cast("string").alias(unused(docs, "_text")[0]), *(F.col(f"`{c}`") for c in keep)).mapInArrow(run, schema)
