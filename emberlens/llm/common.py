@@ -35,9 +35,10 @@ WORKER_ENV = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": str(2 << 20), "
 
 
 def tune(spark: SparkSession) -> None:
-    """Small Arrow batches keep Python workers' memory flat however long the rows are."""
+    """Small batches keep the memory of executors and of their Python workers flat however long the rows are."""
     for name, value in WORKER_ENV.items():
         spark.sparkContext.environment.setdefault(name, value)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "256")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 

@@ -3,8 +3,9 @@
 A line with a word gets a 64-bit hash of its bytes as id; a document is its sequence of ids, and no run crosses its end.
 Level 0 keeps positions whose line occurs twice or more. Level k + 1 sorts the distinct pairs (rank of 2**k lines here,
 rank of 2**k lines further on) over range partitions and ranks those that occur twice or more: ranks are suffix array
-ranks truncated to that depth, equal where the longest common prefix reaches it. Suffixes that became unique drop out,
-so levels shrink fast.
+ranks truncated to that depth, equal where the longest common prefix reaches it. Before each step, positions are thinned
+to stretches of consecutive ones that have ``min_words`` words together: no shorter stretch can hold a run that counts. So
+levels shrink fast, and the partner of a position is found in its stretch, without a join.
 
 A repeated run counts when it has ``min_words`` words. Its lines are those of its shortest sufficient parts, forward
 from a line and backward from a line, and such a part of m lines is an LCP interval of depth m: it is identified by the
@@ -12,8 +13,8 @@ ranks of its first and its last 2**k lines, k the largest with 2**k <= m. In eve
 doc_id and line, stays, and the lines of later ones are deleted. Shorter runs, such as a licence line, stay.
 
 Defined results: a null or empty text has no lines and stays; lines without words count for nothing and stay; ties of
-doc_id go to the row read first; copies keep their first row's lines; an empty table gives an empty result; other
-columns pass through unchanged, except that n_lines and n_deleted are replaced and ``_uid`` and ``_gone`` are reserved.
+doc_id go to the row read first, and rows without doc_id come last; copies keep their first row's lines; an empty table
+gives an empty result; other columns pass through unchanged, except that columns named as the two counts are replaced.
 """
 
 from __future__ import annotations
@@ -22,14 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, ranked, slices, span_hashes, text_buffers, tune, word_spans
+from .common import discard, materialize, ranked, slices, span_hashes, text_buffers, tune, unused, word_spans
 
 
-def line_rows(docs: DataFrame, min_words: int) -> DataFrame:
-    """uid, doc_id, pos (among lines with words), line, h, and the ends of the shortest sufficient parts from (fwd) and to (bwd) here.
+def line_rows(docs: DataFrame, uid: str, min_words: int) -> DataFrame:
+    """uid, doc_id, pos (among lines with words), line, h, the ends of the shortest sufficient parts from (fwd) and to (bwd) here, and the document's words before and up to the line's end.
 
     fwd and bwd are numbers of lines, 0 where the document has too few words on that side."""
 
@@ -58,67 +59,80 @@ def line_rows(docs: DataFrame, min_words: int) -> DataFrame:
                 since = np.searchsorted(total, total[at + 1] - min_words, "right") - 1  # fewest lines to here: [since, at]
                 fwd, bwd = np.where(to <= last, to - at, 0), np.where(since >= first, at + 1 - since, 0)
                 bwd[total[at + 1] < min_words] = 0
-                doc = pa.array(row + a)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(doc), batch.column(1).take(doc), *(pa.array(x.astype(np.int32)) for x in (pos, number)), pa.array(span_hashes(part, starts, ends).view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (fwd, bwd))], names=["uid", "doc_id", "pos", "line", "h", "fwd", "bwd"])
+                doc, begin = pa.array(row + a), total[first]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(doc), batch.column(1).take(doc), *(pa.array(x.astype(np.int32)) for x in (pos, number)), pa.array(span_hashes(part, starts, ends).view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (fwd, bwd, total[at] - begin, total[at + 1] - begin))], names=["uid", "doc_id", "pos", "line", "h", "fwd", "bwd", "before", "upto"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("_uid", "doc_id", F.col("text").cast("string")).mapInArrow(run, f"uid long, doc_id {kind}, pos int, line int, h long, fwd int, bwd int")
+    return docs.select(uid, "doc_id", F.col("text").cast("string")).mapInArrow(run, f"uid long, doc_id {kind}, pos int, line int, h long, fwd int, bwd int, before int, upto int")
 
 
-def _next_level(level: DataFrame, step: int, k: int) -> DataFrame:
-    """Ranks of twice as many lines for the positions whose pair of ranks is repeated."""
-    right = level.select("uid", (F.col("pos") - step).alias("pos"), F.col("rank").alias("second"))
-    pairs = level.withColumnRenamed("rank", "first").join(right, ["uid", "pos"])
-    pairs = materialize(pairs, f"lines-pairs{k}")
-    repeated = pairs.groupBy("first", "second").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return materialize(pairs.join(ranked(repeated, ["first", "second"], f"lines-ranks{k}"), ["first", "second"]).select("uid", "pos", "rank"), f"lines-level{k}")
+def _thinned(level: DataFrame, step: int, min_words: int, name: str) -> DataFrame:
+    """uid, pos, rank, second (the rank ``step`` lines further on), before, upto and last, where the stretch of consecutive positions has ``min_words`` words."""
+    stretch = Window.partitionBy("uid", "run")
+    held = level.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy("uid").orderBy("pos")))
+    held = held.withColumn("words", F.max("upto").over(stretch) - F.min("before").over(stretch)).where(F.col("words") >= min_words)
+    ahead = lambda c: F.lead(c, step).over(stretch.orderBy("pos"))
+    return materialize(held.select("uid", "pos", "rank", ahead("rank").alias("second"), "before", ahead("upto").alias("reach")), name)
+
+
+def doubled(live: DataFrame, most: int, min_words: int) -> list[DataFrame]:
+    """Per level k, uid, pos and rank of the repeated stretches of 2**k lines; live: uid, pos, rank, before, upto."""
+    levels = [_thinned(live, 1, min_words, "lines-level0")]
+    while most >= 2 << (len(levels) - 1):
+        k = len(levels)
+        pairs = levels[-1].where("second IS NOT NULL").select("uid", "pos", F.col("rank").alias("first"), "second", "before", F.col("reach").alias("upto"))
+        repeated = pairs.groupBy("first", "second").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        level = pairs.join(ranked(repeated, ["first", "second"], f"lines-ranks{k}"), ["first", "second"]).select("uid", "pos", "rank", "before", "upto")
+        level = _thinned(level, 1 << k, min_words, f"lines-level{k}")
+        if level.isEmpty():
+            break
+        levels.append(level)
+    return levels
 
 
 def repeated_parts(levels: list[DataFrame], parts: DataFrame) -> DataFrame:
     """uid, pos and m of the parts that occurred before; parts: uid, doc_id, pos, m."""
-    out = None
+    every = None
     for k, level in enumerate(levels):
         own = parts.where((F.col("m") >= 1 << k) & (F.col("m") < 2 << k))
-        first = level.withColumnRenamed("rank", "first")
-        named = own.join(first, ["uid", "pos"])
+        named = own.join(level.select("uid", "pos", F.col("rank").alias("first")), ["uid", "pos"])
         last = level.select("uid", F.col("pos").alias("at"), F.col("rank").alias("last"))
         named = named.withColumn("at", F.col("pos") + F.col("m") - (1 << k)).join(last, ["uid", "at"])
         named = named.withColumn("here", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "uid", "pos")).select("first", "last", "m", "here", "uid", "pos")
-        named = materialize(named, f"lines-parts{k}")
-        origin = named.groupBy("first", "last", "m").agg(F.min("here").alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
-        origin = materialize(origin, f"lines-origin{k}")
-        later = named.join(origin, ["first", "last", "m"]).where("here > origin").select("uid", "pos", "m")
-        out = later if out is None else out.unionByName(later)
-    return out
+        every = named if every is None else every.unionByName(named)
+    # written first, so that the join's sides are plain exchanges, whose hot parts Spark can split; m tells the level
+    named = materialize(every, "lines-parts")
+    origin = named.groupBy("first", "last", "m").agg(F.min("here").alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return named.join(materialize(origin, "lines-origin"), ["first", "last", "m"]).where("here > origin").select("uid", "pos", "m")
 
 
-def dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """``docs`` with later copies of repeated runs deleted from ``text``, and n_lines and n_deleted.
+def dedup(docs: DataFrame, min_words: int = 50, counts: tuple[str, str] = ("n_lines", "n_deleted")) -> DataFrame:
+    """``docs`` with later copies of repeated runs deleted from ``text``, and the two counts of lines and of deleted lines.
 
     Lines are counted as they stand between line breaks, those without words included."""
     spark = docs.sparkSession
     tune(spark)
-    held = materialize(docs.drop("n_lines", "n_deleted").withColumn("_uid", F.monotonically_increasing_id()), "lines-docs")
-    lines = materialize(line_rows(held, min_words), "lines-rows")
-    # written first, so that the join's sides are plain exchanges, whose hot lines Spark can split
+    docs = docs.drop(*counts)
+    uid, gone, split = unused(docs, "_uid", "_gone", "_split")
+    held = materialize(docs.withColumn(uid, F.monotonically_increasing_id()), "lines-docs")
+    lines = materialize(line_rows(held, uid, min_words), "lines-rows")
     repeated = materialize(lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "lines-repeated")
-    live = materialize(lines.join(repeated, "h").select("uid", "doc_id", "pos", "line", F.col("h").alias("rank"), "fwd", "bwd"), "lines-live")
-    parts = live.where("fwd > 0").select("uid", "doc_id", "pos", F.col("fwd").alias("m"))
-    parts = parts.unionByName(live.where("bwd > 0").select("uid", "doc_id", (F.col("pos") - F.col("bwd") + 1).alias("pos"), F.col("bwd").alias("m"))).distinct()
-    parts = materialize(parts, "lines-all-parts")
-    most = parts.agg(F.max("m").alias("m")).first().m or 0
-    levels = [live.select("uid", "pos", "rank")]
-    while most >= 2 << (len(levels) - 1):
-        level = _next_level(levels[-1], 1 << (len(levels) - 1), len(levels))
-        if level.isEmpty():
-            break
-        levels.append(level)
-    found = repeated_parts(levels, parts)
-    gone = found.select("uid", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("m") - 1)).alias("pos")).distinct()
-    by_doc = gone.join(live.select("uid", "pos", "line"), ["uid", "pos"]).groupBy(F.col("uid").alias("_uid")).agg(F.collect_list("line").alias("_gone"))
-    joined = held.join(by_doc.hint("merge"), "_uid", "left")
+    live = materialize(lines.join(repeated, "h").withColumnRenamed("h", "rank"), "lines-live")
+    discard(lines)
+    most = live.agg(F.greatest(F.max("fwd"), F.max("bwd")).alias("m")).first().m or 0
+    levels = doubled(live.select("uid", "pos", "rank", "before", "upto"), most, min_words)
+    whole = live.join(levels[0].select("uid", "pos"), ["uid", "pos"], "left_semi").select("uid", "doc_id", "pos", "fwd", "bwd")
+    parts = F.array(F.struct("pos", F.col("fwd").alias("m")), F.struct((F.col("pos") - F.col("bwd") + 1).alias("pos"), F.col("bwd").alias("m")))
+    parts = whole.select("uid", "doc_id", F.explode(parts).alias("p")).select("uid", "doc_id", "p.pos", "p.m").where("m > 0").distinct()
+    found = repeated_parts(levels, materialize(parts, "lines-all-parts")).groupBy("uid", "pos").agg(F.max(F.col("pos") + F.col("m")).alias("until"))
+    reach = F.max("until").over(Window.partitionBy("uid").orderBy("pos"))
+    deleted = live.select("uid", "pos", "line").join(found, ["uid", "pos"], "left").withColumn("reach", reach).where("reach > pos")
+    by_doc = deleted.groupBy(F.col("uid").alias(uid)).agg(F.collect_list("line").alias(gone))
+    joined = held.join(by_doc.hint("shuffle_hash"), uid, "left")
     text = F.col("text").cast("string")
-    parts_of = F.split(text, "\n", -1)
-    kept = F.filter(parts_of, lambda x, i: ~F.array_contains("_gone", i))
-    columns = [F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in held.columns if c != "_uid"]
-    return joined.select(*columns, F.coalesce(F.size(parts_of), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_deleted"))
+    # lines as a column of their own, so that each is looked up in place
+    rows = joined.withColumn(split, F.split(text, "\n", -1))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone)), lambda i: F.col(split)[i])
+    edited = F.when(F.col(gone).isNull(), text).otherwise(F.array_join(kept, "\n"))
+    columns = [edited.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return rows.select(*columns, F.coalesce(F.size(split), F.lit(0)).cast("long").alias(counts[0]), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(counts[1]))

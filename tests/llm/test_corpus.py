@@ -214,6 +214,20 @@ def test_line_dedup_odd_rows(odd, nothing):
     assert lines.dedup(nothing).count() == 0
 
 
+def test_line_dedup_keeps_columns_named_as_its_own(spark):
+    docs = [(None, "a b c\nd e f"), (7, "a b c\nd e f"), (7, "x\na b c\nd e f"), (3, None)]
+    rows = spark.createDataFrame([(i, t, k, [k], "s") for k, (i, t) in enumerate(docs)], "doc_id long, text string, _uid int, _gone array<int>, _split string")
+    got = sorted(lines.dedup(rows, min_words=6).collect(), key=lambda r: r["_uid"])
+    assert [(r["_gone"], r["_split"]) for r in got] == [([k], "s") for k in range(4)]
+    assert [(r.text, r.n_lines, r.n_deleted) for r in got] == [("", 2, 2), ("a b c\nd e f", 2, 0), ("x", 3, 2), (None, 0, 0)]
+
+
+def test_line_dedup_of_a_long_document_is_linear(spark):
+    body = "\n".join(f"line {k} of the long text" for k in range(60_000))
+    rows = lines.dedup(spark.createDataFrame([(1, body), (2, "own start\n" + body + "\nown end")], "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_deleted, len(r.text)) for r in rows} == {1: (0, len(body)), 2: (60_000, len("own start\nown end"))}
+
+
 def top_by_force(rows, k):
     v = {}
     for i, x in rows:
@@ -240,6 +254,12 @@ def test_top_k(spark):
     assert topk.search(df.where("vec_id < 3"), lambda c: c % 100 == 0).count() == 2
 
 
+def test_top_k_of_queries_that_share_an_id(spark):
+    rows = [(100, [1.0, 0.0]), (100, [0.0, 1.0]), *((k, [k / 10, 1 - k / 10]) for k in range(1, 8))]
+    got = Counter((r.query_id, r["rank"], r.vec_id) for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3), lambda c: c % 100 == 0, k=2).collect())
+    assert got == Counter([(100, 1, 7), (100, 2, 6), (100, 1, 1), (100, 2, 2)])
+
+
 def test_top_k_of_mixed_norms_in_many_files(spark):
     # the long vectors have fewer components, so their files are smaller and read after those of the short ones
     rng = np.random.default_rng(4)
@@ -280,6 +300,10 @@ def test_toxicity_chain(spark, odd, nothing):
     out = toxicity.classify(odd, lab, ["low", "toxic"]).collect()
     assert len(out) == len(ODD) + 1
     assert toxicity.classify(nothing, lab, ["low", "toxic"]).count() == 0
+    clash = odd.select("doc_id", "text", F.lit(7).alias("_text"), F.lit("x").alias("p_toxic"))
+    chain, _ = toxicity.train(d, lab, ["low", "toxic"])
+    kept = toxicity.probabilities(clash, chain, clash.columns, ["_low", "_toxic"])
+    assert kept.columns == [*clash.columns, "_low", "_toxic"] and {(r["_text"], r.p_toxic) for r in kept.collect()} == {(7, "x")}
     assert not any(r.rejected for r in toxicity.classify(odd, lab.where("doc_id < 0"), ["low", "toxic"]).collect())
 
 
