@@ -50,7 +50,8 @@ def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _tokenizer("piece_bpe_32k.model")
-    ids = pieces.encode(read(spark, sf_dir, "documents"), path)
+    # the file is a BPE model; its pieces and scores are read as a unigram model, whose best path the scan finds
+    ids = pieces.encode(read(spark, sf_dir, "documents"), path, kind=pieces.UNIGRAM)
     kept = ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), "n_chunks", "text_crc32", "ids")
     text = pieces.decode(kept, path, ["doc_id", "n_ids", "ids_crc32", "n_chunks", "text_crc32"])
     return text.select("doc_id", "n_ids", "ids_crc32", "n_chunks", (F.crc32(F.col("text").cast("binary")) == F.col("text_crc32")).alias("round_trip"))

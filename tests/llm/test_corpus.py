@@ -312,12 +312,6 @@ def model_path():
     return str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
-def as_unigram(raw):
-    """The same pieces and scores as a unigram model: the trainer's model type, field 3 of field 2, becomes 1."""
-    at = raw.rindex(b"\x12\x06tok_v0\x18\x02")
-    return raw[: at + 9] + b"\x01" + raw[at + 10 :]
-
-
 def test_pieces_round_trip_and_chunks(spark, odd, nothing):
     import sentencepiece
 
@@ -334,13 +328,11 @@ def test_pieces_round_trip_and_chunks(spark, odd, nothing):
     assert pieces.encode(nothing, model_path()).count() == 0
 
 
-def test_max_plus_scan_equals_the_library(spark, odd, tmp_path):
+def test_max_plus_scan_equals_the_library(spark, odd, nothing):
     import sentencepiece
 
     with open(model_path(), "rb") as f:
-        raw = as_unigram(f.read())
-    path = tmp_path / "unigram.model"
-    path.write_bytes(raw)
+        raw = pieces.read_as(f.read(), pieces.UNIGRAM)
     tool = sentencepiece.SentencePieceProcessor(model_proto=raw)
     own = pieces.Pieces(raw)
     assert own.kind == pieces.UNIGRAM
@@ -348,11 +340,28 @@ def test_max_plus_scan_equals_the_library(spark, odd, tmp_path):
     def total(ids):
         return sum(own.tool.get_score(i) for i in ids if not own.tool.is_byte(i))
 
-    docs = odd.where("doc_id IN (3, 4, 5, 7, 11)")
-    for r in pieces.encode(docs, str(path), chunk_chars=50).collect():
-        text, ids = dict(ODD)[r.doc_id], np.frombuffer(bytes(r.ids), "<u4").tolist()
-        best = total(tool.encode(text))  # the library adds in 32 bits
-        assert tool.decode(ids) == text and total(ids) >= best - 1e-5 * abs(best) and math.isclose(total(ids), best, rel_tol=1e-5)
+    endless = "".join(random.Random(5).choice("abcdeé") for _ in range(900))
+    texts = {**dict(ODD[:8]), 11: ODD[11][1], 20: endless, 21: f"some words {endless}  and {prose(8, 400)} {endless[:300]} end ", 22: " " * 700, 23: "é😀" * 300}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    for chunk in (50, 300):
+        rows = pieces.encode(docs, model_path(), chunk_chars=chunk, kind=pieces.UNIGRAM)
+        got = rows.collect()
+        assert len(got) == len(texts) and max(r.n_chunks for r in got) > 3
+        for r in got:
+            text, ids = texts[r.doc_id] or "", np.frombuffer(bytes(r.ids), "<u4").tolist()
+            best = total(tool.encode(text))  # the library adds in 32 bits
+            assert tool.decode(ids) == text and math.isclose(total(ids), best, rel_tol=1e-5, abs_tol=1e-4)
+        assert {r.doc_id: r.text for r in pieces.decode(rows, model_path(), ["doc_id"]).collect()} == {i: t or "" for i, t in texts.items()}
+    assert pieces.encode(nothing, model_path(), kind=pieces.UNIGRAM).count() == 0
+
+
+def test_giant_text_through_the_query(spark, tmp_path):
+    from emberlens.llm import queries
+
+    body = " ".join(prose(k, 400) for k in range(60)) + " " + "".join(random.Random(6).choice("xyz") for _ in range(80_000))
+    spark.createDataFrame([(1, body), (2, None), (3, "short")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in queries.op8_sentencepiece(spark, str(tmp_path)).collect()}
+    assert len(body) > 200_000 and rows[1].n_chunks >= 5 and all(r.round_trip for r in rows.values()) and rows[2].n_ids == 0
 
 
 def test_max_plus_products_are_associative():
