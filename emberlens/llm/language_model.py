@@ -4,9 +4,13 @@ The two words before a token give a context vector ``R[w2] @ C2 + R[w1] @ C1``;
 ``Q`` plus a bias are logits over the model's vocabulary: the most frequent training words, the end of a text, and one
 class for all other words, which shares its mass by add-one counts. So every text has a normalised probability.
 
-All counting covers the whole corpus. Words are 64-bit hashes; counts go through one aggregation. Training makes
-``rounds`` passes, each over its own part of the documents of every partition, from common parameters; partitions
-train alone and their parameters are averaged by a two-level tree. Normalisers of all context pairs come from batched
+All counting covers the whole corpus. Words are 64-bit hashes; counts go through one aggregation. The vocabulary grows
+with the root of the number of distinct training words, up to ``most`` classes: the table of normalisers, one for each pair
+of context words, has the square of that many entries. Training makes ``rounds`` passes, each over its own part of the
+documents. A pass deals documents to shards of about ``shard_tokens`` tokens by a hash of what they hold and of their
+doc_id, and each shard is read once, in the order of that hash, from common parameters, which are averaged after the pass
+by a two-level tree: so the model depends on the rows alone, not on how they lie in files, and large and small corpora
+are read alike. Normalisers of all context pairs come from batched
 matrix products in one small job, after which scoring looks them up. Words above a share of 2**-18 of all tokens (at
 most 2**18 of them, so the table has a size bound) are counted while reading; the rest are joined with the counts by
 hash, so that no key of that join is frequent.
@@ -31,17 +35,19 @@ from .common import materialize, slices, span_hashes, text_buffers, tune, word_s
 
 END = np.uint64(0x5DEECE66D)  # the end token's place among word hashes
 HEAVY = 1 << 18
+READ_TOKENS = 1 << 18  # tokens that training shuffles at once
 
 
 @dataclass(frozen=True)
 class Settings:
-    vocabulary: int = 1024  # classes, with the end token and the class of other words
+    least: int = 1024  # classes, with the end token and the class of other words
+    most: int = 4096
     width: int = 32
     noise: int = 64
-    batch: int = 2048
+    batch: int = 512
     rounds: int = 3
-    min_steps: int = 300  # in each round and partition: small parts are read more than once
-    rate: float = 0.15
+    shard_tokens: int = 1 << 21
+    rate: float = 0.6
     seed: int = 5
 
 
@@ -137,10 +143,13 @@ class Model:
             at += x.size
         return self
 
-    def train(self, contexts: np.ndarray, targets: np.ndarray, s: Settings, rate: float, rng: np.random.Generator) -> None:
+    def squares(self) -> list[np.ndarray]:
+        """Sums of squared gradients, to begin with."""
+        return [np.full(x.shape, 0.1, np.float32) for x in self.arrays()]
+
+    def train(self, contexts: np.ndarray, targets: np.ndarray, s: Settings, rate: float, rng: np.random.Generator, seen: list[np.ndarray]) -> None:
         """One pass of noise-contrastive estimation; all tokens of a batch share its noise samples."""
         cut = np.cumsum(np.exp(self.log_p, dtype=np.float64))
-        seen = [np.full(x.shape, 0.1, np.float32) for x in self.arrays()]
         shift = self.log_p + np.float32(math.log(s.noise))
 
         def step(x: np.ndarray, g2: np.ndarray, grad: np.ndarray, rows=slice(None)) -> None:
@@ -230,48 +239,55 @@ def _encoded(docs: DataFrame, vocab, heavy) -> DataFrame:
 
 
 def fit(encoded: DataFrame, unigram: np.ndarray, s: Settings) -> Model:
-    """Rounds of training in every partition, each followed by an average weighted by tokens."""
+    """Rounds of training in every shard, each followed by an average weighted by tokens."""
     spark, model = encoded.sparkSession, Model(unigram, s)
     flat = model.flat()
+    drawn = encoded.where(~F.col("held_out")).select("ids", F.xxhash64("ids", "doc_id").alias("key"))
+    # whole documents of a part; a shard's place in the average is its number
+    tokens = {r.turn: r.n for r in drawn.groupBy(F.pmod(F.xxhash64("key", F.lit(s.seed)), F.lit(s.rounds)).alias("turn")).agg(F.sum(F.octet_length("ids") / 2).alias("n")).collect()}
     for turn in range(s.rounds):
+        shards = max(1, -(-int(tokens.get(turn, 0)) // s.shard_tokens))
         sent = spark.sparkContext.broadcast(flat)
         rate = s.rate / (1 + turn)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, rate=rate, turn=turn) -> Iterator[pa.RecordBatch]:
-            own, rng = Model(unigram, s).load(sent.value), np.random.default_rng([s.seed, turn, TaskContext.get().partitionId()])
-            total, kept = 0, []
-            for batch in batches:
-                raw = batch.column(0)
-                if not len(raw):
-                    continue
-                sizes = np.diff(np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]) // 2
-                ids = np.frombuffer(b"".join(raw.to_pylist()), "<u2").astype(np.int32)
-                total += len(ids)
-                contexts = _contexts(ids, np.cumsum(sizes), len(unigram))
-                if total <= s.batch * s.min_steps:
-                    kept.append((contexts, ids))
-                own.train(contexts, ids, s, rate, rng)
-            if 0 < total <= s.batch * s.min_steps:  # a small part is read again, one batch at a time over all of it
-                contexts, ids = (np.concatenate(x) for x in zip(*kept, strict=True))
-                for _ in range(min(8, s.min_steps // max(1, total // s.batch))):
-                    own.train(contexts, ids, s, rate, rng)
-            if total:
-                yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([(own.flat().astype(np.float64) * total).tobytes()])], names=["n", "sums"])
+            shard = TaskContext.get().partitionId()
+            own, rng = Model(unigram, s).load(sent.value), np.random.default_rng([s.seed, turn, shard])
+            squares, total, held, size = own.squares(), 0, [], 0
+
+            def read() -> None:
+                sizes = np.array([len(x) for x in held]) // 2
+                ids = np.frombuffer(b"".join(held), "<u2").astype(np.int32)
+                own.train(_contexts(ids, np.cumsum(sizes), len(unigram)), ids, s, rate, rng, squares)
 
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, sums = 0, 0.0
             for batch in batches:
-                for n, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    total, sums = total + n, sums + np.frombuffer(x)
+                for x in batch.column(0).to_pylist():
+                    held.append(x)
+                    size += len(x) // 2
+                    if size >= READ_TOKENS:
+                        read()
+                        total, held, size = total + size, [], 0
+            if size:
+                read()
+                total += size
             if total:
-                yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([sums.tobytes()])], names=["n", "sums"])
+                yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([total]), pa.array([(own.flat().astype(np.float64) * total).tobytes()])], names=["shard", "n", "sums"])
 
-        own_part = encoded.where(~F.col("held_out") & (F.expr(f"pmod(xxhash64(uid, {s.seed}), {s.rounds})") == turn)).select("ids")
-        trained = own_part.mapInArrow(run, "n long, sums binary")
-        parts = encoded.rdd.getNumPartitions()
-        summed = trained.repartition(max(1, math.isqrt(parts))).mapInArrow(add, "n long, sums binary").collect()
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = sorted(x for batch in batches for x in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            if rows:
+                sums = 0.0
+                for _, _, x in rows:
+                    sums = sums + np.frombuffer(x)
+                yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]]), pa.array([sum(r[1] for r in rows)]), pa.array([sums.tobytes()])], names=["shard", "n", "sums"])
+
+        part = drawn.where(F.pmod(F.xxhash64("key", F.lit(s.seed)), F.lit(s.rounds)) == turn)
+        dealt = part.repartitionById(shards, F.pmod(F.xxhash64("key", F.lit(s.seed + 1)), F.lit(shards)).cast("int")).sortWithinPartitions("key", "ids")
+        groups = max(1, math.isqrt(shards))
+        trained = dealt.select("ids").mapInArrow(run, "shard long, n long, sums binary")
+        summed = trained.repartitionById(groups, F.pmod("shard", F.lit(groups)).cast("int")).mapInArrow(add, "shard long, n long, sums binary").collect()
         if summed:
-            flat = (sum(np.frombuffer(x.sums) for x in summed) / sum(x.n for x in summed)).astype(np.float32)
+            flat = (sum(np.frombuffer(x.sums) for x in sorted(summed)) / sum(x.n for x in summed)).astype(np.float32)
         sent.unpersist()
     return model.load(flat)
 
@@ -306,7 +322,8 @@ def score(docs: DataFrame, held_out, settings: Settings = Settings()) -> DataFra
     sums = counts.agg(F.sum("c"), F.count_if(F.col("c") > 0), F.sum("a")).first()
     n, v, every = (int(x or 0) for x in sums)
     end = int(END)
-    top = counts.where(f"c > 0 AND h != {end}").orderBy(F.desc("c"), "h").limit(s.vocabulary - 2).select("h", "c")
+    classes = min(s.most, max(s.least, 1 << max(0, math.isqrt(max(v, 1)) - 1).bit_length()))
+    top = counts.where(f"c > 0 AND h != {end}").orderBy(F.desc("c"), "h").limit(classes - 2).select("h", "c")
     words = top.toArrow()
     hashes = np.concatenate([[END], words.column(0).to_numpy().view(np.uint64)])
     ends = counts.where(f"h = {end}").select("c").collect()

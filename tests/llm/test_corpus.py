@@ -30,7 +30,7 @@ def held_column():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
 
 
-SMALL = language_model.Settings(vocabulary=12, width=8, noise=16, batch=64, rounds=2, min_steps=40)
+SMALL = language_model.Settings(least=12, most=12, width=8, noise=16, batch=64, rounds=2)
 
 
 def test_language_model_base_counts(odd, nothing):
@@ -59,10 +59,18 @@ def test_language_model_learns_and_is_normalised(spark):
             out.append(rng.choice(follow[out[-1]]))
         return " ".join(out)
 
-    docs = spark.createDataFrame([(i, text()) for i in range(400)], "doc_id long, text string").repartition(3)
-    s = language_model.Settings(vocabulary=16, width=16, noise=16, batch=128, min_steps=150)
+    texts = [(i, text()) for i in range(1500)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    s = language_model.Settings(least=16, most=16, width=16, noise=16, batch=64)
     rows = [r for r in language_model.score(docs, held_column(), s).collect() if r.held_out]
     assert sum(r.score for r in rows) > 0.7 * sum(r.base_score for r in rows)
+    # other partitions, the same scores
+    other = {r.doc_id: r.score for r in language_model.score(docs.repartition(7), held_column(), s).collect()}
+    assert all(math.isclose(other[r.doc_id], r.score, rel_tol=1e-6) for r in rows)
+    # several shards learn the same
+    several = language_model.Settings(least=16, most=16, width=16, noise=16, batch=64, shard_tokens=8000)
+    rows = [r for r in language_model.score(docs, held_column(), several).collect() if r.held_out]
+    assert sum(r.score for r in rows) > 0.8 * sum(r.base_score for r in rows)
     unigram = np.full(5, 0.2)
     model = language_model.Model(unigram, s)
     left, right = model.context_tables()
