@@ -87,11 +87,16 @@ def impact_ranges(jobs: DataFrame, by: list[str], vcpu_seconds: str, known: Colu
     return out.drop("_all", "_s")
 
 
-def impact_summary(runs: DataFrame, workflow: str, executed: Column, measured: str) -> DataFrame:
-    """Mean of the measured runs times the count of executed ones: 0 without executed runs, unknown without a sample."""
-    agg = runs.groupBy(workflow).agg(F.count("*").alias("runs"), F.count_if(executed).alias("executed"), F.count(F.when(executed, F.col(measured))).alias("sampled"), F.sum(F.when(executed, F.col(measured))).alias("_sum"))
-    estimate = F.when(F.col("executed") == 0, F.lit(0.0)).when(F.col("sampled") > 0, F.round(F.col("_sum") * F.col("executed") / F.col("sampled"), 2))
-    return agg.withColumn("estimate", estimate).drop("_sum")
+def impact_summary(runs: DataFrame, workflow: str, executed: Column, measured: str, sampled: Column | None = None) -> DataFrame:
+    """Mean of the sampled runs times the count of executed ones: 0 without executed runs, unknown without a sample.
+
+    A run that was ``sampled`` and has no measure ran on unknown hardware, and makes its workflow unknown."""
+    sampled = F.col(measured).isNotNull() if sampled is None else sampled
+    own = executed & sampled
+    agg = runs.groupBy(workflow).agg(F.count("*").alias("runs"), F.count_if(executed).alias("executed"), F.count_if(own).alias("sampled"), F.count(F.when(own, F.col(measured))).alias("_known"), F.sum(F.when(own, F.col(measured))).alias("_sum"))
+    whole = (F.col("sampled") > 0) & (F.col("_known") == F.col("sampled"))
+    estimate = F.when(F.col("executed") == 0, F.lit(0.0)).when(whole, F.round(F.col("_sum") * F.col("executed") / F.col("sampled"), 2))
+    return agg.withColumn("estimate", estimate).drop("_sum", "_known")
 
 
 def sampling_order(runs: DataFrame, workflow: str, order: list[str], depth: int) -> DataFrame:

@@ -26,11 +26,24 @@ class Repeats:
     min_share: float = 0.2
 
 
-def repeated_lines(counts: DataFrame, group: str, s: Repeats = Repeats()) -> DataFrame:
-    """OBS-11: templates with a large share of a group's events. Shares are compared by cross-multiplied integers."""
-    total = counts.groupBy(group).agg(F.sum("occurrences").alias("events"))
-    hit = (F.col("occurrences") > s.min_occurrences) & (F.col("occurrences") > s.min_share * F.col("events")) & (F.col("template") != "<other>")
-    return counts.join(total, group).withColumn("status", status(F.col("events") >= s.min_events, hit))
+# Lines that the platform writes.
+PLATFORM = "^(START|END|REPORT) RequestId: |\"type\"[ \t]*:[ \t]*\"platform[.]"
+
+
+def repeated_lines(counts: DataFrame, group: str, s: Repeats = Repeats(), invocations: DataFrame | None = None) -> DataFrame:
+    """OBS-11: templates with a large share of a group's own events. Shares are compared by cross-multiplied integers.
+
+    With ``invocations`` (group, invocations, invocation_slots), a template that is spread as invocations are, and occurs at
+    most twice in each, belongs to requests and is no hit. Platform lines count for nothing."""
+    own = ~F.col("template").rlike(PLATFORM)
+    total = counts.groupBy(group).agg(F.sum(F.when(own, F.col("occurrences")).otherwise(0)).alias("events"))
+    hit = (F.col("occurrences") > s.min_occurrences) & (F.col("occurrences") > s.min_share * F.col("events")) & (F.col("template") != "<other>") & own
+    rows = counts.join(total, group)
+    if invocations is not None:
+        rows = rows.join(invocations, group, "left")
+        spread = (F.col("occurrences") * F.col("invocation_slots") <= 2 * F.col("invocations") * F.col("slots")) & (F.col("occurrences") <= 2 * F.col("invocations"))
+        hit = hit & ~F.coalesce(spread, F.lit(False))
+    return rows.withColumn("status", status(F.col("events") >= s.min_events, hit)).drop("invocations", "invocation_slots")
 
 
 def size_histogram(events: DataFrame, by: list[str], chars: Column) -> DataFrame:

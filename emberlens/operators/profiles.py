@@ -8,16 +8,23 @@ from pyspark.sql import functions as F
 from ..functions.contract import status
 
 
-def hotspots(stacks: DataFrame, profile: str, frames: str, weight: str, min_self: float = 0.1, min_inclusive: float = 0.5, min_samples: float = 1000, least_share: float = 0.0) -> DataFrame:
-    """OBS-19: self (leaf) and inclusive (once a stack) weight of each function; frames run from root to leaf."""
+def hotspots(stacks: DataFrame, profile: str, frames: str, weight: str, min_self: float = 0.1, min_inclusive: float = 0.5, min_samples: float = 1000, most_callee: float | None = None) -> DataFrame:
+    """OBS-19: self (leaf) and inclusive (once a stack) weight of each function; frames run from root to leaf.
+
+    With ``most_callee``, a function of which one callee has a larger share only passes its weight on."""
     total = stacks.groupBy(profile).agg(F.sum(weight).alias("total"))
     leaf = F.element_at(frames, -1)
     exploded = stacks.select(profile, F.col(weight).alias("_w"), leaf.alias("_leaf"), F.element_at(frames, 1).alias("_root"), F.explode(F.array_distinct(frames)).alias("function"))
     pick = lambda c: F.sum(F.when(F.col("function") == F.col(c), F.col("_w")).otherwise(0))
     agg = exploded.groupBy(profile, "function").agg(F.sum("_w").alias("inclusive"), pick("_leaf").alias("self"), pick("_root").alias("root"))
     out = agg.join(total, profile)
-    hit = (F.col("self") > min_self * F.col("total")) | ((F.col("inclusive") > min_inclusive * F.col("total")) & (F.col("root") == 0) & (F.col("inclusive") <= 0.9 * F.col("total")))
-    return out.withColumn("status", status(F.col("total") >= min_samples, hit))
+    passes = F.lit(False)
+    if most_callee is not None:
+        heaviest = callee_edges(stacks, profile, frames, weight).groupBy(profile, F.col("caller").alias("function")).agg(F.max("weight").alias("_callee"))
+        out = out.join(heaviest, [profile, "function"], "left")
+        passes = F.coalesce(F.col("_callee") > most_callee * F.col("inclusive"), F.lit(False))
+    hit = (F.col("self") > min_self * F.col("total")) | ((F.col("inclusive") > min_inclusive * F.col("total")) & (F.col("root") == 0) & (F.col("inclusive") <= 0.9 * F.col("total")) & ~passes)
+    return out.withColumn("status", status(F.col("total") >= min_samples, hit)).drop("_callee")
 
 
 def callee_edges(stacks: DataFrame, profile: str, frames: str, weight: str) -> DataFrame:

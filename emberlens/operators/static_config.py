@@ -324,7 +324,78 @@ def old_instances(table: DataFrame) -> DataFrame:
     return _hits(own.where(F.col("family").isin(*OLD_FAMILIES)), "INF-07", F.col("file"), F.col("path"), "high")
 
 
-RULES = (fixed_replicas, unbounded_containers, unmanaged_storage, unreferenced, similar_sizes, old_instances, uncached_installs, uncached_images, cleans_after_restore, no_cancellation, duplicate_axes, large_runners, static_keys, long_retention, debug_levels, full_sampling, scrape_cost, unbatched_exports)
+TEST_RUNS = "(^|[ &;|])(pytest|npm (run )?test|yarn test|pnpm test|mvn (test|verify)|gradle test|go test|cargo test|tox)( |$)"
+SELECTED = "--(changed|only-changed|onlyChanged|lf|last-failed|testmon|affected|since)|nx affected| -k "
+
+
+def whole_tests(table: DataFrame) -> DataFrame:
+    """CI-10: jobs that run all tests on every pull request, whatever paths it changes."""
+    own = table.where(F.col("file").rlike(WORKFLOW))
+    pulls = own.where("(parent = '/on' AND (key = 'pull_request' OR value = 'pull_request')) OR (path = '/on' AND value = 'pull_request')").select("file").distinct()
+    chosen = own.where(F.col("path").rlike("^/on/pull_request/paths(-ignore)?$")).select("file").distinct()
+    runs = steps(table).where(F.col("run").rlike(TEST_RUNS) & ~F.col("run").rlike(SELECTED)).select("file", "job").distinct()
+    left = runs.join(pulls, "file", "left_semi").join(chosen, "file", "left_anti")
+    return _hits(left, "CI-10", F.col("file"), F.concat(F.lit("job:"), F.col("job")))
+
+
+def _containers(table: DataFrame) -> DataFrame:
+    """file, doc and container of Kubernetes containers."""
+    return table.where(F.col("path").rlike("/containers/[0-9]+$") & (F.col("kind") == "map")).select("file", "doc", F.col("path").alias("container"))
+
+
+def _of_container(table: DataFrame, rest: str) -> DataFrame:
+    """Scalars below containers, with the container."""
+    at = F.regexp_extract("path", f"^(.*/containers/[0-9]+)/{rest}$", 1)
+    return table.where("kind = 'scalar'").select("file", "doc", at.alias("container"), "key", "value").where("container <> ''")
+
+
+def default_instrumentation(table: DataFrame) -> DataFrame:
+    """OBS-12: containers under zero-code instrumentation that select no instrumentations."""
+    words = _of_container(table, "(command|args)/[0-9]+").unionByName(_of_container(table, "env/[0-9]+/value"))
+    auto = words.where(F.col("value").rlike("opentelemetry-instrument|-javaagent:.*opentelemetry|auto-instrumentations-node/register")).select("file", "doc", "container").distinct()
+    chosen = _of_container(table, "env/[0-9]+/name").where(F.col("value").rlike("^OTEL_.*(DISABLED_INSTRUMENTATIONS|ENABLED_INSTRUMENTATIONS|INSTRUMENTATION_.*_ENABLED)$")).select("file", "doc", "container")
+    return _hits(auto.join(chosen, ["file", "doc", "container"], "left_anti"), "OBS-12", F.col("file"), F.col("container"))
+
+
+def traced_probes(table: DataFrame) -> DataFrame:
+    """OBS-13: health probes of instrumented containers whose path no filter in any file names; the identity has the probes a day of the workload."""
+    probe = table.where(F.col("path").rlike("/containers/[0-9]+/(livenessProbe|readinessProbe|startupProbe)/httpGet/path$"))
+    probe = probe.select("file", "doc", F.regexp_extract("path", "^(.*/containers/[0-9]+)/", 1).alias("container"), F.regexp_extract("path", "/([a-z]+Probe)/", 1).alias("probe"), F.col("value").alias("target"))
+    instrumented = _of_container(table, "env/[0-9]+/name").where(F.col("value").rlike("^OTEL_EXPORTER_OTLP")).select("file", "doc", "container").distinct()
+    own = probe.join(instrumented, ["file", "doc", "container"])
+    filters = table.where(F.col("path").rlike("^/processors/(filter|tail_sampling)(/|$)") & (F.col("kind") == "scalar") & F.col("value").isNotNull()).select(F.col("value").alias("filter"))
+    every = filters.unionByName(table.where("key = 'value' AND value IS NOT NULL").where(F.col("path").rlike("/env/[0-9]+/value$")).select(F.col("value").alias("filter")))
+    # paths that differ are few, and meet the filters once each
+    named = own.select("target").distinct().join(every, F.col("filter").contains(F.col("target"))).select("target").distinct()
+    left = own.join(named, "target", "left_anti")
+    period = table.where(F.col("path").rlike("Probe/periodSeconds$")).select("file", "doc", F.regexp_extract("path", "^(.*/containers/[0-9]+)/", 1).alias("container"), F.regexp_extract("path", "/([a-z]+Probe)/", 1).alias("probe"), F.col("value").cast("int").alias("period"))
+    replicas = table.where("path = '/spec/replicas'").select("file", "doc", F.col("value").cast("int").alias("replicas"))
+    volume = F.coalesce("replicas", F.lit(1)) * F.floor(F.lit(86400) / F.coalesce("period", F.lit(10)))
+    full = left.join(period, ["file", "doc", "container", "probe"], "left").join(replicas, ["file", "doc"], "left")
+    return _hits(full, "OBS-13", F.col("file"), F.concat_ws(":", "probe", "target", volume.cast("string")))
+
+
+# Hosts of paid telemetry services.
+PAID = "datadoghq[.]com|honeycomb[.]io|nr-data[.]net|signalfx[.]com|grafana[.]net"
+
+
+def paid_telemetry(table: DataFrame) -> DataFrame:
+    """OBS-14: non-production telemetry that goes to a paid service and that nothing in the file reduces."""
+    own = table.where(F.col("file").rlike(NON_PRODUCTION) & (F.col("kind") == "scalar") & F.col("value").rlike(PAID))
+    reduced = table.where(F.col("path").rlike("^/processors/(filter|probabilistic_sampler|tail_sampling)(/|$)")).select("file").distinct()
+    return _hits(own.join(reduced, "file", "left_anti"), "OBS-14", F.col("file"), F.col("path"))
+
+
+def server_flags(table: DataFrame) -> DataFrame:
+    """LLM-19: model servers started with flags that waste their accelerator."""
+    words = table.where((F.col("kind") == "scalar") & F.col("path").rlike("/(args|command)(/[0-9]+)?$")).select("file", "doc", "parent", "value")
+    serving = words.where(F.col("value").rlike("vllm|text-generation-launcher|api_server")).select("file", "doc").distinct()
+    flag = F.regexp_extract("value", "(--enforce-eager|--no-enable-prefix-caching|--max-num-seqs[ =]1\\b|--max-batch-total-tokens[ =][0-9]{1,3}\\b)", 1)
+    left = words.join(serving, ["file", "doc"], "left_semi").select("file", flag.alias("flag")).where("flag <> ''").distinct()
+    return _hits(left, "LLM-19", F.col("file"), F.col("flag"))
+
+
+RULES = (fixed_replicas, unbounded_containers, unmanaged_storage, unreferenced, similar_sizes, old_instances, uncached_installs, uncached_images, cleans_after_restore, no_cancellation, duplicate_axes, large_runners, static_keys, long_retention, debug_levels, full_sampling, scrape_cost, unbatched_exports, whole_tests, default_instrumentation, traced_probes, paid_telemetry, server_flags)
 
 
 def hits(table: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.contract import status
+from ..functions.lineage import checkpointed
 
 
 def islands(rows: DataFrame, by: list[str], order: list[str], same: Column) -> DataFrame:
@@ -81,11 +82,14 @@ def complete_traces(spans: DataFrame, trace: str = "trace_id", span: str = "span
 def nearest_ancestor(spans: DataFrame, wanted: Column, trace: str = "trace_id", span: str = "span_id", parent: str = "parent_id") -> DataFrame:
     """``owner`` of each span: the nearest enclosing span that is ``wanted``, itself included, by pointer doubling.
 
-    Each round doubles the distance that a pointer reaches, so a tree of depth d takes log2(d) joins."""
+    Each round doubles the distance that a pointer reaches, so log2 of the largest trace's spans rounds reach every root. A
+    pointer that is still on its way then runs in a cycle of parents: its span has no owner and ``cycle`` is true."""
+    most = spans.groupBy(trace).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 0
     state = spans.select(F.col(trace).alias("t"), F.col(span).alias("s"), F.when(wanted, F.col(span)).alias("owner"), F.when(~wanted, F.col(parent)).alias("up"))
-    while True:
+    for _ in range(max(1, most.bit_length() + 1)):
         above = state.select(F.col("t").alias("_t"), F.col("s").alias("_s"), F.col("owner").alias("_owner"), F.col("up").alias("_up"))
         state = state.join(above, (F.col("t") == F.col("_t")) & (F.col("up") == F.col("_s")), "left").select("t", "s", F.coalesce("owner", "_owner").alias("owner"), F.when(F.coalesce("owner", "_owner").isNull(), F.col("_up")).alias("up"))
-        state = state.checkpoint() if state.sparkSession.sparkContext.getCheckpointDir() else state.cache()
+        state = checkpointed(state)
         if state.where("up IS NOT NULL").isEmpty():
-            return spans.join(state.select(F.col("t").alias(trace), F.col("s").alias(span), "owner"), [trace, span], "left")
+            break
+    return spans.join(state.select(F.col("t").alias(trace), F.col("s").alias(span), "owner", F.col("up").isNotNull().alias("cycle")), [trace, span], "left")

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from ..operators import query_plans, static_python, traces
+from ..operators import query_plans, traces
 from .registry import query
 
 PLANS = [
@@ -37,53 +37,6 @@ def db46_inner_scans(t):
     return query_plans.inner_scans(_nodes(t), "plan", 100, 1000)
 
 
-SOURCE = '''import re
-import time
-import json
-
-
-def load(items, cache={}):
-    out = ""
-    for i in range(len(items)):
-        pattern = re.compile("a+")
-        out += "x"
-        items.pop(0)
-    return out
-    print(out)
-
-
-async def wait():
-    time.sleep(1)
-
-
-def read(path):
-    log.info(f"reading {path}")
-    return open(path).read()
-'''
-TEST = '''def test_two():
-    assert load([1])
-    assert load([2])
-
-
-def test_none():
-    load([])
-'''
-
-
-@query()
-def static_python_hits(t):
-    """Python rules on built-in sources."""
-    files = t.spark.createDataFrame([("app/load.py", SOURCE), ("tests/test_load.py", TEST), ("app/broken.py", "def (")], "path string, text string")
-    return static_python.hits(static_python.facts(files))
-
-
-@query()
-def static_python_coverage(t):
-    """Coverage of the same sources: a file that does not parse is omitted, not clean."""
-    files = t.spark.createDataFrame([("app/load.py", SOURCE), ("tests/test_load.py", TEST), ("app/broken.py", "def (")], "path string, text string")
-    return static_python.coverage(static_python.facts(files))
-
-
 @query("""WITH RECURSIVE s AS (SELECT o_custkey AS t, o_orderkey AS s, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS p, o_orderpriority = '1-URGENT' AS w FROM orders),
  r AS (SELECT t, s, p, CASE WHEN w THEN s END AS owner FROM s WHERE p IS NULL UNION ALL SELECT s.t, s.s, s.p, CASE WHEN s.w THEN s.s ELSE r.owner END FROM s JOIN r ON s.t = r.t AND s.p = r.s)
 SELECT t AS trace_id, s AS span_id, p AS parent_id, owner FROM r""")

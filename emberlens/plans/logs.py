@@ -6,7 +6,8 @@ from ..functions import text
 from ..operators import logs as op
 from .registry import query
 
-SQL_TEMPLATE = "trim(" + "regexp_replace(" * len(text.TEMPLATE_STEPS) + "substring(MESSAGE, 1, 400)" + "".join(f", '{p}', '{n}', 'g')" for p, n in text.TEMPLATE_STEPS) + ")"
+STEPS = (("[[:xdigit:]]{8}(-[[:xdigit:]]{4}){3}-[[:xdigit:]]{12}", "<uuid>"), ("\\d{4}-\\d\\d-\\d\\d[T ]\\d\\d:\\d\\d:\\d\\d([.,]\\d+)?(Z|[+-]\\d\\d:?\\d\\d)?", "<ts>"), ("[[:xdigit:]]{8,}", "<hex>"), ("\\d+", "<n>"), ("[[:space:]]+", " "))
+SQL_TEMPLATE = "trim(" + "regexp_replace(" * 5 + "substring(MESSAGE, 1, 400)" + "".join(f", '{p}', '{n}', 'g')" for p, n in STEPS) + ")"
 SQL_HOLDERS = """p AS (SELECT event_type AS cache, json_extract_string(props, '$.k') AS k, count(*) AS lookups, count(*) FILTER (value < 5) AS hits, count(DISTINCT CASE WHEN NOT value < 5 THEN user_id END) AS missing FROM events GROUP BY ALL),
  h AS (SELECT cache, least(missing, 20) AS missed_by, count(*) AS keys, sum(lookups) AS lookups, sum(hits) AS hits, sum(missing) AS missing_holders FROM p GROUP BY ALL)"""
 
@@ -64,11 +65,30 @@ def obs17_oversized(t):
     return op.oversized(op.size_histogram(t.documents, ["source"], F.col("n_chars")), ["source"], 8192, 0.25, 20)
 
 
-@query(f"""SELECT source, count(*) AS documents, count(*) FILTER (r <> text) AS changed, sum((length(r) - length(replace(r, '<email>', ''))) // 7) AS emails, sum((length(r) - length(replace(r, '<ip>', ''))) // 4) AS addresses,
- sum((length(r) - length(replace(r, '<secret>', ''))) // 8) AS secrets FROM (SELECT source, text, regexp_replace(regexp_replace(regexp_replace(text, '{text.SECRET}', '<secret>', 'g'), '{text.EMAIL}', '<email>', 'g'), '{text.IPV4}', '<ip>', 'g') AS r FROM documents) GROUP BY source""")
-def redaction_counts(t):
-    """What redaction masks in each source."""
-    r = text.redacted(F.col("text"))
-    times = lambda mark: F.sum(F.expr(f"(length(r) - length(replace(r, '{mark}', ''))) DIV {len(mark)}"))
-    rows = t.documents.select("source", "text", r.alias("r"))
-    return rows.groupBy("source").agg(F.count("*").alias("documents"), F.count_if(F.col("r") != F.col("text")).alias("changed"), times("<email>").alias("emails"), times("<ip>").alias("addresses"), times("<secret>").alias("secrets"))
+MESSAGES = (
+    ("basic", "Authorization: Bearer abc.def", "Authorization: <redacted> <redacted>"), ("key", "API_KEY=abcdef&x=1", "API_KEY=<redacted>&x=1"), ("mail", "to a.b@c.example.org now", "to <email> now"),
+    ("ip", "from 10.1.2.3 and <n>.<n>.<n>.<n>, not 1.2.3.4.5", "from <ip> and <ip>, not 1.2.3.4.5"), ("ip6", "at fe80:0:0:1 or ::1 end", "at <ip> or <ip> end"),
+    ("token", "id a1b2c3d4e5f6a7b8c9d0e1f2g3 short a1b2", "id <token> short a1b2"), ("case", "x AbcdefghijklmnopqrstuvwxyzABCDEF y", "x <token> y"), ("word", "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz"), ("json", '{"password": "hunter2"}', '{"password": "<redacted>"}'),
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{out}')" for k, _, out in MESSAGES) + ") v(message, redacted)")
+def redaction_cases(t):
+    """What redaction makes of messages."""
+    rows = t.spark.createDataFrame([m[:2] for m in MESSAGES], "message string, text string")
+    return rows.select("message", text.redacted(F.col("text")).alias("redacted"))
+
+
+@query("SELECT * FROM (VALUES ('id', 'request <hex> took <n> ms'), ('time', '<ts> start'), ('uuid', 'job <uuid> done')) v(message, template)")
+def template_cases(t):
+    """What a template keeps of messages."""
+    rows = [("id", "request 7f3a9c2d81be  took 15 ms"), ("time", "2024-01-02T03:04:05.678Z start"), ("uuid", "job 123e4567-e89b-12d3-a456-426614174000 done ")]
+    return t.spark.createDataFrame(rows, "message string, text string").select("message", text.template(F.col("text")).alias("template"))
+
+
+@query("SELECT * FROM (VALUES ('g', 'retry', 120, 60, 'detected'), ('g', 'handled', 100, 100, 'clean'), ('g', 'START RequestId: <uuid>', 100, 100, 'clean')) v(log_group, template, occurrences, slots, status)")
+def obs11_exemptions(t):
+    """OBS-11: a line of the platform, or one of each request, is no repeated line."""
+    counts = t.spark.createDataFrame([("g", "retry", 120, 60), ("g", "handled", 100, 100), ("g", "START RequestId: <uuid>", 100, 100)], "log_group string, template string, occurrences long, slots long")
+    calls = t.spark.createDataFrame([("g", 50, 50)], "log_group string, invocations long, invocation_slots long")
+    return op.repeated_lines(counts, "log_group", invocations=calls).drop("events")

@@ -29,17 +29,22 @@ def runs(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 # vCPUs of hosted runner labels.
-HOSTED_VCPUS = {"ubuntu-slim": 1, "ubuntu-latest": 4, "ubuntu-24.04": 4, "ubuntu-22.04": 4, "ubuntu-24.04-arm": 4, "windows-latest": 4, "windows-2022": 4, "macos-latest": 3, "macos-13": 4}
+HOSTED_VCPUS = {
+    "ubuntu-slim": 1,
+    **dict.fromkeys(("ubuntu-latest", "ubuntu-24.04", "ubuntu-22.04", "ubuntu-26.04", "windows-latest", "windows-2025", "windows-2025-vs2026", "windows-2022"), 4),
+    **dict.fromkeys(("ubuntu-24.04-arm", "ubuntu-22.04-arm", "ubuntu-26.04-arm", "windows-11-arm", "windows-11-vs2026-arm"), 4),
+}
+MACOS_VCPUS = {"macos-15-intel": 4, "macos-26-intel": 4, **dict.fromkeys(("macos-latest", "macos-14", "macos-15", "macos-26", "xcode-27"), 3)}
 
 
 def jobs(raw: DataFrame) -> DataFrame:
     """Jobs with their kind of runner, vCPUs, seconds (floored, at least 0) and whether they count: jobs carried over from an earlier attempt start before they were created."""
     out = timestamps(raw, "created_at", "started_at", "completed_at")
-    vcpus = F.create_map(*(F.lit(x) for kv in HOSTED_VCPUS.items() for x in kv))
+    vcpus = F.create_map(*(F.lit(x) for kv in (HOSTED_VCPUS | MACOS_VCPUS).items() for x in kv))
     known = F.filter(F.coalesce("labels", F.array().cast("array<string>")), lambda x: F.map_contains_key(vcpus, x))
     own = F.array_contains("labels", "self-hosted")
     hosted = (F.col("runner_group_name") == "GitHub Actions") & (F.size(known) == 1)
-    kind = F.when(own, "self-hosted").when(hosted & F.element_at(known, 1).startswith("macos"), "macos").when(hosted, "hosted").otherwise("unknown")
+    kind = F.when(own, "self-hosted").when(hosted & F.try_element_at(known, F.lit(1)).isin(*MACOS_VCPUS), "macos").when(hosted, "hosted").otherwise("unknown")
     seconds = F.greatest(F.lit(0), F.floor(F.unix_timestamp("completed_at") - F.unix_timestamp("started_at")))
     counted = F.col("started_at").isNotNull() & F.col("completed_at").isNotNull() & ~F.coalesce(F.col("started_at") < F.col("created_at"), F.lit(False))
     return out.withColumns({"runner": kind, "vcpus": F.when(kind.isin("hosted", "macos"), F.try_element_at(vcpus, F.try_element_at(known, F.lit(1)))), "seconds": F.when(counted, seconds), "counted": counted})

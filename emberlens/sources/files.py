@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Folders and files that a scan leaves out.
-EXCLUDED_FOLDERS = (".git", ".hg", ".svn", "node_modules", "vendor", "dist", "build", "target", "venv", ".venv", "__pycache__", "coverage")
-LOCK_FILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "Pipfile.lock", "Cargo.lock", "composer.lock", "Gemfile.lock", "go.sum", "uv.lock")
+# Folders, files and endings that a scan leaves out.
+EXCLUDED_FOLDERS = (
+    ".git", ".hg", ".svn", "node_modules", "bower_components", "vendor", "third_party", "venv", ".venv", "env", "site-packages", "__pycache__", ".tox", ".nox", ".mypy_cache",
+    ".pytest_cache", ".ruff_cache", "dist", "build", ".next", ".nuxt", "coverage", "target",
+)
+LOCK_FILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "Pipfile.lock", "composer.lock", "Cargo.lock", "uv.lock")
+MINIFIED = (".min.js", ".min.css", ".map")
 
 
 @dataclass(frozen=True)
@@ -29,20 +35,20 @@ def skip_reason(path: Column, n_bytes: Column, content: Column, limits: Limits =
     parts = F.split(path, "/")
     name = F.element_at(parts, -1)
     folder = F.arrays_overlap(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*map(F.lit, EXCLUDED_FOLDERS)))
-    binary = F.instr(F.hex(F.substring(content, 1, 8192)).cast("string"), "00") > 0
-    text_nul = F.expr("array_contains(transform(sequence(1, greatest(1, least(8192, length(content)))), i -> substring(content, i, 1) = X'00'), true)")
+    # a byte of value zero stands at an odd place of the digits
+    binary = F.hex(F.substring(content, 1, 8192)).rlike("^(..)*?00")
     return (
-        F.when(folder, "excluded folder").when(name.isin(*LOCK_FILES), "lock file").when(name.rlike("[.]min[.][a-z]+$"), "minified")
-        .when(n_bytes > limits.file_bytes, "too large").when(binary & text_nul, "binary").when(~F.is_valid_utf8(content.cast("string")), "not UTF-8")
+        F.when(folder, "excluded folder").when(name.isin(*LOCK_FILES), "lock file").when(functools.reduce(operator.or_, (name.endswith(x) for x in MINIFIED)), "minified")
+        .when(n_bytes > limits.file_bytes, "too large").when(binary, "binary").when(~F.is_valid_utf8(content.cast("string")), "not UTF-8")
     )
 
 
 def scan(files: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
     """The files to read (path, n_bytes, text) in path order within the bounds, and counts of skips by reason."""
     judged = files.withColumn("reason", skip_reason(F.col("path"), F.col("n_bytes"), F.col("content"), limits))
-    order = Window.orderBy("path")
-    bounded = judged.where("reason IS NULL").select("path", "n_bytes").withColumn("n", F.row_number().over(order)).withColumn("running", F.sum("n_bytes").over(order))
-    within = bounded.where((F.col("n") <= limits.files) & (F.col("running") <= limits.total_bytes)).select("path")
+    # only as many paths as the bound allows meet in one task, and a running sum goes over no more
+    first = judged.where("reason IS NULL").select("path", "n_bytes").orderBy("path").limit(limits.files)
+    within = first.withColumn("running", F.sum("n_bytes").over(Window.orderBy("path"))).where(F.col("running") <= limits.total_bytes).select("path")
     kept = judged.where("reason IS NULL").join(within, "path", "left_semi").select("path", "n_bytes", F.col("content").cast("string").alias("text"))
     beyond = judged.where("reason IS NULL").join(within, "path", "left_anti").select(F.lit("beyond the scan's bounds").alias("reason"))
     skipped = judged.where("reason IS NOT NULL").select("reason").unionByName(beyond).groupBy("reason").agg(F.count("*").alias("n"))

@@ -100,9 +100,11 @@ def test_accept_encoding(spark):
 
 def test_static_python(spark):
     from emberlens.operators import static_python as op
-    from emberlens.plans.evidence import SOURCE, TEST
 
-    table = op.facts(spark.createDataFrame([("app/load.py", SOURCE), ("tests/test_load.py", TEST), ("app/broken.py", "def ("), ("app/empty.py", None)], "path string, text string"))
+    source = "import re\nimport time\nimport json\n\n\ndef load(items, cache={}):\n    out = ''\n    for i in range(len(items)):\n        pattern = re.compile('a+')\n        out += 'x'\n        items.pop(0)\n    return out\n    print(out)\n\n\nasync def wait():\n    time.sleep(1)\n\n\ndef read(path):\n    log.info(f'reading {path}')\n    return open(path).read()\n"
+    test = "def test_two():\n    assert load([1])\n    assert load([2])\n\n\ndef test_none():\n    load([])\n"
+
+    table = op.facts(spark.createDataFrame([("app/load.py", source), ("tests/test_load.py", test), ("app/broken.py", "def ("), ("app/empty.py", None)], "path string, text string"))
     found = {(r.check_id, r.file.split("/")[-1]) for r in op.hits(table).collect()}
     expected = {"CODE-C1.1", "CODE-C3.1", "CODE-C3.3", "CODE-C3.7", "CODE-C6.6", "CODE-C6.7", "CODE-C10.4", "CODE-C11.4", "OBS-02"}
     assert expected <= {c for c, f in found if f == "load.py"} and {("TST-01", "test_load.py"), ("TST-06", "test_load.py")} <= found
