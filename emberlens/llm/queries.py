@@ -27,7 +27,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(read(spark, sf_dir, "documents"), n=5, percent=75)
+    return jaccard.join(read(spark, sf_dir, "documents"), n=5, percent=75).drop("class")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +69,18 @@ def op10_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_log_bilinear_lm, op2_best_fit_packing, op3_jaccard_join, op4_line_dedup, op5_norm_sorted_topk, op6_secret_scans, op7_toxicity_chain, op8_sentencepiece, op9_stratified_sharding, op10_compression_bands)
 }
-ORACLES: dict[str, str] = {}
+# what SQL can express in full; at small sizes only, as SQL compares every pair that shares a shingle
+ORACLES: dict[str, str] = {
+    "op3_jaccard_join": r"""WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ g AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM w),
+ n AS (SELECT r, doc_id, len(s) AS n FROM g), e AS (SELECT r, unnest(s) AS x FROM g),
+ p AS (SELECT a.r AS a, b.r AS b, count(*) AS inter FROM e a JOIN e b ON a.x = b.x AND a.r <> b.r GROUP BY ALL),
+ l AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * inter >= 75 * (x.n + y.n - inter)),
+ c AS (SELECT r AS a, r AS b FROM n UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a),
+ k AS (SELECT c.a, min(n.doc_id) AS component_id FROM c JOIN n ON n.r = c.b GROUP BY c.a), d AS (SELECT a, count(*) AS links FROM l GROUP BY a)
+SELECT n.doc_id, n.n AS n_shingles, k.component_id, coalesce(d.links, 0) AS n_links FROM n JOIN k ON k.a = n.r LEFT JOIN d ON d.a = n.r""",
+    "op5_norm_sorted_topk": """WITH v AS (SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+}

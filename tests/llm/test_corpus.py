@@ -402,6 +402,52 @@ def test_pipeline_stages(spark, tmp_path):
     assert "abcdef123" not in texts[2] and texts[3] is None and texts[4] == prose(3, 90)
 
 
+def test_pipeline_runs_on_odd_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    extra = "_uid long, _gone string, _split string, _text string, p_toxic double, p_low_quality double, n_lines long, n_deleted long, kept long, rank long, h string, class long"
+    columns = f"doc_id long, text string, lang string, source string, n_chars long, {extra}"
+    values = (7, "g", "s", "t", 0.5, 0.25, 3, 4, 5, 6, "h", 8)
+    body = "\n".join(f"line {k} of a long text" for k in range(20_000))
+    rows = [(None, "no id here", "en", None, 0), *((i, t, None, "s", 0) for i, t in ODD), (11, ODD[11][1], "en", "s", 0), (20, body, "en", "s", 0), (21, prose(21, 70), "en", "s", 0), (21, prose(22, 70), "en", "s", 0)]
+    for name, held in (("odd", rows), ("empty", [])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame([(*r, *values) for r in held], columns).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(5, None, 1), (7, 1, 0)][: len(held)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, folder).write.parquet(f"{folder}/out{k}")
+            docs = spark.read.parquet(f"{folder}/out{k}")
+            if k < 4:
+                assert docs.columns == [c.split()[0] for c in columns.split(", ")]
+                assert all(tuple(r)[5:] == values for r in docs.collect())
+        assert corpus_pipeline.run(spark, folder).count() == docs.count()
+        ids = [r.doc_id for r in spark.read.parquet(f"{folder}/out3").collect()]
+        # one of each group of copies and near copies stays, and so does a document with neither text nor words
+        first = {i for i, (_, root) in components_by_force(ODD).items() if i == root}
+        assert Counter(ids) == (Counter([*first, None, 20, 21, 21]) if held else Counter())
+
+
+@pytest.mark.parametrize("name", ["op3_jaccard_join", "op5_norm_sorted_topk"])
+def test_query_equals_its_sql(spark, name):
+    import os
+
+    import duckdb
+
+    from emberlens.llm import queries
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no tables here")
+    db = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        db.sql(f"CREATE VIEW {table} AS SELECT * FROM '{data}/{table}.parquet'")
+    expected = db.sql(queries.ORACLES[name])
+    got = queries.QUERIES[name](spark, data)
+    assert sorted(got.columns) == sorted(expected.columns)
+    assert sorted(tuple(r[c] for c in expected.columns) for r in got.collect()) == sorted(expected.fetchall())
+
+
 def test_queries_are_registered():
     import __spark_entry__
 
