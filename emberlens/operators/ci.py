@@ -52,12 +52,19 @@ def unchanged_schedules(runs: DataFrame, workflow: str, order: list[str], sha: s
     return out.withColumn("status", F.when(F.col("unchanged") >= least, "detected").otherwise("clean"))
 
 
-def chains(jobs: DataFrame, run: str, job: str, start: str, end: str, most_gap: float, least_seconds: float) -> DataFrame:
-    """CI-18: job pairs of a run where one starts within ``most_gap`` after the other ends; the median length over runs."""
+def chains(jobs: DataFrame, run: str, job: str, start: str, end: str, most_gap: float, least_seconds: float, needs: DataFrame | None = None) -> DataFrame:
+    """CI-18: job pairs of a run where one starts within ``most_gap`` after the other ends; the median length over runs.
+
+    With ``needs`` (job_a, job_b), pairs are those edges. Otherwise a pair meets in the time cell, as wide as the gap, where
+    its second job starts: the first job stands in the cell of its end and the next one, so a run's jobs are not all paired."""
     a = jobs.select(run, F.col(job).alias("job_a"), F.col(start).alias("a_start"), F.col(end).alias("a_end"))
     b = jobs.select(run, F.col(job).alias("job_b"), F.col(start).alias("b_start"), F.col(end).alias("b_end"))
-    gap = F.col("b_start") - F.col("a_end")
-    both = a.join(b, run).where((F.col("job_a") != F.col("job_b")) & gap.between(0, most_gap))
+    if needs is not None:
+        both = a.join(needs.select("job_a", "job_b").distinct(), "job_a").join(b, [run, "job_b"])
+    else:
+        cell = lambda c: F.floor(F.col(c) / most_gap)
+        both = a.withColumn("cell", F.explode(F.array(cell("a_end"), cell("a_end") + 1))).join(b.withColumn("cell", cell("b_start")), [run, "cell"])
+    both = both.where((F.col("job_a") != F.col("job_b")) & (F.col("b_start") - F.col("a_end")).between(0, most_gap))
     out = both.groupBy("job_a", "job_b").agg(F.count("*").alias("runs"), F.round(F.percentile(F.col("b_end") - F.col("a_start"), 0.5), 4).alias("median_seconds"))
     return out.withColumn("status", F.when(F.col("median_seconds") >= least_seconds, "detected").otherwise("clean"))
 

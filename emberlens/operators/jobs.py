@@ -24,15 +24,20 @@ def idle_grid(samples: DataFrame, pool: str, ts: str, busy_above: int) -> DataFr
     return rows.groupBy(pool).agg(F.count("*").alias("hours"), F.count_if(F.col("n") <= busy_above).alias("idle_hours"), F.max("n").alias("peak"))
 
 
-def collisions(runs: DataFrame, pool: list[str], key: list[str], start: str, end: str) -> DataFrame:
-    """JOB-04: pairs of runs of one pool that overlap, each once. Overlaps are found within day cells of the pool, so the
-    join has equal keys however long a pool's history is; the pair counts in the cell where the later one starts."""
-    cells = F.explode(F.sequence(F.to_date(start), F.to_date(end)))
-    left = runs.select(*pool, *(F.col(k).alias(f"a_{k}") for k in key), F.col(start).alias("a_start"), F.col(end).alias("a_end"), cells.alias("cell"))
-    right = runs.select(*pool, *(F.col(k).alias(f"b_{k}") for k in key), F.col(start).alias("b_start"), F.col(end).alias("b_end"), F.explode(F.sequence(F.to_date(start), F.to_date(end))).alias("cell"))
-    a, b = F.struct(*(f"a_{k}" for k in key)), F.struct(*(f"b_{k}" for k in key))
-    both = left.join(right, [*pool, "cell"]).where((a < b) & (F.greatest("a_start", "b_start") < F.least("a_end", "b_end")) & (F.col("cell") == F.to_date(F.greatest("a_start", "b_start"))))
-    return both.select(*pool, *(f"a_{k}" for k in key), *(f"b_{k}" for k in key))
+def collisions(runs: DataFrame, pool: list[str], key: list[str], start: str, end: str, cell: str = "DAY") -> DataFrame:
+    """JOB-04: pairs of runs of one pool that overlap, each once.
+
+    The run that starts later, by key where both start together, stands in the one cell of its start, the other in every
+    cell that it lasts: the join has equal keys however long a pool's history is, and each pair meets once. Cells as short
+    as the runs keep a busy pool's candidates near its overlaps."""
+    at = lambda c: F.date_trunc(cell, F.col(c).cast("timestamp"))
+    held = F.explode(F.sequence(at(start), at(end), F.expr(f"INTERVAL 1 {cell}"))).alias("cell")
+    first = runs.select(*pool, F.struct(*key).alias("x"), F.col(start).alias("x_start"), F.col(end).alias("x_end"), held)
+    later = runs.select(*pool, F.struct(*key).alias("y"), F.col(start).alias("y_start"), F.col(end).alias("y_end"), at(start).alias("cell"))
+    after = (F.col("x_start") < F.col("y_start")) | ((F.col("x_start") == F.col("y_start")) & (F.col("x") < F.col("y")))
+    both = first.join(later, [*pool, "cell"]).where(after & (F.col("y_start") < F.least("x_end", "y_end")))
+    a, b = F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
+    return both.select(*pool, a, b).select(*pool, *(F.col(f"a.{k}").alias(f"a_{k}") for k in key), *(F.col(f"b.{k}").alias(f"b_{k}") for k in key))
 
 
 def repeated_runs(runs: DataFrame, job: str, order: list[str], version: str, least: int) -> DataFrame:

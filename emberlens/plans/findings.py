@@ -240,3 +240,10 @@ def span_cycles(t):
     """Spans whose parents run in a circle have no owner."""
     spans = t.spark.createDataFrame([("t", "1", None, True), ("t", "2", "1", False), ("u", "1", "2", False), ("u", "2", "1", False), ("u", "3", "2", False)], "trace_id string, span_id string, parent_id string, wanted boolean")
     return traces.nearest_ancestor(spans, F.col("wanted")).select("trace_id", "span_id", "owner", "cycle")
+
+
+@query(values([("build", "test", 2, 25.0, "detected")], ["job_a", "job_b", "runs", "median_seconds", "status"]))
+def ci18_needs(t):
+    """CI-18 along the edges that a workflow states."""
+    jobs = t.spark.createDataFrame([(1, "build", 0, 10), (1, "test", 12, 25), (1, "lint", 11, 12), (2, "build", 0, 10), (2, "test", 10, 25), (3, "build", 0, 10), (3, "test", 90, 95)], "run int, job string, a int, b int")
+    return ci.chains(jobs, "run", "job", "a", "b", 60, 20, needs=t.spark.createDataFrame([("build", "test")], "job_a string, job_b string"))
