@@ -44,7 +44,7 @@ FLUSH = 1 << 20
 #: A leaf's bounds: members, and shingles of all of them.
 LEAF_ROWS, LEAF_SHINGLES = 1024, 1 << 20
 #: Pivots of a region, about.
-PIVOTS = 12
+PIVOTS = 24
 #: Guest marks of the two sides of a tile.
 SIDES = (1 << 60, 1 << 61)
 
@@ -368,7 +368,12 @@ def _homes(members, pivots, level: int, radius: float):
 
     if not len(members) or not len(pivots):  # without a pivot the region stays whole, and is joined in tiles
         return members[["x", "r", "guest"]].astype(np.int64) if len(members) else pd.DataFrame({c: np.empty(0, np.int64) for c in ("x", "r", "guest")})
-    pivots = pivots.sort_values("pivot_x")
+    # of pivots within the window of each other one stays, as they would share all they have; every block keeps the same
+    pivots, apart = pivots.sort_values("pivot_x"), []
+    for k, s in enumerate(pivots.pivot_s):
+        if all(1 - (both := len(np.intersect1d(s, t, assume_unique=True))) / (len(s) + len(t) - both) > 2 * radius for t in (pivots.pivot_s.iloc[j] for j in apart)):
+            apart.append(k)
+    pivots = pivots.iloc[apart]
     every, owner = _postings(list(members.s))
     n = np.array([len(s) for s in members.s])
     far = np.empty((len(members), len(pivots)))
@@ -410,7 +415,7 @@ def leaves(work: DataFrame, sets: DataFrame, percent: int, rows: int, shingles:
         # where guests outweigh members, or one region keeps most of them, pivots separate nothing
         cells = placed.groupBy("above", "r").agg(F.count("*").alias("n"))
         gain = cells.groupBy("above").agg(F.sum("n").alias("all"), F.max("n").alias("most")).join(sized.withColumnRenamed("r", "above"), "above")
-        dense = materialize(gain.where((F.col("all") > 2 * F.col("held")) | (F.col("most") > 0.7 * F.col("held"))).select("above"), "jaccard-dense")
+        dense = materialize(gain.where((F.col("all") > 2 * F.col("held")) | (F.col("most") > 0.8 * F.col("held"))).select("above"), "jaccard-dense")
         tiled = rest.join(dense.withColumnRenamed("above", "r"), "r", "left_semi")
         own = F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int")
         tiled = tiled.select("x", "r", "guest", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))

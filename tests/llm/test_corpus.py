@@ -162,6 +162,34 @@ def test_voronoi_regions_separate_what_merely_shares_a_passage(spark):
     assert {r.doc_id: r.n_links for r in rows} == links_by_force(docs)
 
 
+def test_pivots_cut_a_family_into_regions_again_and_again(spark, monkeypatch):
+    # groups of near copies far from each other, held together by a few texts of two halves
+    rng, bases = random.Random(4), [rich(900 + k, 80).split() for k in range(6)]
+    docs = []
+    for base in bases:
+        for _ in range(40):
+            own = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                own[rng.randrange(80)] = rng.choice("abcdef")
+            docs.append(" ".join(own))
+    docs += [" ".join(bases[k][:40] + bases[k + 1][40:]) for k in range(5)]
+    docs = list(enumerate(docs))
+    seen, write = [], jaccard.materialize
+
+    def watched(df, name):
+        out = write(df, name)
+        if name in ("jaccard-sizes", "jaccard-dense"):
+            seen.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", watched)
+    rows = joined(spark, docs, common=1, leaf_rows=70)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == components_by_force(docs)
+    assert {r.doc_id: r.n_links for r in rows} == links_by_force(docs)
+    # one family became several regions, and not by tiles
+    assert seen[0] == ("jaccard-sizes", 1) and seen[1] == ("jaccard-dense", 0) and seen[2][0] == "jaccard-sizes" and seen[2][1] > 2
+
+
 def test_leaf_links_equal_brute_force():
     rng = np.random.default_rng(8)
     lists = [np.unique(np.concatenate([rng.integers(0, 40, 30), rng.integers(100, 100 + 30 * (k % 3 + 1), 6)])) for k in range(150)]
