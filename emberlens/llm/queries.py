@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language_model, lines, packing, pieces, quality, secrets, sharding, topk, toxicity
+from . import jaccard, language_model, lines, packing, pieces, quality, secrets, sharding, simhash, topk, toxicity
 from .common import read
 
 
@@ -66,8 +66,12 @@ def op10_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"))
 
 
+def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.join(read(spark, sf_dir, "documents"), n=3, bits=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_log_bilinear_lm, op2_best_fit_packing, op3_jaccard_join, op4_line_dedup, op5_norm_sorted_topk, op6_secret_scans, op7_toxicity_chain, op8_sentencepiece, op9_stratified_sharding, op10_compression_bands)
+    f.__name__: f for f in (op1_log_bilinear_lm, op2_best_fit_packing, op3_jaccard_join, op4_line_dedup, op5_norm_sorted_topk, op6_secret_scans, op7_toxicity_chain, op8_sentencepiece, op9_stratified_sharding, op10_compression_bands, op11_simhash_dedup)
 }
 # what SQL can express in full; at small sizes only, as SQL compares every pair that shares a shingle
 ORACLES: dict[str, str] = {
