@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language_model, lines, packing, pieces, quality, secrets, sharding, simhash, topk, toxicity
+from . import conversations, jaccard, language_model, lines, packing, pieces, quality, secrets, sharding, simhash, topk, toxicity
 from .common import read
 
 
@@ -70,8 +70,12 @@ def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.join(read(spark, sf_dir, "documents"), n=3, bits=2)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_log_bilinear_lm, op2_best_fit_packing, op3_jaccard_join, op4_line_dedup, op5_norm_sorted_topk, op6_secret_scans, op7_toxicity_chain, op8_sentencepiece, op9_stratified_sharding, op10_compression_bands, op11_simhash_dedup)
+    f.__name__: f for f in (op1_log_bilinear_lm, op2_best_fit_packing, op3_jaccard_join, op4_line_dedup, op5_norm_sorted_topk, op6_secret_scans, op7_toxicity_chain, op8_sentencepiece, op9_stratified_sharding, op10_compression_bands, op11_simhash_dedup, op12_conversation_repair)
 }
 # what SQL can express in full; at small sizes only, as SQL compares every pair that shares a shingle
 ORACLES: dict[str, str] = {
@@ -87,4 +91,31 @@ SELECT n.doc_id, n.n AS n_shingles, k.component_id, coalesce(d.links, 0) AS n_li
  s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    # CRC-32 by bits; a state of the lattice is its least 'cost, padded' || audit
+    "op12_conversation_repair": r"""WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS r, coalesce(text, ' ') AS t, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+ c AS (SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(k, ''), lambda x: ord(x)::BIGINT)), lambda a, b: list_reduce(list_concat([xor(a, b)], CAST(range(8) AS BIGINT[])), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295::BIGINT) % 20 AS d FROM raw),
+ m AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE r END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(t, '[.!?]', '', 'g') ELSE t END AS text, unnest(CASE WHEN d = 3 THEN [1, 2] ELSE [1] END) AS copy FROM c WHERE d <> 0),
+ o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS s FROM m),
+ f AS (SELECT *, CASE WHEN s = '' THEN 3 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN right(s, 1) NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS fault, left(role, 1) AS q, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS p FROM o),
+ g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 3) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 1) AS truncated, count(*) FILTER (i > 1 AND p || q NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM f GROUP BY conv_id),
+ plus AS (SELECT *, CASE WHEN fault = 1 THEN 5 ELSE 0 END AS e FROM f),
+ dp AS (SELECT conv_id, 0::BIGINT AS i, '00000000' AS a, NULL::VARCHAR AS b, NULL::VARCHAR AS c, NULL::VARCHAR AS d FROM g
+  UNION ALL SELECT dp.conv_id, x.i,
+   lpad(CAST(a[1:8]::INT + 2 AS VARCHAR), 8, '0') || a[9:] || 'D',
+   least(lpad(CAST(b[1:8]::INT + 2 AS VARCHAR), 8, '0') || b[9:] || 'D', CASE WHEN fault < 2 AND q = 's' THEN lpad(CAST(a[1:8]::INT + e AS VARCHAR), 8, '0') || a[9:] || 'K' END),
+   least(lpad(CAST(c[1:8]::INT + 2 AS VARCHAR), 8, '0') || c[9:] || 'D', CASE WHEN fault < 2 THEN list_min(list_concat(
+     list_transform(list_filter([a, b, d], lambda z: z IS NOT NULL), lambda z: lpad(CAST(z[1:8]::INT + e + CASE WHEN q = 'u' THEN 0 ELSE 1 END AS VARCHAR), 8, '0') || z[9:] || CASE WHEN q = 'u' THEN 'K' ELSE 'R' END),
+     list_transform(list_filter([c], lambda z: z IS NOT NULL), lambda z: lpad(CAST(z[1:8]::INT + 5 + e + CASE WHEN q = 'u' THEN 0 ELSE 1 END AS VARCHAR), 8, '0') || z[9:] || CASE WHEN q = 'u' THEN 'IK' ELSE 'IR' END))) END),
+   least(lpad(CAST(d[1:8]::INT + 2 AS VARCHAR), 8, '0') || d[9:] || 'D', CASE WHEN fault < 2 THEN list_min(list_concat(
+     list_transform(list_filter([c], lambda z: z IS NOT NULL), lambda z: lpad(CAST(z[1:8]::INT + e + CASE WHEN q = 'a' THEN 0 ELSE 1 END AS VARCHAR), 8, '0') || z[9:] || CASE WHEN q = 'a' THEN 'K' ELSE 'R' END),
+     list_transform(list_filter([a, b, d], lambda z: z IS NOT NULL), lambda z: lpad(CAST(z[1:8]::INT + 5 + e + CASE WHEN q = 'a' THEN 0 ELSE 1 END AS VARCHAR), 8, '0') || z[9:] || CASE WHEN q = 'a' THEN 'IK' ELSE 'IR' END))) END)
+  FROM dp JOIN plus x ON x.conv_id IS NOT DISTINCT FROM dp.conv_id AND x.i = dp.i + 1),
+ z AS (SELECT dp.conv_id, least(a, d, lpad(CAST(c[1:8]::INT + 5 AS VARCHAR), 8, '0') || c[9:] || 'I', lpad(CAST(b[1:8]::INT + 10 AS VARCHAR), 8, '0') || b[9:] || 'II') AS best FROM dp JOIN g ON g.conv_id IS NOT DISTINCT FROM dp.conv_id AND g.n = dp.i),
+ l AS (SELECT conv_id, best[9:] AS audit, unnest(string_split(best[9:], '')) AS l, unnest(range(1, len(best) - 7)) AS pos FROM z),
+ w AS (SELECT *, count(*) FILTER (l <> 'I') OVER (PARTITION BY conv_id ORDER BY pos) AS i FROM l),
+ y AS (SELECT w.conv_id, pos, l, f.role, f.text, f.q, row_number() OVER (PARTITION BY w.conv_id ORDER BY pos) - 1 AS place FROM w LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i AND l <> 'I' WHERE l <> 'D'),
+ v AS (SELECT *, max(CASE WHEN place = 0 AND l = 'K' AND q = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS s FROM y),
+ h AS (SELECT conv_id, sha256(string_agg(CASE WHEN l = 'K' THEN role WHEN (place - s) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN l = 'I' THEN '' ELSE text END, chr(10) ORDER BY pos)) AS repaired_sha256 FROM v GROUP BY conv_id)
+SELECT t.conv_id, coalesce(g.gaps, 0)::BIGINT AS gaps, coalesce(g.blank, 0)::BIGINT AS blank, coalesce(g.duplicate, 0)::BIGINT AS duplicate, coalesce(g.truncated, 0)::BIGINT AS truncated, coalesce(g.illegal, 0)::BIGINT AS illegal, coalesce(z.best[1:8]::BIGINT, 0) AS cost, coalesce(z.best[9:], '') AS audit, coalesce(h.repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) t LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM t.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM t.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM t.conv_id""",
 }
