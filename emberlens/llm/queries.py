@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, jaccard, language_model, lines, packing, pieces, quality, secrets, sharding, simhash, topk, toxicity
+from . import alignment, conversations, jaccard, language_model, lines, packing, pieces, quality, secrets, sharding, simhash, topk, toxicity
 from .common import read
 
 
@@ -74,8 +74,12 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repaired(read(spark, sf_dir, "conversations"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_log_bilinear_lm, op2_best_fit_packing, op3_jaccard_join, op4_line_dedup, op5_norm_sorted_topk, op6_secret_scans, op7_toxicity_chain, op8_sentencepiece, op9_stratified_sharding, op10_compression_bands, op11_simhash_dedup, op12_conversation_repair)
+    f.__name__: f for f in (op1_log_bilinear_lm, op2_best_fit_packing, op3_jaccard_join, op4_line_dedup, op5_norm_sorted_topk, op6_secret_scans, op7_toxicity_chain, op8_sentencepiece, op9_stratified_sharding, op10_compression_bands, op11_simhash_dedup, op12_conversation_repair, op13_token_alignment)
 }
 # what SQL can express in full; at small sizes only, as SQL compares every pair that shares a shingle
 ORACLES: dict[str, str] = {
