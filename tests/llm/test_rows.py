@@ -1,8 +1,10 @@
 """Operators that judge rows one by one: quality, secrets, packing, sharding."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -136,6 +138,64 @@ def test_bombs_stay_wrapped():
     assert secrets.find(f"x {bomb}", max_layer_chars=1000) == ([], [], 1)
 
 
+INNER = "note password=correcthorse1 end of note"
+
+
+@pytest.mark.parametrize("before", ["https://h.example/x/", "/d/", "/dl/", "/api/", "/a/b/", "path/", "abc/", "abcde/", "k=", "id_", "a-b-c-", "wordwordwordword/"])
+@pytest.mark.parametrize("press", [lambda b: b, gzip.compress, zlib.compress, zstandard.compress, bz2.compress, lzma.compress])
+def test_wrapped_secrets_behind_paths(before, press):
+    text = f"get {before}{base64.b64encode(press(INNER.encode())).decode()} now"
+    _, spans, refused = secrets.find(text)
+    assert refused == 0 and any(k == 0 for _, k, _ in spans)
+    if press(b"x") == b"x":
+        at = text.index(before) + len(before)
+        start, end = INNER.index("password"), INNER.index(" end")
+        assert (at + start * 4 // 3, 0, at + -(-end * 4 // 3)) in spans
+
+
+def by_brute_force(text):
+    """Finds in the bytes of every part of every run of base64 characters, as original spans; the longest at each start."""
+    out = set()
+    for run in re.finditer(r"[A-Za-z0-9+/_-]+", text):
+        body = run[0].replace("-", "+").replace("_", "/")
+        for k in range(len(body)):
+            part = body[k : len(body) - (len(body) - k) % 4]
+            raw = base64.b64decode(part)
+            for m in re.finditer(rb"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}""", raw):
+                out.add((run.start() + k + m.start() * 4 // 3, -(-m.end() * 4 // 3) + run.start() + k))
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("ab/+-_9", max_size=9), st.binary(max_size=9), st.text("kx./ ", max_size=5), st.binary(max_size=9), st.sampled_from(["password=", "Token: ", "api_key='"]))
+def test_finds_all_that_brute_decoding_finds(path, head, gap, tail, word):
+    text = f"a {path}{base64.b64encode(head + gap.encode() + word.encode() + b'abcdef123' + tail).decode()} z"
+    found = {(s, e) for s, k, e in secrets.find(text)[1] if k == 0}
+    for start, end in by_brute_force(text):
+        # the run's last characters that are not four may hold a byte more
+        assert any(s == start and end <= e <= end + 3 for s, e in found)
+
+
+def test_all_members_and_mixed_bytes():
+    other = b"nothing in the first member " * 3
+    for press in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress):
+        assert [k for _, k, _ in secrets.find("x " + base64.b64encode(press(other) + press(INNER.encode())).decode())[1]] == [0]
+    for raw in (bytes(range(32)) + b"\x01" * 9 + INNER.encode(), INNER.encode("utf-16"), INNER.encode("utf-16-be"), ("é" * 30 + INNER).encode("latin-1"), INNER.encode() + b"\xff\xfe" * 40):
+        base, spans, _ = secrets.find("x " + base64.b64encode(raw).decode())
+        assert not base and len(spans) == 1
+    for text in ("password\\u{3d}abcdef1", "password&equals;abcdef1", "password&colon; abcdef1"):
+        assert len(secrets.find(text)[1]) == 1
+
+
+def test_what_stays_compressed_is_redacted_whole(spark):
+    inner = base64.b64encode(zlib.compress(b"z" * 50_000 + INNER.encode())).decode()
+    docs = spark.createDataFrame([(1, f"see {inner} end"), (2, "nothing")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redact_documents(docs, max_layer_chars=1000).collect()}
+    assert got == {1: "see [SECRET] end", 2: "nothing"}
+    assert {r.doc_id: (r.n_spans, r.n_refused) for r in secrets.scan_documents(docs, max_layer_chars=1000).collect()} == {1: (0, 1), 2: (0, 0)}
+    assert [(r.n_spans, r.n_refused) for r in secrets.scan_documents(docs.where("doc_id = 1")).collect()] == [(1, 0)]
+
+
 def test_secret_rows(spark, odd, nothing):
     rows = secrets.scan_documents(odd).collect()
     assert len(rows) == len(ODD) + 1
