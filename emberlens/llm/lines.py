@@ -10,9 +10,12 @@ levels shrink fast, and the partner of a position is found in its stretch, witho
 A repeated run counts when it has ``min_words`` words. Its lines are those of its shortest sufficient parts, forward
 from a line and backward from a line, and such a part of m lines is an LCP interval of depth m: it is identified by the
 ranks of its first and its last 2**k lines, k the largest with 2**k <= m. In every interval the first occurrence, by
-doc_id and line, stays, and the lines of later ones are deleted. Shorter runs, such as a licence line, stay.
+doc_id and line, stays, and the lines of later ones are deleted. A later one that overlaps the first in its document loses
+the lines behind the first's end only, so text that repeats itself keeps its first ``min_words`` words. Shorter runs, such
+as a licence line, stay. Depth ends where the longest shortest part does, at ``min_words`` lines of one word.
 
-Defined results: a null or empty text has no lines and stays; lines without words count for nothing and stay; ties of
+Defined results: a null or empty text has no lines and stays; lines without words count for nothing and stay; a very long
+text is cut into its lines in one pass and its positions are sorted, not held together; ties of
 doc_id go to the row read first, and rows without doc_id come last; copies keep their first row's lines; an empty table
 gives an empty result; other columns pass through unchanged, except that columns named as the two counts are replaced.
 """
@@ -91,7 +94,7 @@ def doubled(live: DataFrame, most: int, min_words: int) -> list[DataFrame]:
 
 
 def repeated_parts(levels: list[DataFrame], parts: DataFrame) -> DataFrame:
-    """uid, pos and m of the parts that occurred before; parts: uid, doc_id, pos, m."""
+    """uid and the lines [pos, until) of parts that occurred before, without those of the first occurrence; parts: uid, doc_id, pos, m."""
     every = None
     for k, level in enumerate(levels):
         own = parts.where((F.col("m") >= 1 << k) & (F.col("m") < 2 << k))
@@ -103,7 +106,7 @@ def repeated_parts(levels: list[DataFrame], parts: DataFrame) -> DataFrame:
     # written first, so that the join's sides are plain exchanges, whose hot parts Spark can split; m tells the level
     named = materialize(every, "lines-parts")
     origin = named.groupBy("first", "last", "m").agg(F.min("here").alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return named.join(materialize(origin, "lines-origin"), ["first", "last", "m"]).where("here > origin").select("uid", "pos", "m")
+    return named.join(materialize(origin, "lines-origin"), ["first", "last", "m"]).where("here > origin").select("uid", F.when(F.col("origin.uid") == F.col("uid"), F.greatest("pos", F.col("origin.pos") + F.col("m"))).otherwise(F.col("pos")).alias("pos"), (F.col("pos") + F.col("m")).alias("until")).where("pos < until")
 
 
 def dedup(docs: DataFrame, min_words: int = 50, counts: tuple[str, str] = ("n_lines", "n_deleted")) -> DataFrame:
@@ -124,7 +127,7 @@ def dedup(docs: DataFrame, min_words: int = 50, counts: tuple[str, str] = ("n_li
     whole = live.join(levels[0].select("uid", "pos"), ["uid", "pos"], "left_semi").select("uid", "doc_id", "pos", "fwd", "bwd")
     parts = F.array(F.struct("pos", F.col("fwd").alias("m")), F.struct((F.col("pos") - F.col("bwd") + 1).alias("pos"), F.col("bwd").alias("m")))
     parts = whole.select("uid", "doc_id", F.explode(parts).alias("p")).select("uid", "doc_id", "p.pos", "p.m").where("m > 0").distinct()
-    found = repeated_parts(levels, materialize(parts, "lines-all-parts")).groupBy("uid", "pos").agg(F.max(F.col("pos") + F.col("m")).alias("until"))
+    found = repeated_parts(levels, materialize(parts, "lines-all-parts")).groupBy("uid", "pos").agg(F.max("until").alias("until"))
     reach = F.max("until").over(Window.partitionBy("uid").orderBy("pos"))
     deleted = live.select("uid", "pos", "line").join(found, ["uid", "pos"], "left").withColumn("reach", reach).where("reach > pos")
     by_doc = deleted.groupBy(F.col("uid").alias(uid)).agg(F.collect_list("line").alias(gone))

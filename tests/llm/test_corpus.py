@@ -222,8 +222,10 @@ def lines_by_force(docs, least):
             for b in range(a + 1, len(full) + 1):
                 if sum(x[2] for x in full[a:b]) >= least:
                     key = tuple(x[1] for x in full[a:b])
-                    if seen.setdefault(key, (i, a)) != (i, a):
-                        gone |= {x[0] for x in full[a:b]}
+                    doc, at = seen.setdefault(key, (i, a))
+                    if (doc, at) != (i, a):
+                        # the first occurrence stays whole, where a later one overlaps it too
+                        gone |= {x[0] for x in full[max(a, at + b - a) if doc == i else a : b]}
         out[i] = gone
     return out
 
@@ -241,6 +243,15 @@ def test_line_dedup(spark):
     assert sum(map(len, expected.values())) > 20
 
 
+def test_line_dedup_of_text_that_repeats_itself(spark):
+    """What stays, worked out by hand: the first run of enough words, in periods of one line, of three, and at a distance."""
+    line = lambda c, n=10: " ".join([c] * n)
+    periods = {1: [line("a")] * 6, 2: [line(c, 20) for c in "abc"] * 4, 3: [line(c) for c in "xyz"] * 4, 4: [line("p"), line("q")] * 2 + ["own words"] + [line("p"), line("q")] * 2, 5: [line("r", 60)] * 3}
+    kept = {1: periods[1][:5], 2: periods[2][:3], 3: periods[3][:5], 4: periods[4], 5: periods[5][:1]}
+    docs = spark.createDataFrame([(i, "\n".join(x)) for i, x in periods.items()], "doc_id long, text string")
+    assert {r.doc_id: r.text.split("\n") for r in lines.dedup(docs, min_words=50).collect()} == kept
+
+
 def test_line_dedup_odd_rows(odd, nothing):
     rows = lines.dedup(odd)
     assert Counter(rows.columns) == Counter(odd.columns)  + Counter(["n_deleted"])
