@@ -270,19 +270,22 @@ def regions(docs: DataFrame, n: int, percent: int, most: int, common: np.ndarray
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """class and s, its shingles, for the classes in ``wanted`` (class, doc_id)."""
+    """class and s, its shingles, for the classes in ``wanted`` (class, doc_id).
+
+    Rows are chosen by semi joins, so a doc_id that many rows share, or that many rows lack, gives each of them once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, grams, at in shingle_sets(batch.column(1), n):
-                name = _class_of(grams, at).view(np.int64)
-                keep = np.flatnonzero(name == batch.column(0).to_numpy()[a:b])
+            for _, _, grams, at in shingle_sets(batch.column(0), n):
+                keep = pa.array(np.flatnonzero(np.diff(at)))
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(grams.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(name[keep]), lists.take(pa.array(keep))], names=["class", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(_class_of(grams, at).view(np.int64)).take(keep), lists.take(keep)], names=["class", "s"])
 
     texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text"))
-    joined = texts.join(wanted, texts["_id"].eqNullSafe(wanted["doc_id"])).select("class", "text")
-    return joined.mapInArrow(run, "class long, s array<long>").dropDuplicates(["class"])
+    ids = wanted.select("doc_id").distinct()
+    chosen = texts.join(ids, texts["_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
+    sets = chosen.mapInArrow(run, "class long, s array<long>")
+    return sets.join(wanted.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"])
 
 
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:

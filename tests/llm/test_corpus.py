@@ -213,6 +213,21 @@ def test_jaccard_odd_rows(spark, odd, nothing):
     assert Counter((r.doc_id, r.component_id, r.n_links) for r in jaccard.join(nulls).collect()) == Counter([(None, 4, 1), (None, None, 0), (4, 4, 1), (4, 4, 0)])
 
 
+def test_rows_that_share_an_id_are_read_once_each(spark):
+    """Every row without an id is wanted: linear in the rows, not in their square."""
+    base = rich(1, 60).split()
+    docs = [(None if k % 2 else 7, " ".join([*base[:40], f"own{k // 3}", *base[41:50], f"tail{k}"])) for k in range(240)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    named = jaccard.classes(frame, 5)
+    wanted = named.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    sets = jaccard._sets(frame, wanted, 5)
+    assert sets.count() == 240
+    rows = jaccard.join(frame).collect()
+    grams = [frozenset(zip(*(w[i:] for i in range(5)), strict=False)) for w in (words(t) for _, t in docs)]
+    links = [sum(j != i and 100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(grams)) for i, a in enumerate(grams)]
+    assert Counter((r.doc_id, r.n_links) for r in rows) == Counter((i, k) for (i, _), k in zip(docs, links, strict=True))
+
+
 def lines_by_force(docs, least):
     seen, out = {}, {}
     for i, t in sorted(docs):
@@ -330,6 +345,49 @@ def test_top_k_of_mixed_norms_in_many_files(spark):
     assert got == expected
 
 
+def test_toxicity_trains_on_a_bounded_sample(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(500)] + [(k, f"other {k}") for k in range(2, 60)], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(k, 0, k % 2) for k in range(60)] + [(None, 1, 1), (1, 1, 0)], "doc_id long, low int, toxic int")
+    for most in (10, 100):
+        y, row, _ = toxicity._sample(docs, labels, ["low", "toxic"], toxicity.Settings(max_train=most))
+        assert y.shape[0] == 2 and y.shape[1] <= min(most, 59) and row.max() < y.shape[1]
+    # labels of one id count as their largest, and one of its 500 texts is learned from
+    assert y.shape[1] == 59 and y[0].sum() == 1
+
+
+def test_toxicity_models_are_the_optimum_and_score_as_written(spark):
+    """Probabilities from the chain by hand, the threshold among all, and no better weights near those found."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    texts = [prose(900 + k, 40) + (" vile" if k % 4 == 0 else "") + (" junk" if k % 3 == 0 else "") for k in range(240)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0), int(k % 4 == 0)) for k in range(200)], "doc_id long, low int, toxic int")
+    s = toxicity.Settings(steps=3000)
+    chain, threshold = toxicity.train(docs, labels, ["low", "toxic"], s)
+    rows = {r.doc_id: r for r in toxicity.classify(docs, labels, ["low", "toxic"], s).collect()}
+    held = []
+    for k, text in enumerate(texts):
+        own = {int(b) for _, _, _, bucket in toxicity.features(pa.array([text])) for b in bucket}
+        z = []
+        for link in chain:
+            z.append(link.bias + sum(w for b, w in zip(link.buckets.tolist(), link.weights.tolist(), strict=True) if b in own) + sum(min(max(x, -8), 8) * w for x, w in zip(z, link.earlier.tolist(), strict=True)))
+        held.append((own, z))
+        p = [1 / (1 + math.exp(-min(max(x, -8), 8))) for x in z]
+        assert math.isclose(rows[k].p_low, p[0], rel_tol=1e-9) and math.isclose(rows[k].p_toxic, p[1], rel_tol=1e-9) and rows[k].rejected == (p[1] > threshold)
+    first, y = chain[0], np.array([k % 3 == 0 for k in range(200)])
+    x = np.array([[b in own for b in first.buckets.tolist()] for own, _ in held[:200]], float)
+    loss = lambda w, b: np.logaddexp(0, -(2 * y - 1) * (x @ w + b)).mean() + s.penalty / 2 * (w**2).sum()
+    best = loss(first.weights, first.bias)
+    assert all(loss(first.weights + d, first.bias + e) > best - 1e-6 for d, e in ((rng.normal(0, 0.05, len(first.weights)), rng.normal(0, 0.05)) for _ in range(200)))
+    for n in (2, 5, 40):
+        z, t = rng.normal(size=n).round(1), rng.random(n) < 0.4
+        t[:2] = True, False
+        f1 = lambda q: 2 * (t & (z > q)).sum() / max((z > q).sum() + t.sum(), 1)  # noqa: B023, E731
+        got = toxicity._best_threshold(t.astype(float), z)
+        assert math.isclose(f1(math.log(got / (1 - got))), max(f1(q) for q in [*z, z.min() - 1]))
+
+
 def test_toxicity_chain(spark, odd, nothing):
     rng = random.Random(6)
     docs, labels = [], []
