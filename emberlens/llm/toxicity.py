@@ -7,7 +7,9 @@ the earlier ones, as at prediction time earlier models have not seen the documen
 documents). A document is rejected when its last probability exceeds a threshold: the one with the best F1 score over the
 out-of-fold probabilities of the training documents, halfway to the next probability, unless ``threshold`` gives one.
 
-Defined results: a null or empty text has only the bias; null labels don't train; a category without both classes gets
+Defined results: a null or empty text has only the bias; null labels don't train, nor do labels without a doc_id; labels that
+share a doc_id count as their largest; a very long text is hashed in one pass and keeps its distinct features; of equally
+good thresholds the highest counts, and a document at the threshold is not rejected; a category without both classes gets
 its base rate for all, one in a million at least; copies and repeated rows score alike; without labels all
 probabilities are one in a million; an empty table
 gives an empty result; ``classify`` reads no other columns, ``probabilities`` passes on those in ``keep``.
@@ -74,7 +76,9 @@ def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
 
 
 def _sample(docs: DataFrame, labels: DataFrame, categories: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Labels (rows by category) and the (row, bucket) pairs of the training documents."""
+    """Labels (rows by category) and the (row, bucket) pairs of the training documents, at most ``max_train``.
+
+    Of rows that share a doc_id the one with the least hash of its text is learned from, before anything is collected."""
     known = labels.where(" AND ".join(f"{c} IS NOT NULL" for c in categories)).select("doc_id", *(F.col(c).cast("int").alias(c) for c in categories))
     chosen = known.groupBy("doc_id").agg(*(F.max(c).alias(c) for c in categories)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.max_train)
 
@@ -86,6 +90,8 @@ def _sample(docs: DataFrame, labels: DataFrame, categories: list[str], s: Settin
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     joined = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    least = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one")
+    joined = joined.groupBy("doc_id", *categories).agg(least).select("doc_id", F.col("one.text").alias("text"), *categories)
     got = joined.mapInArrow(run, f"doc_id {kind}, f array<int>, " + ", ".join(f"{c} int" for c in categories)).toArrow().sort_by("doc_id")
     y = np.array([got[c].to_numpy() for c in categories], float).reshape(len(categories), -1)
     sizes = np.array([len(x) for x in got["f"].to_pylist()], int)
