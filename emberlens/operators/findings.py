@@ -86,12 +86,3 @@ def energy_used(samples: DataFrame) -> DataFrame:
     w = Window.partitionBy("pid", "created").orderBy("at")
     step = F.greatest(F.col("energy") - F.lag("energy").over(w), F.lit(0.0))
     return samples.withColumn("_step", F.coalesce(step, F.lit(0.0))).groupBy("pid", "created").agg(F.sum("_step").alias("joules"), F.count("*").alias("samples"))
-
-
-def within_cap(scans: DataFrame, by: str, at: str, cooldown: str, daily: int) -> DataFrame:
-    """Requests to scan, each accepted, too soon after the one before, or over the day's cap."""
-    day = F.to_date(at)
-    before = F.lag(at).over(Window.partitionBy(by).orderBy(at))
-    n = F.row_number().over(Window.partitionBy(by, day).orderBy(at))
-    soon = F.col(at) < before + F.expr(f"INTERVAL {cooldown}")
-    return scans.withColumn("verdict", F.when(F.coalesce(soon, F.lit(False)), "too soon").when(n > daily, "over the cap").otherwise("accepted"))

@@ -96,14 +96,6 @@ def energy_deltas(t):
     return findings.energy_used(samples).withColumn("joules", F.round("joules", 4))
 
 
-@query("""WITH e AS (SELECT event_id, user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS n FROM (SELECT user_id, ts, min(event_id) AS event_id FROM events GROUP BY ALL))
-SELECT event_id, CASE WHEN ts < before + INTERVAL 30 MINUTE THEN 'too soon' WHEN n > 2 THEN 'over the cap' ELSE 'accepted' END AS verdict FROM e""")
-def scan_caps(t):
-    """Requests within a cooldown and a daily cap: a user's events as requests."""
-    rows = t.events.groupBy("user_id", "ts").agg(F.min("event_id").alias("event_id"))
-    return findings.within_cap(rows, "user_id", "ts", "30 MINUTES", 2).select("event_id", "verdict")
-
-
 @query(values([("net", 0.5, "detected"), ("noisy", 0.1, "clean"), ("few", 0.5, "omitted"), ("moved", 0.5, "omitted"), ("slow", 0.5, "clean")], ["case", "improvement", "status"]))
 def net08_benchmark(t):
     """NET-08 and NET-10: a gain counts beyond the noise, on one machine, without a cost in CPU."""
