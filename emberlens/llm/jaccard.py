@@ -283,7 +283,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
     texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text"))
     ids = wanted.select("doc_id").distinct()
-    chosen = texts.join(ids, texts["_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
+    # sorted and merged at every size, so that the many rows of one id can be split
+    chosen = texts.join(ids.hint("merge"), texts["_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
     sets = chosen.mapInArrow(run, "class long, s array<long>")
     return sets.join(wanted.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"])
 
