@@ -6,13 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.contract import status
+from .quantiles import median_and_mad
 
 
 def median_and_spread(samples: DataFrame, by: list[str], value: str) -> DataFrame:
     """Exact median and median absolute deviation of each group."""
-    middle = samples.groupBy(*by).agg(F.percentile(value, 0.5).alias("median"), F.count("*").alias("samples"))
-    off = samples.join(middle.select(*by, "median"), by).withColumn("_off", F.abs(F.col(value) - F.col("median")))
-    return middle.join(off.groupBy(*by).agg(F.percentile("_off", 0.5).alias("mad")), by)
+    return median_and_mad(samples, by, value)
 
 
 def compared(samples: DataFrame, case: str, arm: str, metric: str, value: str, environment: str, target: str, cpu: str, min_improvement: float, max_regression: float, min_samples: int = 5) -> DataFrame:

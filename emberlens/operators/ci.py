@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.contract import status
+from .quantiles import exact_percentiles
 from .traces import previous
 
 # Ranges (low, high) of the energy model.
@@ -65,7 +66,8 @@ def chains(jobs: DataFrame, run: str, job: str, start: str, end: str, most_gap:
         cell = lambda c: F.floor(F.col(c) / most_gap)
         both = a.withColumn("cell", F.explode(F.array(cell("a_end"), cell("a_end") + 1))).join(b.withColumn("cell", cell("b_start")), [run, "cell"])
     both = both.where((F.col("job_a") != F.col("job_b")) & (F.col("b_start") - F.col("a_end")).between(0, most_gap))
-    out = both.groupBy("job_a", "job_b").agg(F.count("*").alias("runs"), F.round(F.percentile(F.col("b_end") - F.col("a_start"), 0.5), 4).alias("median_seconds"))
+    took = both.select("job_a", "job_b", (F.col("b_end") - F.col("a_start")).alias("_took"))
+    out = exact_percentiles(took, ["job_a", "job_b"], "_took", [0.5]).select("job_a", "job_b", F.col("samples").alias("runs"), F.round("percentile", 4).alias("median_seconds"))
     return out.withColumn("status", F.when(F.col("median_seconds") >= least_seconds, "detected").otherwise("clean"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.contract import status
+from .quantiles import exact_percentiles
 
 
 @dataclass(frozen=True)
@@ -50,10 +51,10 @@ class Bursts:
 
 def bursty(series: DataFrame, resource: str, share: Column, s: Bursts = Bursts()) -> DataFrame:
     """LLM-17: capacity that is idle by the exact median and still sees high peaks."""
-    agg = series.where(share.isNotNull()).groupBy(resource).agg(
-        F.count("*").alias("sample_count"), F.round(F.avg(clamp(share)), 4).alias("mean_utilization"),
-        F.round(F.percentile(share, 0.5), 6).alias("median_utilization"), F.round(F.max(share), 4).alias("peak_utilization"),
-    )
+    rows = series.select(resource, share.alias("_share")).where("_share IS NOT NULL")
+    agg = rows.groupBy(resource).agg(F.count("*").alias("sample_count"), F.round(F.avg(clamp(F.col("_share"))), 4).alias("mean_utilization"), F.round(F.max("_share"), 4).alias("peak_utilization"))
+    middle = exact_percentiles(rows, [resource], "_share", [0.5]).select(F.col(resource).alias("_of"), F.round("percentile", 6).alias("median_utilization"))
+    agg = agg.join(middle, F.col(resource).eqNullSafe(F.col("_of"))).select(resource, "sample_count", "mean_utilization", "median_utilization", "peak_utilization")
     hit = (F.col("median_utilization") < s.low_median) & (F.col("peak_utilization") >= s.high_peak) & (F.col("peak_utilization") >= s.peak_ratio * F.col("mean_utilization"))
     return agg.withColumn("status", status(F.col("sample_count") >= s.min_samples, hit))
 

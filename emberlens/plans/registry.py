@@ -37,5 +37,5 @@ def query(sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], C
     return add
 
 
-for _family in ("telemetry", "logs", "traces", "network", "jobs", "ci", "profiles", "pages", "report", "evidence", "static", "findings", "graphs", "acquisition"):
+for _family in ("telemetry", "logs", "traces", "network", "jobs", "ci", "profiles", "pages", "report", "evidence", "static", "findings", "graphs", "acquisition", "matching"):
     importlib.import_module(f"emberlens.plans.{_family}")
