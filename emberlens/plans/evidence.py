@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from ..operators import query_plans, traces
-from .registry import query
+from .registry import case, query
 
 PLANS = [
     ("spill", [{"Plan": {"Node Type": "Sort", "Sort Key": ["a"], "Sort Space Used": 20480, "Sort Space Type": "Disk", "Actual Rows": 100000, "Actual Loops": 1, "Plans": [{"Node Type": "Seq Scan", "Relation Name": "items", "Filter": "(a > 5)", "Actual Rows": 100, "Actual Loops": 1, "Rows Removed by Filter": 99900, "Parent Relationship": "Outer"}]}}]),
@@ -19,19 +19,19 @@ def _nodes(t):
     return query_plans.nodes(plans, "plan", "text")
 
 
-@query("SELECT * FROM (VALUES ('loop', '0.1', 'orders', 2500000.0::DOUBLE, 0.9998::DOUBLE), ('spill', '0.0', 'items', 100000.0::DOUBLE, 0.999::DOUBLE)) v(plan, node, relation, examined, removed_share)")
+@case("SELECT * FROM (VALUES ('loop', '0.1', 'orders', 2500000.0::DOUBLE, 0.9998::DOUBLE), ('spill', '0.0', 'items', 100000.0::DOUBLE, 0.999::DOUBLE)) v(plan, node, relation, examined, removed_share)")
 def db43_filtered_scans(t):
     """DB-43 on built-in plans."""
     return query_plans.wasteful_scans(_nodes(t), "plan", 10000, 0.9)
 
 
-@query("SELECT * FROM (VALUES ('spill', '0', 20480.0::DOUBLE)) v(plan, node, space_kb)")
+@case("SELECT * FROM (VALUES ('spill', '0', 20480.0::DOUBLE)) v(plan, node, space_kb)")
 def db45_disk_sorts(t):
     """DB-45 on built-in plans."""
     return query_plans.disk_sorts(_nodes(t), "plan", 1024)
 
 
-@query("SELECT * FROM (VALUES ('loop', '0.1', 'orders', 500.0::DOUBLE)) v(plan, node, relation, loops)")
+@case("SELECT * FROM (VALUES ('loop', '0.1', 'orders', 500.0::DOUBLE)) v(plan, node, relation, loops)")
 def db46_inner_scans(t):
     """DB-46 on built-in plans."""
     return query_plans.inner_scans(_nodes(t), "plan", 100, 1000)

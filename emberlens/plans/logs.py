@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import logs as op
-from .registry import query
+from .registry import case, query
 
 STEPS = (("[[:xdigit:]]{8}(-[[:xdigit:]]{4}){3}-[[:xdigit:]]{12}", "<uuid>"), ("\\d{4}-\\d\\d-\\d\\d[T ]\\d\\d:\\d\\d:\\d\\d([.,]\\d+)?(Z|[+-]\\d\\d:?\\d\\d)?", "<ts>"), ("[[:xdigit:]]{8,}", "<hex>"), ("\\d+", "<n>"), ("[[:space:]]+", " "))
 SQL_TEMPLATE = "trim(" + "regexp_replace(" * 5 + "substring(MESSAGE, 1, 400)" + "".join(f", '{p}', '{n}', 'g')" for p, n in STEPS) + ")"
@@ -72,21 +72,21 @@ MESSAGES = (
 )
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{out}')" for k, _, out in MESSAGES) + ") v(message, redacted)")
+@case("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{out}')" for k, _, out in MESSAGES) + ") v(message, redacted)")
 def redaction_cases(t):
     """What redaction makes of messages."""
     rows = t.spark.createDataFrame([m[:2] for m in MESSAGES], "message string, text string")
     return rows.select("message", text.redacted(F.col("text")).alias("redacted"))
 
 
-@query("SELECT * FROM (VALUES ('id', 'request <hex> took <n> ms'), ('time', '<ts> start'), ('uuid', 'job <uuid> done')) v(message, template)")
+@case("SELECT * FROM (VALUES ('id', 'request <hex> took <n> ms'), ('time', '<ts> start'), ('uuid', 'job <uuid> done')) v(message, template)")
 def template_cases(t):
     """What a template keeps of messages."""
     rows = [("id", "request 7f3a9c2d81be  took 15 ms"), ("time", "2024-01-02T03:04:05.678Z start"), ("uuid", "job 123e4567-e89b-12d3-a456-426614174000 done ")]
     return t.spark.createDataFrame(rows, "message string, text string").select("message", text.template(F.col("text")).alias("template"))
 
 
-@query("SELECT * FROM (VALUES ('g', 'retry', 120, 60, 'detected'), ('g', 'handled', 100, 100, 'clean'), ('g', 'START RequestId: <uuid>', 100, 100, 'clean')) v(log_group, template, occurrences, slots, status)")
+@case("SELECT * FROM (VALUES ('g', 'retry', 120, 60, 'detected'), ('g', 'handled', 100, 100, 'clean'), ('g', 'START RequestId: <uuid>', 100, 100, 'clean')) v(log_group, template, occurrences, slots, status)")
 def obs11_exemptions(t):
     """OBS-11: a line of the platform, or one of each request, is no repeated line."""
     counts = t.spark.createDataFrame([("g", "retry", 120, 60), ("g", "handled", 100, 100), ("g", "START RequestId: <uuid>", 100, 100)], "log_group string, template string, occurrences long, slots long")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Cases on rows that are written here: tests hold them against their SQL, the driver never runs them.
+CASES: dict[str, tuple[Callable[[Tables], DataFrame], str]] = {}
 
 
 class Tables:
@@ -37,5 +39,21 @@ def query(sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], C
     return add
 
 
-for _family in ("telemetry", "logs", "traces", "network", "jobs", "ci", "profiles", "pages", "report", "evidence", "static", "findings", "graphs", "acquisition", "matching"):
+def case(sql: str) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
+    """Note a case under its function's name, with the SQL of what it must give."""
+
+    def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        CASES[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+def values(rows, columns):
+    """SQL for constant rows."""
+    text = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, int) else f"{x!r}::DOUBLE" if isinstance(x, float) else "'" + x.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) v({', '.join(f'"{c}"' for c in columns)})"
+
+
+for _family in ("telemetry", "logs", "traces", "network", "jobs", "ci", "profiles", "pages", "report", "evidence", "findings", "graphs", "acquisition", "matching"):
     importlib.import_module(f"emberlens.plans.{_family}")

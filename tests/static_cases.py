@@ -8,16 +8,10 @@ import re
 
 from pyspark.sql import functions as F
 
-from ..operators import static_config, static_python, static_web
-from ..sources import files as file_source
-from ..sources import profiles, schedules
-from .registry import query
-
-
-def values(rows, columns):
-    """SQL for constant rows."""
-    text = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, int) else f"{x!r}::DOUBLE" if isinstance(x, float) else "'" + x.replace("'", "''") + "'"
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) v({', '.join(f'"{c}"' for c in columns)})"
+from emberlens.operators import static_config, static_python, static_web
+from emberlens.plans.registry import case, values
+from emberlens.sources import files as file_source
+from emberlens.sources import profiles, schedules
 
 
 def table(t, rows):
@@ -223,7 +217,7 @@ def python_query(check, files):
         return found.where(F.col("check_id") == check).select("check_id", "file", "line").distinct()
 
     run.__name__, run.__doc__ = "static_" + check.lower().replace("-", "_").replace(".", "_"), f"{check} on built-in Python files."
-    query(values(marked(files, check), ["check_id", "file", "line"]))(run)
+    case(values(marked(files, check), ["check_id", "file", "line"]))(run)
 
 
 IN_ALL = sorted({c for text in PYTHON.values() for line in text.split("\n") if "# hit: " in line for c in re.split(", *", line.split("# hit: ")[1])} - set(ALONE))
@@ -233,13 +227,13 @@ for _check, _files in ALONE.items():
     python_query(_check, _files)
 
 
-@query(values([("app/broken.py", "omitted", "does not parse"), ("app/flow.py", "evaluated", None), ("app/remote.py", "evaluated", None), ("tests/test_app.py", "evaluated", None)], ["file", "status", "reason"]))
+@case(values([("app/broken.py", "omitted", "does not parse"), ("app/flow.py", "evaluated", None), ("app/remote.py", "evaluated", None), ("tests/test_app.py", "evaluated", None)], ["file", "status", "reason"]))
 def static_python_coverage(t):
     """A file that does not parse is omitted, not clean."""
     return static_python.coverage(static_python.facts(table(t, PYTHON.items())))
 
 
-@query(values([("CODE-C3.6", "a.py", 1), ("CODE-C6.7", "a.py", 3)], ["check_id", "file", "line"]))
+@case(values([("CODE-C3.6", "a.py", 1), ("CODE-C6.7", "a.py", 3)], ["check_id", "file", "line"]))
 def static_noqa(t):
     """Suppressed lines: a bare mark hides all checks of its line, codes hide their own."""
     text = "x = sorted(y)[0]\nx = sorted(y)[0]  # noqa\ndef f(a=[]):  # noqa: CODE-C3.6, PY-09\n    return a\nz = sorted(y)[0]  # NOQA: code-c3.6\n"
@@ -247,7 +241,7 @@ def static_noqa(t):
     return static_python.suppressed(static_python.hits(static_python.facts(files)).select("check_id", "file", "line"), files)
 
 
-@query(values([("DB-29", "a.py", 2, "left-join:bb")], ["check_id", "file", "line", "identity"]))
+@case(values([("DB-29", "a.py", 2, "left-join:bb")], ["check_id", "file", "line", "identity"]))
 def static_db_29(t):
     """DB-29: a LEFT JOIN whose alias nothing else names."""
     text = "def f(db):\n    db.execute('SELECT a.id FROM a LEFT JOIN b AS bb ON bb.id = a.id WHERE a.x = 1')\n    db.execute('SELECT a.id, c.n FROM a LEFT JOIN c c ON c.id = a.id')\n"
@@ -297,52 +291,52 @@ def config_query(check, rule, files, expected):
         return rule(static_config.facts(table(t, files.items())))
 
     run.__name__, run.__doc__ = "static_" + check.lower().replace("-", "_") + ("_config" if check == "LLM-19" else ""), f"{check} on built-in configuration."
-    query(values([(check, *row) for row in expected], ["check_id", "file", "scope", "identity", "confidence"]))(run)
+    case(values([(check, *row) for row in expected], ["check_id", "file", "scope", "identity", "confidence"]))(run)
 
 
 for _check, (_rule, _files, _expected) in CONFIG.items():
     config_query(_check, _rule, _files, _expected)
 
 
-@query(values([("INF-09", "Dockerfile", "Dockerfile", "pip cache kept", "medium"), ("INF-09", "x/Dockerfile", "x/Dockerfile", "apk cache kept", "medium")], ["check_id", "file", "scope", "identity", "confidence"]))
+@case(values([("INF-09", "Dockerfile", "Dockerfile", "pip cache kept", "medium"), ("INF-09", "x/Dockerfile", "x/Dockerfile", "apk cache kept", "medium")], ["check_id", "file", "scope", "identity", "confidence"]))
 def static_inf_09(t):
     """INF-09: bloat of the stages that ship, not of a stage that only lends files."""
     files = {"Dockerfile": "FROM python:3.13 AS build\nRUN apt-get update && \\\n  apt-get install -y gcc\nFROM python:3.13-slim\nCOPY --from=build /x /x\nRUN pip install flask\n", "x/Dockerfile": "FROM alpine AS base\nRUN apk add curl\nFROM base\nRUN echo 1\n"}
     return static_config.image_bloat(static_config.dockerfiles(table(t, files.items())))
 
 
-@query(values([("a.json", "evaluated", None), ("b.json", "omitted", "does not parse")], ["file", "status", "reason"]))
+@case(values([("a.json", "evaluated", None), ("b.json", "omitted", "does not parse")], ["file", "status", "reason"]))
 def static_config_coverage(t):
     """Configuration that does not parse is omitted."""
     return static_config.coverage(static_config.facts(table(t, [("a.json", "{}"), ("b.json", "{")])))
 
 
-@query(values([("a.css", "width", 1), ("b.css", "all", 2)], ["path", "property", "declarations"]))
+@case(values([("a.css", "width", 1), ("b.css", "all", 2)], ["path", "property", "declarations"]))
 def static_fe_17(t):
     """FE-17: transitions that lay out again."""
     return static_web.layout_transitions(table(t, [("a.css", "a { transition: width 1s, opacity 2s } /* transition: height 1s */"), ("b.css", "a { transition: all 1s } b { transition-property: all; }"), ("c.css", "a { transition: opacity 1s }")]))
 
 
-@query(values([("a.js", 1, 0, 0, 0), ("c.js", 0, 0, 1, 0)], ["path", "added", "removed", "started", "stopped"]))
+@case(values([("a.js", 1, 0, 0, 0), ("c.js", 0, 0, 1, 0)], ["path", "added", "removed", "started", "stopped"]))
 def static_js_06(t):
     """JS-06: listeners and timers that nothing ends."""
     return static_web.uncleared(table(t, [("a.js", "el.addEventListener('x', f)\n// removeEventListener("), ("b.js", "el.addEventListener('x', f); el.removeEventListener('x', f)"), ("c.js", "setInterval(f, 5)")]))
 
 
-@query(values([("a.js", 1)], ["path", "throws"]))
+@case(values([("a.js", 1)], ["path", "throws"]))
 def static_js_09(t):
     """JS-09: a throw that its own try catches."""
     return static_web.local_throws(table(t, [("a.js", "try { throw new Error() } catch (e) {}"), ("b.js", "try { f() } catch (e) { throw e }")]))
 
 
-@query(values([("p", "logger", "pino,winston")], ["path", "category", "tools"]))
+@case(values([("p", "logger", "pino,winston")], ["path", "category", "tools"]))
 def static_obs_15(t):
     """OBS-15: two tools of one category in a package."""
     names = t.spark.createDataFrame([("p", "winston"), ("p", "pino"), ("p", "pino"), ("q", "pino"), ("q", "other")], "path string, name string")
     return static_web.overlapping_tools(names, {"winston": "logger", "pino": "logger"}).withColumn("tools", F.array_join("tools", ","))
 
 
-@query(values([("s", "user_id", 3, "user_id", 4)], ["scope", "concept", "spellings", "reference", "uses"]))
+@case(values([("s", "user_id", 3, "user_id", 4)], ["scope", "concept", "spellings", "reference", "uses"]))
 def static_obs_18(t):
     """OBS-18: one concept under several spellings; the most used is the reference, snake case on a tie."""
     rows = [("s", "userId", "a"), ("s", "user_id", "a"), ("s", "user_id", "b"), ("s", "user-id", "a"), ("s", "ok", "a"), ("r", "ok", "a")]
@@ -350,7 +344,7 @@ def static_obs_18(t):
     return static_web.field_drift(fields.withColumn("concept", static_web.concept(F.col("key"))), "scope", "concept", "key", "file")
 
 
-@query(values([("Dockerfile", "python", "3.8", 6), ("ci.yml", "node", "16", -30)], ["path", "runtime", "version", "days_left"]))
+@case(values([("Dockerfile", "python", "3.8", 6), ("ci.yml", "node", "16", -30)], ["path", "runtime", "version", "days_left"]))
 def static_code_rt_6(t):
     """CODE-RT.6: runtimes near or past their end of support, at a stated date."""
     support = t.spark.createDataFrame([("python", "3.8", "2024-10-07"), ("node", "16", "2024-09-01"), ("python", "3.13", "2029-10-01")], "runtime string, version string, ends string").withColumn("ends", F.col("ends").cast("date"))
@@ -358,7 +352,7 @@ def static_code_rt_6(t):
     return static_web.end_of_life(files, support, "2024-10-01").select("path", "runtime", "version", "days_left")
 
 
-@query(values([("a", "2024-03-30 00:00:00", False), ("a", "2024-03-31 00:00:00", False), ("a", "2024-04-01 00:00:00", False), ("b", "2024-03-30 01:30:00", False), ("b", "2024-04-01 00:30:00", False), ("c", None, True)], ["job_id", "at", "problem"]))
+@case(values([("a", "2024-03-30 00:00:00", False), ("a", "2024-03-31 00:00:00", False), ("a", "2024-04-01 00:00:00", False), ("b", "2024-03-30 01:30:00", False), ("b", "2024-04-01 00:30:00", False), ("c", None, True)], ["job_id", "at", "problem"]))
 def schedule_occurrences(t):
     """Rates and cron in a zone: a local time that a clock change skips does not occur; a malformed schedule is a row with a problem."""
     import datetime as dt
@@ -369,7 +363,7 @@ def schedule_occurrences(t):
     return got.select("job_id", F.date_format(F.to_utc_timestamp("at", F.current_timezone()), "yyyy-MM-dd HH:mm:ss").alias("at"), F.col("problem").isNotNull().alias("problem"))
 
 
-@query(values([(1, 1.0), (5, 0.75)], ["line", "share"]))
+@case(values([(1, 1.0), (5, 0.75)], ["line", "share"]))
 def speedscope_shares(t):
     """Speedscope samples: a frame counts once for each stack."""
     speed = {"shared": {"frames": [{"name": "main", "file": "a.py", "line": 1}, {"name": "f", "file": "a.py", "line": 5}]}, "profiles": [{"type": "sampled", "samples": [[0, 1, 1], [0]], "weights": [3, 1]}]}
@@ -377,7 +371,7 @@ def speedscope_shares(t):
     return profiles.line_shares(profiles.speedscope(raw, "profile", "text"), "profile").select("line", "share")
 
 
-@query(values([("(root)", 0, 3), ("a", 0, 3), ("b", 1, 3), ("a2", 2, 2)], ["function", "own", "inclusive"]))
+@case(values([("(root)", 0, 3), ("a", 0, 3), ("b", 1, 3), ("a2", 2, 2)], ["function", "own", "inclusive"]))
 def cpuprofile_shares(t):
     """V8 samples by function, with those of callees; idle time is left out."""
     node = lambda i, name, children: {"id": i, "callFrame": {"functionName": name, "url": "u", "lineNumber": i}, "children": children}
@@ -386,7 +380,7 @@ def cpuprofile_shares(t):
     return got.select("function", F.col("self").alias("own"), "inclusive")
 
 
-@query(values([("a.py", 3, 70, 0, 100, 7), ("b.py", 9, 0, 4, 100, 7)], ["file", "line", "bytes", "n", "total_bytes", "peak_bytes"]))
+@case(values([("a.py", 3, 70, 0, 100, 7), ("b.py", 9, 0, 4, 100, 7)], ["file", "line", "bytes", "n", "total_bytes", "peak_bytes"]))
 def memray_lines(t):
     """memray's largest allocations by line."""
     mem = {"total_num_allocations": 5, "total_bytes_allocated": 100, "top_allocations_by_size": [{"location": "f:a.py:3", "size": 60}, {"location": "f:a.py:3", "size": 10}], "top_allocations_by_count": [{"location": "g:b.py:9", "count": 4}], "metadata": {"peak_memory": 7}}
@@ -397,14 +391,14 @@ def memray_lines(t):
 TREE = [("a.py", b"x"), (".tox/b.py", b"x"), ("third_party/c.py", b"x"), ("yarn.lock", b"x"), ("go.sum", b"x"), ("m.min.js", b"x"), ("m.js.map", b"x"), ("big.txt", b"x" * 50), ("bin.dat", b"a\x00b"), ("raw.txt", b"\xff\xfe"), ("z.py", b"y")]
 
 
-@query(values([("excluded folder", 2), ("lock file", 1), ("minified", 2), ("too large", 1), ("binary", 1), ("not UTF-8", 1), ("beyond the scan's bounds", 1)], ["reason", "n"]))
+@case(values([("excluded folder", 2), ("lock file", 1), ("minified", 2), ("too large", 1), ("binary", 1), ("not UTF-8", 1), ("beyond the scan's bounds", 1)], ["reason", "n"]))
 def scan_skips(t):
     """What a scan of a tree leaves out, by reason."""
     rows = t.spark.createDataFrame([(p, len(c), bytearray(c)) for p, c in TREE], "path string, n_bytes long, content binary")
     return file_source.scan(rows, file_source.Limits(files=2, file_bytes=20))[1]
 
 
-@query(values([("a.py", 1, "x"), ("go.sum", 1, "x")], ["path", "n_bytes", "text"]))
+@case(values([("a.py", 1, "x"), ("go.sum", 1, "x")], ["path", "n_bytes", "text"]))
 def scan_files(t):
     """What a scan of the same tree reads, in path order up to its bound."""
     rows = t.spark.createDataFrame([(p, len(c), bytearray(c)) for p, c in TREE], "path string, n_bytes long, content binary")

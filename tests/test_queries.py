@@ -46,6 +46,38 @@ def test_query_equals_its_sql(spark, duck, name):
     assert sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr) == sorted((tuple(plain(r[i]) for i in at) for r in expected.fetchall()), key=repr)
 
 
+def cases():
+    import static_cases  # noqa: F401
+
+    from emberlens.plans.registry import CASES
+
+    return sorted(CASES)
+
+
+@pytest.mark.parametrize("name", cases())
+def test_case_equals_its_rows(spark, name):
+    import duckdb
+
+    from emberlens.plans.registry import CASES, Tables
+
+    make, sql = CASES[name]
+    df = make(Tables(spark, DATA))
+    columns = sorted(df.columns)
+    expected = duckdb.connect().sql(sql)
+    assert sorted(expected.columns) == columns
+    at = [expected.columns.index(c) for c in columns]
+    assert sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr) == sorted((tuple(plain(r[i]) for i in at) for r in expected.fetchall()), key=repr)
+
+
+@needs_data
+def test_every_query_reads_a_table():
+    from emberlens.plans.registry import CASES, ORACLES, QUERIES
+
+    import re
+
+    assert all(re.search(rf"\b(?:{'|'.join(TABLES)})\b", sql) for sql in ORACLES.values()) and not QUERIES.keys() & CASES.keys()
+
+
 @needs_data
 def test_entry(spark):
     import __spark_entry__
