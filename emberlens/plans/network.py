@@ -77,3 +77,60 @@ SELECT l_orderkey, count(*) AS triples, round(sum(cost), 2) AS cost FROM s WHERE
 def net12_triples(t):
     """NET-12 on orders: open, finished, open line items in a row."""
     return op.triples(t.lineitem, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], "l_linestatus", "O", "F", "l_tax")
+
+
+SQL_ATTEMPTS = """e AS (SELECT user_id, event_type, event_id, floor(epoch(ts))::BIGINT AS begin_s, floor(epoch(ts))::BIGINT + CAST(floor(value * CASE WHEN user_id % 31 = 0 THEN 9000 ELSE 1 END) AS BIGINT) AS end_s, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
+ a AS (SELECT *, n + CASE WHEN user_id % 9 = 0 AND n > 2 THEN 1 ELSE 0 END AS attempt, CASE WHEN event_id % 60 = 0 THEN 200 ELSE 503 END AS status, event_id % 70 <> 0 AS client_retry, event_type = 'view' AND user_id % 4 = 0 AS poll, CASE WHEN event_id % 40 = 1 THEN 200000 END AS retry_after FROM e)"""
+
+
+@query(f"""WITH {SQL_ATTEMPTS}, g AS (SELECT *, begin_s - lag(end_s) OVER w AS gap, begin_s - lag(end_s) OVER w < lag(retry_after) OVER w AS ignored, lag(end_s) OVER w IS NOT NULL AND NOT client_retry AS other, lead(attempt) OVER w IS NOT NULL AND status < 429 AS fine FROM a WINDOW w AS (PARTITION BY user_id, event_type ORDER BY attempt)),
+ s AS (SELECT user_id, event_type, count(*) AS attempts, count(*) FILTER (ignored) AS ignored, min(gap) AS least, max(gap) AS widest, count(*) FILTER (other OR fine OR poll) AS exempt, count(DISTINCT attempt) AS kinds, min(attempt) AS first_one, max(attempt) AS last_one FROM g GROUP BY ALL),
+ r AS (SELECT *, CASE WHEN kinds < attempts OR first_one <> 1 OR last_one <> attempts THEN 'missing or duplicate attempt' WHEN least < 0 THEN 'overlapping attempts' END AS refused FROM s),
+ v AS (SELECT *, CASE WHEN refused IS NULL AND attempts >= 3 AND exempt = 0 THEN CASE WHEN ignored > 0 THEN 'Retry-After ignored' WHEN coalesce(widest < 600000, TRUE) AND user_id % 2 <> 0 AND user_id % 3 <> 0 THEN 'no delay' WHEN user_id % 5 > 0 AND attempts > user_id % 5 * 6 THEN 'over the cap' END END AS reason FROM r)
+SELECT user_id, event_type, attempts, ignored, refused, reason, CASE WHEN refused IS NOT NULL THEN 'omitted' WHEN reason IS NOT NULL THEN 'detected' ELSE 'clean' END AS status FROM v""")
+def net05_storms(t):
+    """NET-05 on events: events of a user and type as attempts, users' policies, some sequences broken."""
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
+    at, user, event = F.unix_seconds(F.col("ts").cast("timestamp")), F.col("user_id"), F.col("event_id")
+    attempts = t.events.select(
+        "user_id", "event_type", (n + F.when((user % 9 == 0) & (n > 2), 1).otherwise(0)).alias("attempt"), at.alias("begin"), (at + F.floor(F.col("value") * F.when(user % 31 == 0, 9000).otherwise(1))).alias("end"), F.when(event % 60 == 0, 200).otherwise(503).alias("status"),
+        (event % 70 != 0).alias("client_retry"), ((F.col("event_type") == "view") & (user % 4 == 0)).alias("poll"), F.when(event % 40 == 1, 200000).alias("retry_after"),
+    )
+    policies = t.events.select("user_id").distinct().select("user_id", (user % 2 == 0).alias("backoff"), (user % 3 == 0).alias("jitter"), (user % 5 * 6).alias("max_attempts"))
+    return op.retry_storms(attempts, ["user_id", "event_type"], policies, "user_id", 3, 600000)
+
+
+@query("""WITH c AS (SELECT user_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) <> event_type AS changed, value FROM events), g AS (SELECT user_id, count(*) AS polls, count(*) FILTER (changed) AS changes, round(avg(value), 4) AS interval_s FROM c GROUP BY ALL),
+ u AS (SELECT *, user_id % 3 <> 0 AND user_id % 7 <> 0 AND user_id % 11 <> 0 AND user_id % 5 <> 0 AND user_id % 40 <= 30 AS alternative FROM g)
+SELECT user_id, polls, changes, interval_s AS "interval", alternative, CASE WHEN alternative AND polls >= 5 AND interval_s <= 60 AND changes <= 0.75 * polls THEN 'detected' ELSE 'clean' END AS status FROM u""")
+def net06_alternatives(t):
+    """NET-06 on users: events as polls, some users with an event as fresh."""
+    user = F.col("user_id")
+    targets = t.events.select("user_id").distinct().select("user_id", F.lit(30).alias("freshness"), (user % 40).alias("delivery"), (user % 5 == 0).alias("reconciliation"), (user % 3 != 0).alias("supported"), (user % 7 != 0).alias("reachable"), (user % 11 != 0).alias("recovery"))
+    return op.event_alternatives(t.events, "user_id", ["ts", "event_id"], "event_type", F.col("value"), targets, 0.75, 5, 60)
+
+
+@query("""WITH r AS (SELECT page_id, strlen(html) AS bytes, page_id % 11 = 0 AS exempt, [NULL, 'gzip', 'gzip;q=0', '*', 'identity', 'br;q=0.5, *;q=0', '*;q=0, Zstd ; q=1.0', 'gzip, gzip;q=0.1', 'br;q=x', ''][page_id % 10 + 1] AS accept, CASE WHEN page_id % 13 = 0 THEN 'GZIP' END AS encoding, CASE WHEN page_id % 17 = 0 THEN 1 ELSE 0 END AS more, ['text/html; charset=utf-8', 'application/ld+JSON', 'image/png', 'application/jsonx'][page_id % 4 + 1] AS type FROM pages),
+ v AS (SELECT page_id, bytes, CASE WHEN exempt THEN 'exempt' WHEN bytes < 1024 THEN 'small' WHEN accept IN ('gzip, gzip;q=0.1', 'br;q=x') THEN 'malformed' WHEN accept IS NULL OR accept IN ('gzip;q=0', 'identity', '') THEN 'not accepted' WHEN encoding IS NOT NULL THEN 'encoded' WHEN more > 0 THEN 'sizes differ' WHEN type IN ('image/png', 'application/jsonx') THEN 'binary' ELSE 'plain' END AS reason FROM r)
+SELECT page_id, bytes, reason, CASE reason WHEN 'plain' THEN 'detected' WHEN 'malformed' THEN 'omitted' WHEN 'sizes differ' THEN 'omitted' ELSE 'clean' END AS status FROM v""")
+def net07_responses(t):
+    """NET-07 on pages as responses: headers of several clients, encodings and types."""
+    page, none = F.col("page_id"), F.lit(None).cast("string")
+    pick = lambda values: F.element_at(F.array(*(F.lit(x).cast("string") for x in values)), (page % len(values) + 1).cast("int"))
+    no, bytes_ = F.lit(False), F.octet_length("html").cast("long")
+    rows = t.pages.select(
+        "page_id", F.when(page % 22 == 0, "HEAD").otherwise("GET").alias("method"), F.when(page % 33 == 0, 206).otherwise(200).alias("status"), (page % 11 != 0).alias("body"), no.alias("ranged"), no.alias("streaming"), no.alias("reflects"), no.alias("busy"), bytes_.alias("encoded"),
+        (bytes_ + F.when(page % 17 == 0, 1).otherwise(0)).alias("decoded"), pick([None, "gzip", "gzip;q=0", "*", "identity", "br;q=0.5, *;q=0", "*;q=0, Zstd ; q=1.0", "gzip, gzip;q=0.1", "br;q=x", ""]).alias("accept"), F.when(page % 13 == 0, "GZIP").otherwise(none).alias("encoding"), pick(["text/html; charset=utf-8", "application/ld+JSON", "image/png", "application/jsonx"]).alias("type"),
+    )
+    return op.compressible(rows, "page_id", 1024)
+
+
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_linestatus WHEN 'O' THEN 'parse' ELSE 'serialize' END AS operation, l_returnflag = 'R' AS mutates, l_discount > 0.08 AS boundary, l_tax AS cpu, CASE WHEN l_quantity > 12 THEN 'a' ELSE 'b' END AS digest FROM lineitem),
+ x AS (SELECT l_orderkey, CASE WHEN operation = 'parse' AND lead(operation) OVER w = 'serialize' AND lead(operation, 2) OVER w = 'parse' AND digest = lead(digest) OVER w AND digest = lead(digest, 2) OVER w AND NOT (mutates OR lead(mutates) OVER w OR lead(mutates, 2) OVER w OR lead(boundary) OVER w OR lead(boundary, 2) OVER w) THEN lead(cpu) OVER w + lead(cpu, 2) OVER w END AS waste FROM s WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey))
+SELECT l_orderkey, count(*) AS steps, count(waste) AS chains, round(coalesce(sum(waste), 0), 4) AS waste, CASE WHEN round(coalesce(sum(waste), 0), 4) >= 0.1 THEN 'detected' ELSE 'clean' END AS status FROM x GROUP BY ALL""")
+def net12_chains(t):
+    """NET-12 on orders: open items parse and finished ones serialize, returns change the content, discounts are boundaries."""
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(F.col("l_linestatus") == "O", "parse").otherwise("serialize").alias("operation"), (F.col("l_returnflag") == "R").alias("mutates"), (F.col("l_discount") > 0.08).alias("boundary"), F.col("l_tax").alias("cpu"), F.when(F.col("l_quantity") > 12, "a").otherwise("b").alias("digest"), F.lit("json").alias("encoding"))
+    return op.conversion_chains(rows, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], 0.1)
