@@ -36,6 +36,7 @@ from .common import materialize, slices, span_hashes, text_buffers, tune, word_s
 END = np.uint64(0x5DEECE66D)  # the end token's place among word hashes
 HEAVY = 1 << 18
 READ_TOKENS = 1 << 18  # tokens that training shuffles at once
+FAN = 32  # sums that a task adds
 
 
 @dataclass(frozen=True)
@@ -274,20 +275,25 @@ def fit(encoded: DataFrame, unigram: np.ndarray, s: Settings) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([total]), pa.array([(own.flat().astype(np.float64) * total).tobytes()])], names=["shard", "n", "sums"])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # in the order of the children, so that sums don't depend on which arrives first
             rows = sorted(x for batch in batches for x in zip(*(c.to_pylist() for c in batch.columns), strict=True))
             if rows:
-                sums = 0.0
-                for _, _, x in rows:
-                    sums = sums + np.frombuffer(x)
-                yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]]), pa.array([sum(r[1] for r in rows)]), pa.array([sums.tobytes()])], names=["shard", "n", "sums"])
+                sums = np.frombuffer(rows[0][3]).copy()
+                for *_, x in rows[1:]:
+                    sums += np.frombuffer(x)
+                yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]]), pa.array([sum(r[2] for r in rows)]), pa.array([sums.tobytes()])], names=["shard", "n", "sums"])
 
         part = drawn.where(F.pmod(F.xxhash64("key", F.lit(s.seed)), F.lit(s.rounds)) == turn)
         dealt = part.repartitionById(shards, F.pmod(F.xxhash64("key", F.lit(s.seed + 1)), F.lit(shards)).cast("int")).sortWithinPartitions("key", "ids")
-        groups = max(1, math.isqrt(shards))
-        trained = dealt.select("ids").mapInArrow(run, "shard long, n long, sums binary")
-        summed = trained.repartitionById(groups, F.pmod("shard", F.lit(groups)).cast("int")).mapInArrow(add, "shard long, n long, sums binary").collect()
+        summed, left = dealt.select("ids").mapInArrow(run, "shard long, n long, sums binary"), shards
+        # a tree of fixed fan-in: no task adds more than FAN sums, and one reaches the driver whatever the corpus
+        while left > 1:
+            left = -(-left // FAN)
+            above = F.floor(F.col("shard") / FAN).cast("long")
+            summed = summed.select(above.alias("shard"), F.col("shard").alias("child"), "n", "sums").repartitionById(left, F.col("shard").cast("int")).mapInArrow(add, "shard long, n long, sums binary")
+        summed = summed.collect()
         if summed:
-            flat = (sum(np.frombuffer(x.sums) for x in sorted(summed)) / sum(x.n for x in summed)).astype(np.float32)
+            flat = (np.frombuffer(summed[0].sums) / summed[0].n).astype(np.float32)
         sent.unpersist()
     return model.load(flat)
 

@@ -79,6 +79,18 @@ def test_language_model_learns_and_is_normalised(spark):
     assert np.allclose(np.exp(logits @ model.q.T + model.b - z[2, 3]).sum(), 1, atol=1e-5)
 
 
+def test_language_model_sums_meet_in_a_tree(spark, monkeypatch):
+    """Seven shards in pairs, pairs of pairs and so on, or at once: the same average up to rounding."""
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice("abcdefgh") for _ in range(40))) for i in range(120)], "doc_id long, text string").repartition(3)
+    settings = language_model.Settings(least=12, most=12, width=8, noise=16, batch=64, rounds=1, shard_tokens=600)
+    scores = []
+    for fan in (2, 32):
+        monkeypatch.setattr(language_model, "FAN", fan)
+        scores.append({r.doc_id: r.score for r in language_model.score(docs, F.lit(False), settings).collect()})
+    assert scores[0].keys() == scores[1].keys() and all(math.isclose(x, scores[1][i], rel_tol=1e-4) for i, x in scores[0].items())
+
+
 def components_by_force(docs, percent=75):
     sets = {}
     for i, t in docs:
