@@ -55,5 +55,5 @@ def values(rows, columns):
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) v({', '.join(f'"{c}"' for c in columns)})"
 
 
-for _family in ("telemetry", "logs", "traces", "network", "jobs", "ci", "profiles", "pages", "report", "evidence", "findings", "graphs", "acquisition", "matching", "payloads", "reports"):
+for _family in ("telemetry", "logs", "traces", "network", "jobs", "ci", "profiles", "pages", "report", "evidence", "findings", "graphs", "acquisition", "matching", "payloads", "reports", "ci_history"):
     importlib.import_module(f"emberlens.plans.{_family}")
