@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.contract import status
@@ -75,6 +75,36 @@ def cardinality(labels: DataFrame, metric: str, dimensions: dict[str, Column], m
     return agg.withColumn("status", status(F.lit(True), hit)).withColumn("confidence", F.when(hit & F.col("id_like"), "high").when(hit, "medium"))
 
 
+# Names of labels and forms of values that tell requests or people apart.
+ID_KEY = "^(?:aws)?(?:request|trace|span|correlation|session|user|customer|visitor|client|device|order|transaction|message|invocation|execution|event|job|cart)(?:id|uuid|guid|token|key)$|^(?:uuid|guid|email|emailaddress|ip|ipaddress|clientip|sourceip|remoteip|remoteaddr|url|uri|fullurl|rawurl|querystring)$"
+UUID = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
+ID_VALUE = f"(?i)^(?:{UUID}|[0-9a-f]{{16,}}|[0-9]{{8,}}|[0-9a-hjkmnp-tv-z]{{26}}|1-[0-9a-f]{{8}}-[0-9a-f]{{24}}|[^@ \t\r\n/]+@[^@ \t\r\n/]+[.][a-z]{{2,}}|[0-9]{{1,3}}(?:[.][0-9]{{1,3}}){{3}})$"
+ID_PATH = f"(?i)/(?:[0-9]{{3,}}|[0-9a-f]{{16,}}|{UUID})(?:[/?#]|$)"
+SAMPLES = 5
+
+
+def label_cardinality(listing: DataFrame, metric: str, order: str, labels: str, complete: DataFrame, max_values: int, min_ids: int) -> DataFrame:
+    """OBS-06 on a listing of series: distinct values of each label of a metric, a sample of them, and how sure a find is.
+
+    listing: metric, order and a map of labels; complete: metric and whether its listing ended. A label is found above ``max_values``,
+    or above ``min_ids`` where its name or all sampled values look like identifiers: both is high, many or the values' form
+    medium, the name alone low. Metrics whose listing was cut are omitted. The sample is the first five values, which a
+    ranked window limits before rows are sent, so a label with very many values doesn't meet in one place."""
+    series = listing.groupBy(metric).agg(F.count("*").alias("series"))
+    values = listing.select(metric, order, F.explode(labels).alias("label", "value")).groupBy(metric, "label", "value").agg(F.min(order).alias("_n"))
+    counts = values.groupBy(metric, "label").agg(F.count("*").alias("distinct_values"))
+    first = values.withColumn("_r", F.row_number().over(Window.partitionBy(metric, "label").orderBy("_n", "value"))).where(F.col("_r") <= SAMPLES)
+    like = F.col("value").rlike(ID_VALUE) | F.col("value").rlike(ID_PATH)
+    first = first.groupBy(metric, "label").agg(F.bool_and(like).alias("by_shape"), F.transform(F.array_sort(F.collect_list(F.struct("_r", "value"))), lambda x: x["value"]).alias("samples"))
+    rows = counts.join(first, [metric, "label"]).join(series, metric).join(complete.select(metric, F.col("complete").alias("_complete")), metric, "left")
+    rows = rows.withColumn("by_name", F.regexp_replace(F.lower("label"), "[^a-z0-9]", "").rlike(ID_KEY))
+    over, ids = F.col("distinct_values") > max_values, F.col("by_name") | F.col("by_shape")
+    hit, known = over | (ids & (F.col("distinct_values") > min_ids)), F.coalesce(F.col("_complete"), F.lit(False))
+    sure = F.when(over & ids, "high").when(over | F.col("by_shape"), "medium").otherwise("low")
+    out = rows.withColumns({"status": status(known, hit), "confidence": F.when(known & hit, sure)})
+    return out.select(metric, "label", "series", "distinct_values", "by_name", "by_shape", "samples", "status", "confidence")
+
+
 def hot_retention(groups: DataFrame, retention: str, stored: str, max_days: int, min_bytes: float, exempt: Column) -> DataFrame:
     """OBS-07: groups that keep much for longer than ``max_days`` or forever; a cascade, the first reason counts."""
     reason = (

@@ -62,3 +62,20 @@ def obs07_hot_retention(t):
     groups = t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_custkey", "c_mktsegment")
     groups = groups.agg(F.round(F.sum("o_totalprice"), 2).alias("stored"), F.datediff(F.lit("1998-12-31").cast("date"), F.to_date(F.min("o_orderdate"))).alias("retention"))
     return op.hot_retention(groups, "retention", "stored", 365, 100000, F.col("c_mktsegment") == "MACHINERY")
+
+
+@query("""
+WITH l AS (SELECT event_type, event_id, unnest(['User-Id', 'k', 'path', 'window']) AS label, unnest([CAST(user_id AS VARCHAR), json_extract_string(props, '$.k'), '/orders/' || (100 + user_id), CAST(100000000 + event_id // 3000 AS VARCHAR)]) AS value FROM events),
+ v AS (SELECT event_type, label, value, min(event_id) AS n FROM l GROUP BY ALL), c AS (SELECT event_type, label, count(*) AS distinct_values FROM v GROUP BY ALL), f AS (SELECT *, row_number() OVER (PARTITION BY event_type, label ORDER BY n, value) AS r FROM v),
+ s AS (SELECT event_type, label, string_agg(value, ',' ORDER BY r) AS samples FROM f WHERE r <= 5 GROUP BY ALL), e AS (SELECT event_type, count(*) AS series FROM events GROUP BY ALL),
+ j AS (SELECT event_type, label, series, distinct_values, label = 'User-Id' AS by_name, label IN ('path', 'window') AS by_shape, samples FROM c JOIN s USING (event_type, label) JOIN e USING (event_type)),
+ h AS (SELECT *, distinct_values > 120 OR ((by_name OR by_shape) AND distinct_values > 3) AS hit FROM j)
+SELECT *  EXCLUDE (hit), CASE WHEN event_type = 'view' THEN 'omitted' WHEN hit THEN 'detected' ELSE 'clean' END AS status, CASE WHEN event_type <> 'view' AND hit THEN CASE WHEN distinct_values > 120 AND (by_name OR by_shape) THEN 'high' WHEN distinct_values > 120 OR by_shape THEN 'medium' ELSE 'low' END END AS confidence FROM h
+""")
+def obs06_labels(t):
+    """OBS-06 on event types as metrics: users, the property k, paths of users and epochs as labels; one listing was cut."""
+    labels = F.create_map(F.lit("User-Id"), F.col("user_id").cast("string"), F.lit("k"), F.get_json_object("props", "$.k"), F.lit("path"), F.concat(F.lit("/orders/"), 100 + F.col("user_id")), F.lit("window"), (100000000 + F.floor(F.col("event_id") / 3000)).cast("string"))
+    listing = t.events.select("event_type", "event_id", labels.alias("labels"))
+    complete = t.events.select("event_type").distinct().withColumn("complete", F.col("event_type") != "view")
+    out = op.label_cardinality(listing, "event_type", "event_id", "labels", complete, 120, 3)
+    return out.withColumn("samples", F.array_join("samples", ","))

@@ -29,22 +29,29 @@ def lookback(stream: DataFrame, by: str, ts: str = "ts", length: str = "24 hours
     return stream.groupBy(by, F.window(ts, length, step).alias("w")).agg(F.count("*").alias("n")).select(by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def ingest(target: str, key: list[str], marker: str | None = None) -> Callable[[DataFrame, int], None]:
+def ingest(target: str, key: list[str], marker: str | None = None, day: str | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch writer that adds rows whose key the target lacks: a batch that runs twice adds nothing.
 
-    With ``marker``, rows where it is false (findings) are written before those where it is true (result markers)."""
+    With ``day``, a column that a key never changes, the target is laid out by it, and a batch reads the keys of its own days
+    only: what it costs follows the batch, not the target. With ``marker``, rows where it is false (findings) are written before
+    those where it is true (result markers)."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch.dropDuplicates(key)
-        jvm = spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(target)
+        rows = batch.dropDuplicates(key).persist()
+        path = spark._jvm.org.apache.hadoop.fs.Path(target)
+        new = rows
         if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            rows = rows.join(spark.read.schema(batch.schema).parquet(target).select(*key), key, "left_anti")
-        rows = rows.persist()
-        parts = [rows] if marker is None else [rows.where(~F.col(marker)), rows.where(F.col(marker))]
+            held = spark.read.schema(batch.schema).parquet(target)
+            if day:
+                # folders of other days are pruned when the batch's days are known
+                held = held.join(rows.select(day).distinct(), day, "left_semi")
+            new = rows.join(held.select(*key), key, "left_anti").persist()
+        parts = [new] if marker is None else [new.where(~F.col(marker)), new.where(F.col(marker))]
         for part in parts:
-            part.write.mode("append").parquet(target)
+            writer = part.write.mode("append")
+            (writer.partitionBy(day) if day else writer).parquet(target)
+        new.unpersist()
         rows.unpersist()
 
     return write
