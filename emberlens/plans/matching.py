@@ -97,7 +97,7 @@ def obs13_undropped(t):
     return grams.undropped(t.documents.select("doc_id", "lang", "text"), "doc_id", "text", filters, "item_id", "pattern").select("doc_id", "lang")
 
 
-@query("""SELECT l_returnflag, l_linestatus, unnest([0.0, 0.05, 0.5, 0.99, 1.0]) AS share, unnest([quantile_cont(l_extendedprice, 0.0), quantile_cont(l_extendedprice, 0.05), quantile_cont(l_extendedprice, 0.5), quantile_cont(l_extendedprice, 0.99), quantile_cont(l_extendedprice, 1.0)]) AS price, count(*) AS samples FROM lineitem GROUP BY l_returnflag, l_linestatus""")
+@query("""SELECT l_returnflag, l_linestatus, unnest([0.0::DOUBLE, 0.05::DOUBLE, 0.5::DOUBLE, 0.99::DOUBLE, 1.0::DOUBLE]) AS share, unnest([quantile_cont(l_extendedprice, 0.0), quantile_cont(l_extendedprice, 0.05), quantile_cont(l_extendedprice, 0.5), quantile_cont(l_extendedprice, 0.99), quantile_cont(l_extendedprice, 1.0)]) AS price, count(*) AS samples FROM lineitem GROUP BY l_returnflag, l_linestatus""")
 def exact_quantiles(t):
     """Exact quantiles of prices; groups of over 1000 rows count as large."""
     out = quantiles.exact_percentiles(t.lineitem, ["l_returnflag", "l_linestatus"], "l_extendedprice", [0.0, 0.05, 0.5, 0.99, 1.0], most=1000)
