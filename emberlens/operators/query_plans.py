@@ -5,29 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import checkpointed
+
 FIELDS = {
     "node_type": ("Node Type", "string"), "relation": ("Relation Name", "string"), "filter": ("Filter", "string"), "actual_rows": ("Actual Rows", "double"),
     "loops": ("Actual Loops", "double"), "removed": ("Rows Removed by Filter", "double"), "sort_key": ("Sort Key", "string"), "space_kb": ("Sort Space Used", "double"),
     "space_type": ("Sort Space Type", "string"), "relationship": ("Parent Relationship", "string"),
 }
-MAX_DEPTH = 100
 
 
 def nodes(plans: DataFrame, key: str, text: str) -> DataFrame:
     """One row for each node: key, node (its path), parent and the fields that rules read; malformed plans give none.
 
-    Levels are unrolled one at a time over variants, whose schema may recurse."""
+    Levels are unrolled one at a time over variants, whose schema may recurse, each from a checkpoint of its own."""
     root = plans.select(key, F.lit("0").alias("node"), F.lit(None).cast("string").alias("parent"), F.expr(f"try_variant_get(try_parse_json(`{text}`), '$[0].Plan', 'variant')").alias("v")).where("v IS NOT NULL")
     out = None
-    for _ in range(MAX_DEPTH):
+    while True:
         fields = [F.expr(f"try_variant_get(v, '$[\"{name}\"]', '{kind}')").alias(c) for c, (name, kind) in FIELDS.items()]
         part = root.select(key, "node", "parent", *fields)
         out = part if out is None else out.unionByName(part)
-        numbered = root.select(key, "node", F.posexplode(F.expr("try_variant_get(v, '$.Plans', 'array<variant>')")).alias("i", "v"))
+        numbered = checkpointed(root.select(key, "node", F.posexplode(F.expr("try_variant_get(v, '$.Plans', 'array<variant>')")).alias("i", "v")))
         if numbered.isEmpty():
             return out
         root = numbered.select(key, F.concat_ws(".", "node", F.col("i").cast("string")).alias("child"), F.col("node").alias("parent"), "v").withColumnRenamed("child", "node")
-    raise ValueError(f"a plan nests deeper than {MAX_DEPTH}")
 
 
 def wasteful_scans(table: DataFrame, key: str, min_rows: float, min_removed: float) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import checkpointed
+
 RUNS = "id BIGINT, name STRING, path STRING, event STRING, status STRING, conclusion STRING, run_attempt INT, head_sha STRING, created_at STRING, run_started_at STRING, updated_at STRING, html_url STRING"
 JOBS = "run_id BIGINT, id BIGINT, name STRING, run_attempt INT, conclusion STRING, labels ARRAY<STRING>, runner_group_name STRING, created_at STRING, started_at STRING, completed_at STRING"
 
@@ -63,13 +65,13 @@ def collapsed_stacks(raw: DataFrame, profile: str, text: str) -> DataFrame:
 
 
 def segments(raw: DataFrame) -> DataFrame:
-    """X-Ray segment documents (trace_id, document) as top spans; nested subsegments follow level by level."""
+    """X-Ray segment documents (trace_id, document) as top spans; nested subsegments follow level by level, each from a checkpoint of its own."""
     v = raw.select("trace_id", F.expr("try_parse_json(document)").alias("v"))
     level, out = v.withColumn("parent", F.expr("try_variant_get(v, '$.parent_id', 'string')")), None
     while True:
         get = lambda name, kind: F.expr(f"try_variant_get(v, '$.{name}', '{kind}')")
         part = level.select("trace_id", get("id", "string").alias("span_id"), F.col("parent").alias("parent_id"), get("name", "string").alias("name"), get("namespace", "string").alias("namespace"), get("start_time", "double").alias("start_ts"), get("end_time", "double").alias("end_ts"), F.coalesce(get("in_progress", "boolean"), F.lit(False)).alias("in_progress"), (F.coalesce(get("error", "boolean"), F.lit(False)) | F.coalesce(get("fault", "boolean"), F.lit(False)) | F.coalesce(get("throttle", "boolean"), F.lit(False))).alias("failed"))
         out = part if out is None else out.unionByName(part)
-        level = level.select("trace_id", get("id", "string").alias("parent"), F.explode(F.expr("try_variant_get(v, '$.subsegments', 'array<variant>')")).alias("v"))
+        level = checkpointed(level.select("trace_id", get("id", "string").alias("parent"), F.explode(F.expr("try_variant_get(v, '$.subsegments', 'array<variant>')")).alias("v")))
         if level.isEmpty():
             return out

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import arrow_udf
 
 SPEEDSCOPE = "STRUCT<shared: STRUCT<frames: ARRAY<STRUCT<name: STRING, file: STRING, line: BIGINT>>>, profiles: ARRAY<STRUCT<type: STRING, samples: ARRAY<ARRAY<INT>>, weights: ARRAY<DOUBLE>>>>"
 CPUPROFILE = "STRUCT<nodes: ARRAY<STRUCT<id: BIGINT, callFrame: STRUCT<functionName: STRING, url: STRING, lineNumber: BIGINT>, children: ARRAY<BIGINT>, hitCount: BIGINT>>, samples: ARRAY<BIGINT>>"
@@ -44,6 +46,11 @@ def _climbs(ids: list, children: list, samples: list) -> list[tuple[int, list[in
     return out
 
 
+def _climbed(ids: pa.Array, children: pa.Array, samples: pa.Array) -> pa.Array:
+    rows = [[{"sample": n, "stack": stack} for n, stack in _climbs(*row)] if None not in row else None for row in zip(*(c.to_pylist() for c in (ids, children, samples)), strict=True)]
+    return pa.array(rows, pa.list_(pa.struct([("sample", pa.int64()), ("stack", pa.list_(pa.int64()))])))
+
+
 def cpuprofile(raw: DataFrame, profile: str, text: str) -> DataFrame:
     """V8 CPU profiles: busy samples by function, self and inclusive (once a sample), idle samples left out.
 
@@ -52,7 +59,7 @@ def cpuprofile(raw: DataFrame, profile: str, text: str) -> DataFrame:
     nodes = doc.select(profile, F.explode("d.nodes").alias("n")).select(profile, F.col("n.id").alias("id"), F.col("n.callFrame.functionName").alias("function"), F.col("n.callFrame.url").alias("url"), F.col("n.callFrame.lineNumber").alias("line"), F.col("n.children").alias("children"))
     hits = doc.select(profile, F.explode("d.samples").alias("id")).groupBy(profile, "id").agg(F.count("*").alias("n"))
     busy = hits.join(nodes.where("function NOT IN ('(idle)', '(program)')").select(profile, "id"), [profile, "id"]).select(profile, F.col("id").alias("sample"), "id", "n")
-    climb = F.udf(_climbs, "array<struct<sample: bigint, stack: array<bigint>>>")
+    climb = arrow_udf(_climbed, "array<struct<sample: bigint, stack: array<bigint>>>")
     stacks = doc.select(profile, F.explode(climb("d.nodes.id", "d.nodes.children", "d.samples")).alias("c")).select(profile, "c.sample", F.explode("c.stack").alias("id"))
     chain = busy.drop("id").join(stacks, [profile, "sample"])
     own = F.sum(F.when(F.col("id") == F.col("sample"), F.col("n")).otherwise(0)).alias("self")
