@@ -75,20 +75,27 @@ def grams(rows: DataFrame, key: str, text: str, kinds: list[int] | None) -> Data
 
 
 def contained(texts: DataFrame, key: str, text: str, patterns: DataFrame, name: str, pattern: str) -> DataFrame:
-    """key and name of each text and pattern that it holds. Keys and names must be distinct; empty patterns and nulls are held by none."""
-    wanted = checkpointed(grams(patterns, name, pattern, None).distinct())
+    """key and name for each row of texts and row of patterns that it holds; empty patterns and nulls are held by none.
+
+    Patterns are told apart by their text, and texts meet their candidates by null-safe keys and are looked through again, so
+    keys and names may repeat and be null."""
+    own = patterns.select(name, F.col(pattern).cast("string").alias("_pattern"))
+    wanted = checkpointed(grams(own.select(F.col("_pattern").alias("_p"), "_pattern").distinct(), "_p", "_pattern", None).distinct())
     kinds = [r.kind for r in wanted.select("kind").distinct().collect()]  # at most SHORT + 2
     posting = checkpointed(grams(texts, key, text, kinds).distinct().join(wanted.select("kind", "h").distinct(), ["kind", "h"], "left_semi")) if kinds else None
     if posting is None:
         return texts.select(key).join(patterns.select(name).where("false"))
     held = posting.groupBy("kind", "h").agg(F.count("*").alias("n"))
     # a pattern without a text that holds each of its grams stands in none; else its rarest gram speaks for it
-    choice = wanted.join(held, ["kind", "h"], "left").groupBy(name).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "kind", "h")).alias("c")).where("c.n > 0")
-    candidates = checkpointed(posting.join(choice.select(name, "c.kind", "c.h"), ["kind", "h"]).select(key, name))
-    both = candidates.join(texts.select(key, F.col(text).alias("_text")), key).join(patterns.select(name, F.col(pattern).alias("_pattern")), name)
-    return both.where(F.contains("_text", "_pattern")).select(key, name)
+    choice = wanted.join(held, ["kind", "h"], "left").groupBy("_p").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "kind", "h")).alias("c")).where("c.n > 0")
+    candidates = checkpointed(posting.join(choice.select("_p", "c.kind", "c.h"), ["kind", "h"]).select(F.col(key).alias("_key"), "_p"))
+    both = candidates.join(texts.select(key, F.col(text).alias("_text")), F.col("_key").eqNullSafe(F.col(key))).where(F.contains("_text", "_p"))
+    return both.join(own, F.col("_p") == F.col("_pattern")).select(key, name)
 
 
 def undropped(probes: DataFrame, probe: str, path: str, filters: DataFrame, filter_id: str, pattern: str) -> DataFrame:
-    """OBS-13: probes whose path holds no pattern of any filter."""
-    return probes.join(contained(probes, probe, path, filters, filter_id, pattern).select(probe).distinct(), probe, "left_anti")
+    """OBS-13: probes whose path holds no pattern of any filter; each row is judged by its own path, whatever its id."""
+    digest = F.unhex(F.md5(F.col(path).cast("binary")))
+    paths = probes.select(digest.alias("_path"), path)
+    hit = contained(paths, "_path", path, filters, filter_id, pattern).select("_path").distinct()
+    return probes.withColumn("_path", digest).join(hit, "_path", "left_anti").select(*probes.columns)

@@ -152,3 +152,21 @@ def test_findings_lead_to_the_one_job_and_step(spark):
     steps = spark.createDataFrame([("w.yml", "a", "s1", 4, 6), ("w.yml", "b", "s2", 21, 22), ("w.yml", "b", "s3", 21, 25), ("v.yml", "c", "s4", 3, 5)], "file string, job string, step string, first int, last int")
     got = {r.id: (r.level, r.job, r.step) for r in containment.linked_findings(found, jobs, steps).collect()}
     assert got == {"1": ("step", "a", "s1"), "2": ("job", "a", None), "3": ("workflow", None, None), "4": ("none", None, None), "5": ("job", "b", None), "6": ("workflow", None, None), "7": ("workflow", None, None)}
+
+
+def test_pattern_queries_equal_sql_on_odd_rows(spark, tmp_path):
+    import duckdb
+
+    from emberlens.plans.registry import ORACLES, QUERIES
+
+    long = "Große Straßen führen ins weite Tal, und ᾳ steht ŉ allein."
+    items = [(0, long), (1, "ab"), (2, "short one"), (2, "another of the same id, longer than a window of grams"), (None, "nobody's item"), (3, None)]
+    docs = [(1, f"x {duckdb.sql('SELECT upper(?)', params=[long]).fetchall()[0][0]} y"), (2, long.upper()), (None, f"- {long} -"), (None, "another of the same id, longer than a window of grams"), (4, "short one"), (4, "nobody's item"), (5, None), (6, "")]
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(k, x, "en") for k, x in docs], "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    for t in ("benchmark", "documents"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    for name in ("pattern_texts", "obs13_undropped"):
+        got = sorted(map(repr, map(tuple, QUERIES[name](spark, str(tmp_path)).collect())))
+        assert got == sorted(map(repr, db.sql(ORACLES[name]).fetchall())), name
