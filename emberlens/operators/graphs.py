@@ -63,6 +63,53 @@ def reach(edges: DataFrame, entries: DataFrame, stops: DataFrame | None = None,
     return seen
 
 
+def cycles(edges: DataFrame, passes: int = 12) -> DataFrame:
+    """node and root, the least node of its strong component, for nodes that share a cycle with another one.
+
+    A pass gives every node the least one that reaches it; of the nodes of one such colour, those that reach the colour's
+    own node are a component. Edges between colours or to settled components lie on no cycle and go, as do nodes without
+    an edge in or out. What is left after ``passes`` stays apart, which a closure over the components does not mind."""
+    active, found = edges.select("src", "dst").where("src != dst").distinct(), []
+    for _ in range(passes):
+        for _ in range(3):
+            active = checkpointed(active)
+            active = active.join(active.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(active.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        active = checkpointed(active)
+        if active.isEmpty():
+            break
+        color = active.select(F.col("src").alias("node")).union(active.select("dst")).distinct().withColumn("color", F.col("node"))
+        color = checkpointed(color)
+        while True:
+            offered = color.join(active, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("color").alias("_c"))
+            moved = checkpointed(color.join(offered, "node", "left").select("node", F.least("color", "_c").alias("color"), (F.col("_c") < F.col("color")).alias("_moved")))
+            color = moved.select("node", "color")
+            if moved.where("_moved").isEmpty():
+                break
+        ends = (color.select(F.col("node").alias(c), F.col("color").alias(f"_{c}")) for c in ("src", "dst"))
+        within = checkpointed(reduce(lambda a, b: a.join(b, b.columns[0]), ends, active).where("_src = _dst").select("src", "dst"))
+        settled = checkpointed(reach(within.select(F.col("dst").alias("src"), F.col("src").alias("dst")), color.where("node = color")).select("node", F.col("entry").alias("root")))
+        found.append(settled)
+        active = within.join(settled.select(F.col("node").alias("src")), "src", "left_anti").join(settled.select(F.col("node").alias("dst")), "dst", "left_anti")
+    every = reduce(DataFrame.unionByName, found) if found else edges.select(F.col("src").alias("node"), F.col("src").alias("root")).where("false")
+    return every.join(every.where("node != root").select("root").distinct(), "root", "left_semi").select("node", "root")
+
+
+def reached_counts(edges: DataFrame, entries: DataFrame) -> DataFrame:
+    """entry and reached: how many nodes each distinct entry reaches, itself included.
+
+    Nodes on common cycles reach the same, so the closure runs over components with their sizes, from distinct ones."""
+    links = checkpointed(edges.select("src", "dst").distinct())
+    roots = checkpointed(cycles(links))
+    size = roots.groupBy(F.col("root").alias("node")).agg(F.count("*").alias("_size"))
+    for c in ("src", "dst"):
+        links = links.join(roots.select(F.col("node").alias(c), "root"), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
+    own = entries.select("node").distinct().join(roots, "node", "left").select(F.col("node").alias("entry"), F.coalesce("root", "node").alias("_of"))
+    own = checkpointed(own)
+    closure = reach(links.where("src != dst"), own.select(F.col("_of").alias("node")), each=True)
+    sums = closure.join(size, "node", "left").groupBy(F.col("entry").alias("_from")).agg(F.sum(F.coalesce("_size", F.lit(1))).alias("reached"))
+    return own.join(sums, F.col("_of").eqNullSafe(F.col("_from"))).select("entry", "reached")
+
+
 def repeated_calls(calls: DataFrame, edges: DataFrame, entries: DataFrame, cached: DataFrame) -> DataFrame:
     """LLM-02: model calls in functions that run again and again, because an entry point reaches them past no cache.
 

@@ -82,4 +82,4 @@ SELECT entry, count(*) AS reached FROM c GROUP BY ALL""")
 def call_closure(t):
     """How many functions each entry point reaches, itself included: the closure of the call edges."""
     edges, entries, _ = _calls(t)
-    return op.reach(edges, entries, each=True).groupBy("entry").agg(F.count("*").alias("reached"))
+    return op.reached_counts(edges, entries)

@@ -81,6 +81,18 @@ def test_reach_equals_a_breadth_first_walk(spark):
     assert graphs.reach(e, s.where("node < 0")).count() == 0
 
 
+def test_reached_counts_equal_the_closure(spark):
+    rng = random.Random(5)
+    ring = [(200 + k, 200 + (k + 1) % 6) for k in range(6)] + [(0, 200), (203, 300), (300, 301), (301, 300), (301, 302)]
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(90)] + [(7, 7), (1, 2), (1, 2)] + [(100 + k, 101 + k) for k in range(5)] + ring
+    entries = [1, 5, 7, 100, 104, 204, 300, 302, 999]
+    e, s = spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(x,) for x in [*entries, 5, None]], "node long")
+    assert {(r.entry, r.reached) for r in graphs.reached_counts(e, s).collect()} == {(x, len(walk(edges, [x]))) for x in entries} | {(None, 1)}
+    # the members of a cycle are one component, so a cycle of n nodes makes no n * n rows
+    roots = {r.node: r.root for r in graphs.cycles(e).where("node >= 200").collect()}
+    assert roots == {200 + k: 200 for k in range(6)} | {300: 300, 301: 300}
+
+
 def test_captures_are_refused_or_judged(spark):
     """Cases as the rule states them: two-request duplicates, a chain, a cycle, a missing one, polls, and overlaps."""
     rows, waits = [], []
