@@ -13,6 +13,10 @@ ORACLES: dict[str, str] = {}
 CASES: dict[str, tuple[Callable[[Tables], DataFrame], str]] = {}
 
 
+#: Bytes of shuffled rows that adaptive execution gives a task: sorts, windows and aggregates of a task hold a few times as many.
+TASK_BYTES = 16 << 20
+
+
 class Tables:
     """The Parquet tables of one folder, by attribute."""
 
@@ -28,6 +32,8 @@ def query(sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], C
 
     def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # partitions are merged up to this size, so with more rows there are more tasks and not larger ones
+            spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(TASK_BYTES))
             return f(Tables(spark, sf_dir))
 
         run.__name__, run.__doc__ = f.__name__, f.__doc__

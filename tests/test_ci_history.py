@@ -50,3 +50,13 @@ def test_workflows_and_the_gate(spark):
     got = {r.path: (r.status, r.confidence, r.runs) for r in ci_history.gated(found, frame, "path", "id", 5).collect()}
     assert got == {"a": ("detected", "high", 5), "b": ("omitted", None, 1), "c": ("omitted", None, 0)}
     assert ci_history.gated(found.where(F.lit(False)), frame, "path", "id").count() == 0
+
+
+def test_tasks_of_queries_do_not_grow_with_the_rows(spark):
+    from emberlens.plans.registry import QUERIES, TASK_BYTES
+
+    spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    for name in ("ci01_rechecks", "ci02_blind_rechecks", "ci03_flaky_jobs"):
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert int(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")) == TASK_BYTES <= 16 << 20
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
