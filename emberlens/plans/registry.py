@@ -15,6 +15,8 @@ CASES: dict[str, tuple[Callable[[Tables], DataFrame], str]] = {}
 
 #: Bytes of shuffled rows that adaptive execution gives a task: sorts, windows and aggregates of a task hold a few times as many.
 TASK_BYTES = 16 << 20
+#: Partitions of an exchange before they are merged: enough for a task's bytes each up to 16 GB.
+PARTITIONS = 1000
 
 
 class Tables:
@@ -34,6 +36,7 @@ def query(sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], C
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             # partitions are merged up to this size, so with more rows there are more tasks and not larger ones
             spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(TASK_BYTES))
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(PARTITIONS))
             return f(Tables(spark, sf_dir))
 
         run.__name__, run.__doc__ = f.__name__, f.__doc__

@@ -146,6 +146,17 @@ def test_intervals_around_points(spark):
         assert (r.around, r.span, r.alone) == ((len(hits), hits[0][1], sum(h[0] == hits[0][0] for h in hits) == 1) if hits else (0, None, None))
 
 
+def test_innermost_sends_a_row_of_a_point_and_level(spark, monkeypatch):
+    """Before, every pair of a point and an interval was written and sent."""
+    written = []
+    monkeypatch.setattr(containment, "checkpointed", lambda df: written.append(df) or df)
+    s = spark.range(400).selectExpr("1 AS g", "id AS span", "0L AS a", "1000 + id AS b")
+    p = spark.range(50).selectExpr("id", "1 AS g", "id AS at")
+    rows = containment.innermost(p, "id", "at", s, "span", "a", "b", ["g"]).collect()
+    assert {(r.around, r.span, r.alone) for r in rows} == {(400, 0, True)} and len(rows) == 50
+    assert not written
+
+
 def test_findings_lead_to_the_one_job_and_step(spark):
     found = spark.createDataFrame([("1", "w.yml", 5), ("2", "w.yml", 8), ("3", "w.yml", 40), ("4", "x.py", 1), ("5", "w.yml", 21), ("6", "w.yml", None), ("7", "v.yml", 4)], "id string, file string, line int")
     jobs = spark.createDataFrame([("w.yml", "a", 3, 10), ("w.yml", "b", 20, 30), ("v.yml", "c", 1, 9), ("v.yml", "d", 4, 6)], "file string, job string, first int, last int")
