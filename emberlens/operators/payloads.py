@@ -20,14 +20,23 @@ def _rule(rows: DataFrame, name: str, key: Column | str) -> DataFrame:
 
 def coverage_violations(results: DataFrame, scopes: DataFrame, evaluated: DataFrame, findings: DataFrame, measurements: DataFrame, limitations: DataFrame) -> list[DataFrame]:
     """Coverage against status. results: payload, status; scopes and evaluated: payload, scope_id; others: payload."""
-    asked, done = scopes.select("payload", "scope_id").distinct(), evaluated.select("payload", "scope_id").distinct()
-    count = lambda rows, name: rows.groupBy("payload").agg(F.count("*").alias(name))
-    sizes = [count(asked, "n_asked"), count(done, "n_done"), count(done.join(asked, ["payload", "scope_id"], "left_semi"), "n_both"), count(findings, "n_found"), count(measurements, "n_measured"), count(limitations, "n_limits")]
-    rows = reduce(lambda a, b: a.join(b, "payload", "left"), sizes, results.select("payload", "status")).na.fill(0)
+    # one exchange by payload holds all that is counted; null scopes meet nothing, as in a join
+    tag = lambda rows, kind, scope: rows.select("payload", F.lit(kind).alias("_kind"), scope.alias("scope_id"))
+    none = F.lit(None).cast("string")
+    parts = [tag(scopes, "asked", F.col("scope_id").cast("string")), tag(evaluated, "done", F.col("scope_id").cast("string")), *(tag(r, k, none) for r, k in ((findings, "found"), (measurements, "measured"), (limitations, "limits")))]
+    has = lambda kind: F.count_if(F.col("_kind") == kind)
+    per = reduce(DataFrame.unionByName, parts).repartition("payload").groupBy("payload", "scope_id").agg(*(has(k).alias(k) for k in ("asked", "done", "found", "measured", "limits")))
+    both = (F.col("asked") > 0) & (F.col("done") > 0) & F.col("scope_id").isNotNull()
+    sizes = per.groupBy("payload").agg(
+        F.count_if(F.col("asked") > 0).alias("n_asked"), F.count_if(F.col("done") > 0).alias("n_done"), F.count_if(both).alias("n_both"),
+        F.sum("found").alias("n_found"), F.sum("measured").alias("n_measured"), F.sum("limits").alias("n_limits"),
+    )
+    rows = results.select("payload", "status").join(sizes, "payload", "left").na.fill(0)
+    outside = per.where((F.col("done") > 0) & ~both)
     partial = (F.col("n_done") > 0) & (F.col("n_both") == F.col("n_done")) & (F.col("n_done") < F.col("n_asked"))
     idle = F.col("n_done") + F.col("n_found") + F.col("n_measured")
     return [
-        _rule(done.join(asked, ["payload", "scope_id"], "left_anti"), "evaluated out of scope", "scope_id"),
+        _rule(outside, "evaluated out of scope", "scope_id"),
         _rule(rows.where((F.col("status") == "completed") & ((F.col("n_both") < F.col("n_asked")) | (F.col("n_done") > F.col("n_asked")))), "completed must evaluate all", "status"),
         _rule(rows.where((F.col("status") == "partial") & ~partial), "partial must evaluate some", "status"),
         _rule(rows.where(F.col("status").isin("unavailable", "error") & (idle > 0)), "unevaluated must be empty", "status"),
