@@ -18,6 +18,12 @@ def _rule(rows: DataFrame, name: str, key: Column | str) -> DataFrame:
     return rows.select("payload", F.lit(name).alias("rule"), (F.col(key) if isinstance(key, str) else key).cast("string").alias("key"))
 
 
+def _rules(rows: DataFrame, cases: list[tuple[Column, str]], key: str) -> DataFrame:
+    """Several rules in one pass: a row for each case that holds."""
+    broken = F.filter(F.array(*(F.when(c, F.lit(name)) for c, name in cases)), lambda x: x.isNotNull())
+    return rows.select("payload", F.explode(broken).alias("rule"), F.col(key).cast("string").alias("key"))
+
+
 def coverage_violations(results: DataFrame, scopes: DataFrame, evaluated: DataFrame, findings: DataFrame, measurements: DataFrame, limitations: DataFrame) -> list[DataFrame]:
     """Coverage against status. results: payload, status; scopes and evaluated: payload, scope_id; others: payload."""
     # one exchange by payload holds all that is counted; null scopes meet nothing, as in a join
@@ -37,10 +43,12 @@ def coverage_violations(results: DataFrame, scopes: DataFrame, evaluated: DataFr
     idle = F.col("n_done") + F.col("n_found") + F.col("n_measured")
     return [
         _rule(outside, "evaluated out of scope", "scope_id"),
-        _rule(rows.where((F.col("status") == "completed") & ((F.col("n_both") < F.col("n_asked")) | (F.col("n_done") > F.col("n_asked")))), "completed must evaluate all", "status"),
-        _rule(rows.where((F.col("status") == "partial") & ~partial), "partial must evaluate some", "status"),
-        _rule(rows.where(F.col("status").isin("unavailable", "error") & (idle > 0)), "unevaluated must be empty", "status"),
-        _rule(rows.where((F.col("status") != "completed") & (F.col("n_limits") == 0)), "incomplete must explain", "status"),
+        _rules(rows, [
+            ((F.col("status") == "completed") & ((F.col("n_both") < F.col("n_asked")) | (F.col("n_done") > F.col("n_asked"))), "completed must evaluate all"),
+            ((F.col("status") == "partial") & ~partial, "partial must evaluate some"),
+            (F.col("status").isin("unavailable", "error") & (idle > 0), "unevaluated must be empty"),
+            ((F.col("status") != "completed") & (F.col("n_limits") == 0), "incomplete must explain"),
+        ], "status"),
     ]
 
 
@@ -65,9 +73,11 @@ def measurement_violations(measurements: DataFrame) -> list[DataFrame]:
     sound = rows.where("_ok")
     copies = sound.groupBy("payload", "metric", "allocation_key", "_start", "_end", "_key").agg(F.count("*").alias("n")).where("n > 1")
     return [
-        _rule(rows.where(~F.coalesce(unit == F.col("unit"), F.lit(False))), "metric and unit", "_key"),
-        _rule(rows.where("NOT _ok"), "timestamp without a zone", "_key"),
-        _rule(sound.where("_start >= _end"), "start before end", "_key"),
+        _rules(rows, [
+            (~F.coalesce(unit == F.col("unit"), F.lit(False)), "metric and unit"),
+            (~F.col("_ok"), "timestamp without a zone"),
+            (F.col("_ok") & (F.col("_start") >= F.col("_end")), "start before end"),
+        ], "_key"),
         _rule(copies, "duplicate measurement", "_key"),
     ]
 
