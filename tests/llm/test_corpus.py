@@ -12,7 +12,7 @@ import pytest
 from odd_rows import ODD, prose, rich
 from pyspark.sql import functions as F
 
-from emberlens.llm import jaccard, language_model, lines, pieces, topk, toxicity
+from emberlens.llm import common, jaccard, language_model, lines, pieces, topk, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -240,6 +240,39 @@ def test_rows_that_share_an_id_are_read_once_each(spark):
     assert Counter((r.doc_id, r.n_links) for r in rows) == Counter((i, k) for (i, _), k in zip(docs, links, strict=True))
 
 
+def test_copies_in_many_tasks_are_one_set(spark, monkeypatch):
+    seen, regions = [], jaccard.regions
+    monkeypatch.setattr(jaccard, "regions", lambda docs, n, percent, most, common, buckets: seen.append(len(common)) or regions(docs, n, percent, most, common, buckets))
+    rows = jaccard.join(spark.createDataFrame([(k, rich(40 + k % 3, 60)) for k in range(60)], "doc_id long, text string").repartition(12), common=2).collect()
+    assert seen == [0] and {r.doc_id: (r.component_id, r.n_links) for r in rows} == {k: (k % 3, 19) for k in range(60)}
+
+
+def test_texts_are_not_shuffled_for_their_sets(spark):
+    frame = spark.createDataFrame([(k, rich(k, 60)) for k in range(20)], "doc_id long, text string")
+    wanted = jaccard.classes(frame, 5).where("doc_id % 5 = 0").select("class", "doc_id")
+    sets = jaccard._sets(frame, wanted, 5)
+    below = sets._jdf.queryExecution().executedPlan().toString().split("MapInArrow", 1)[1]
+    assert "SortMergeJoin" not in below and sets.count() == 4
+
+
+def test_entries_are_sent_in_few_bytes_however_many_buckets(spark, monkeypatch):
+    frame, sent = spark.createDataFrame([(k, rich(k, 2000)) for k in range(60)], "doc_id long, text string").coalesce(1), []
+    deal = type(frame).repartitionById
+    monkeypatch.setattr(type(frame), "repartitionById", lambda self, n, c: sent.append(self.collect()) or deal(self, n, c))
+    jaccard.regions(frame, 5, 75, 8, np.empty(0, np.uint32), 32)
+    entries = sum(int(jaccard.boundary(np.array([r.n_shingles]), 75)[0]) for r in jaccard.classes(frame, 5).collect())
+    assert sum(len(v) for r in sent[0] for v in r if isinstance(v, (bytes, bytearray))) < 12 * entries
+
+
+@pytest.mark.parametrize("kind", ["u1", "u4", "u8"])
+def test_packed_integers_come_back(kind):
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 1000):
+        for top in (1, 200, np.iinfo(kind).max):
+            values = rng.integers(0, top, n, dtype=kind, endpoint=True)
+            assert (common.unpacked(common.packed(values), kind) == values).all()
+
+
 def lines_by_force(docs, least):
     seen, out = {}, {}
     for i, t in sorted(docs):
