@@ -590,6 +590,25 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(tuple(r[c] for c in expected.columns) for r in got.collect()) == sorted(expected.fetchall())
 
 
+def test_near_copies_stage_shuffles_marked_texts_only(spark):
+    import corpus_pipeline
+
+    rows = [(None if k == 7 else k // 2, rich(k % 9 + 300, 60)) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = corpus_pipeline.drop_near_copies(spark, docs, "")
+    found = {r.doc_id for r in jaccard.join(docs).collect() if r.doc_id == r.component_id}
+    assert Counter(map(tuple, out.collect())) == Counter(r for r in rows if r[0] in found) and found
+    first, second = out._jdf.queryExecution().optimizedPlan().toString().split("Union", 1)[1].split("\n+- ", 1)
+    assert "LeftAnti" not in first and "LeftSemi" not in first and "LeftAnti" in second
+
+
+def test_marks_hold_every_wanted_row_and_few_others(spark):
+    ids = [*range(0, 3000, 7), None]
+    rows = common.marked(spark.createDataFrame([(k, k) for k in [*range(3000), None]], "doc_id long, at long"), "doc_id", spark.createDataFrame([(k,) for k in ids], "id long"), "mark").collect()
+    hit = {r["doc_id"] for r in rows if r["mark"]}
+    assert len(rows) == 3001 and hit >= set(ids) and len(hit) < len(ids) + 10
+
+
 def test_queries_are_registered():
     import __spark_entry__
 
