@@ -5,11 +5,11 @@ Attempts are rows (run, attempt, job, conclusion, sha, started, ended); everythi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.contract import status
-from .quantiles import exact_percentiles
+from .quantiles import exact_percentiles, ranked
 from .traces import previous
 
 # Ranges (low, high) of the energy model.
@@ -112,11 +112,7 @@ def sampling_order(runs: DataFrame, workflow: str, order: list[str], depth: int)
     """Runs to sample: workflows take turns, larger ones first, and each one's picks are spread by bisection.
 
     The bisection rank of a position is the bit reversal of its place in ``depth`` halvings, so it needs no table."""
-    w = Window.partitionBy(workflow).orderBy(*order)
-    n = F.count("*").over(Window.partitionBy(workflow))
     size = 1 << depth
-    cell = F.expr(f"CAST((_i * {size}) DIV _n AS int)")
-    rows = runs.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", n)
-    rows = rows.withColumn("_c", cell).withColumn("_r", F.conv(F.reverse(F.lpad(F.bin("_c"), depth, "0")), 2, 10).cast("int"))
-    pick = F.row_number().over(Window.partitionBy(workflow).orderBy("_r", "_i")).alias("turn")
-    return rows.select(workflow, *order, F.col("_n").alias("runs"), pick)
+    rows = ranked(runs.select(workflow, *order), [workflow], order, "_i", "_n").withColumn("_i", F.col("_i") - 1)
+    rows = rows.withColumn("_c", F.expr(f"CAST((_i * {size}) DIV _n AS int)")).withColumn("_r", F.conv(F.reverse(F.lpad(F.bin("_c"), depth, "0")), 2, 10).cast("int"))
+    return ranked(rows, [workflow], ["_r", "_i"], "turn", "_m").select(workflow, *order, F.col("_n").alias("runs"), "turn")

@@ -1,12 +1,14 @@
 """A repository's run history: the window that a cut listing certifies, roll-ups of workflows, runs to sample, and the gate of history rules."""
 
-from __future__ import annotations
-
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import ranked
+
 #: Fixed value: runs that wait for a maintainer ran no job.
 AWAITING = "action_required"
 
@@ -24,33 +26,32 @@ def certified(listed: DataFrame, totals: DataFrame, repo: str, created: str) ->
 
 
 def bisection_place(n: Column, i: Column) -> Column:
-    """Where index i of n comes in 0, n - 1, the middle, the quarters, the eighths and so on: a struct that orders as the picks do.
+    """Where index i of n comes in 0, n - 1, the middle, the quarters, the eighths and so on: a number that orders as the picks do.
 
-    At level j the picks are floor(k (n - 1) / 2**j) for odd k; i is first met at the least j and k that give it. After the
-    level that is finer than half an index, what was never met follows in order."""
-    last, index = F.greatest(n - 1, F.lit(1)).cast("long"), i.cast("long")
-    finest = F.ceil(F.log2((2 * n + 1).cast("double"))).cast("int")
+    At level j the picks are floor(k (n - 1) / 2**j) for odd k; i is first met at the least j and k that give it, which 2**j + k
+    puts in order. After the level that is finer than half an index, what was never met follows in order."""
 
-    def first(j: Column) -> Column:
-        parts = F.pow(F.lit(2.0), j).cast("long")
-        up = lambda a: F.expr("1L") * F.floor((a * parts + last - 1) / last).cast("long")
-        k = up(index)
-        odd = F.when(k % 2 == 0, k + 1).otherwise(k)
-        return F.when((odd < up(index + 1)) & (odd < parts), F.struct(j.cast("long").alias("j"), odd.alias("k")))
+    @F.pandas_udf("long")
+    def place(n: pd.Series, i: pd.Series) -> pd.Series:
+        n, i = n.to_numpy(np.int64), i.to_numpy(np.int64)
+        last, finest = np.maximum(n - 1, 1), np.ceil(np.log2(2.0 * n + 1))
+        out = (1 << 62) + i
+        for j in range(int(finest.max(initial=0)), 0, -1):
+            odd = (i * (1 << j) + last - 1) // last | 1
+            met = (odd < ((i + 1) * (1 << j) + last - 1) // last) & (odd < 1 << j) & (j <= finest)
+            out = np.where(met, (1 << j) + odd, out)
+        return pd.Series(np.where(i == 0, 0, np.where(i == n - 1, 1, out)))
 
-    met = F.array_min(F.filter(F.transform(F.sequence(F.lit(1), finest), first), lambda x: x.isNotNull()))
-    stage = F.when(index == 0, 0).when(index == n - 1, 1).when(met.isNotNull(), 2).otherwise(3)
-    return F.struct(stage.alias("stage"), F.when(stage == 2, met["j"]).otherwise(0).alias("j"), F.when(stage == 2, met["k"]).when(stage == 3, index).otherwise(0).alias("k"))
+    return place(n, i)
 
 
 def sampling_turns(runs: DataFrame, repo: str, path: str, order: list[Column | str], status: str, conclusion: str) -> DataFrame:
     """Completed runs that ran jobs, with ``turn`` (of their workflow) and ``place`` (of all): workflows take turns, busiest first, and a
     workflow's picks are spread over the window. ``order`` is the listing's, newest first."""
     ran = runs.where((F.col(status) == "completed") & ~F.col(conclusion).eqNullSafe(F.lit(AWAITING)))
-    own = Window.partitionBy(repo, path)
-    rows = ran.withColumns({"_n": F.count("*").over(own), "_i": F.row_number().over(own.orderBy(*order)) - 1})
-    rows = rows.withColumn("turn", F.row_number().over(own.orderBy(bisection_place(F.col("_n"), F.col("_i")))))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(repo).orderBy("turn", F.desc("_n"), path))).drop("_n", "_i")
+    rows = ranked(ran, [repo, path], order, "_i", "_n")
+    rows = ranked(rows.withColumn("_pick", bisection_place(F.col("_n"), F.col("_i") - 1)), [repo, path], ["_pick"], "turn", "_m").drop("_i", "_pick", "_m")
+    return ranked(rows, [repo], ["turn", F.desc("_n"), path], "place", "_m").drop("_n", "_m")
 
 
 def workflow_rollup(runs: DataFrame, repo: str, path: str, status: str, conclusion: str, event: str, attempt: str) -> DataFrame:

@@ -112,3 +112,18 @@ def median_and_mad(rows: DataFrame, by: list[str], value: str, most: int = MOST)
     off = rows.select(*by, value).join(_small(checkpointed(named)), on).select(*by, F.abs(F.col(value) - F.col("_median")).alias("_off"))
     mad = exact_percentiles(off, by, "_off", [0.5], most).select(*(F.col(b).alias(f"_of_{b}") for b in by), F.col("percentile").alias("mad"))
     return middle.join(mad, on).select(*by, "median", "samples", "mad")
+
+
+def ranked(rows: DataFrame, by: list[str], order: list[Column | str], rank: str, size: str) -> DataFrame:
+    """``rows`` plus ``rank``, the place from 1 in their group by ``order``, and ``size``, the group's rows: as windows by ``by`` give, without a task for a group.
+
+    Rows are dealt by ranges of group and order, so a group lies in neighbouring partitions; its counts in them, at most one for a
+    group and one for a partition more, tell where each part begins."""
+    part = rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    held = checkpointed(part.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)))
+    cells = held.groupBy(*by, "_part").agg(F.count("*").alias("_c"), F.min("_at").alias("_first"))
+    whole = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("_c").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = cells.select(*(F.col(b).alias(f"_of_{b}") for b in by), F.col("_part").alias("_of_part"), (before - F.col("_first")).alias("_shift"), F.sum("_c").over(whole).alias(size))
+    on = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"_of_{b}")) for b in by], F.col("_part") == F.col("_of_part"))
+    return held.join(_small(checkpointed(starts)), on).select(*rows.columns, (F.col("_at") + F.col("_shift") + 1).cast("int").alias(rank), size)

@@ -30,6 +30,27 @@ def test_turns_are_spread_by_bisection(spark):
     assert order == sorted(order) and len(order) == sum(sizes)
 
 
+def test_one_workflow_is_ranked_by_many_tasks(spark):
+    from pyspark.sql import Window
+
+    from emberlens.operators import ci, quantiles
+
+    runs = spark.range(6000).select(F.when(F.col("id") % 3 > 0, "r").alias("repo"), F.lit("w").alias("path"), F.col("id").alias("at"), F.lit("completed").alias("status"), F.lit("success").alias("conclusion"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        turns = ci_history.sampling_turns(runs, "repo", "path", ["at"], "status", "conclusion")
+        order = ci.sampling_order(runs, "repo", ["at"], 4)
+        assert all("Window" not in x._jdf.queryExecution().optimizedPlan().toString() for x in (turns, order))
+        rows = quantiles.ranked(runs, ["repo"], [F.desc("at")], "rank", "n")
+        w = Window.partitionBy("repo")
+        plain = runs.withColumns({"rank": F.row_number().over(w.orderBy(F.desc("at"))), "n": F.count("*").over(w)})
+        assert sorted(map(str, rows.collect())) == sorted(map(str, plain.collect()))
+        assert rows.select(F.spark_partition_id().alias("p")).distinct().count() > 2
+        assert sorted(r.place for r in turns.where("repo IS NULL").collect()) == list(range(1, 2001))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_cut_listings_certify_what_is_newer_than_their_oldest(spark):
     rows = [(r, i, t) for r in ("cut", "whole", "unknown", "less") for i, t in enumerate((5, 5, 6, 9))]
     frame = spark.createDataFrame(rows, "repo string, id int, created int")
